@@ -24,8 +24,8 @@ def nan_to_num(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; what does not parse becomes null."""
-    return F.trim(c.cast("string")).try_cast("double")
+    """Text to double; what does not parse becomes null. Blanks around a number are ignored."""
+    return c.try_cast("double")
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -1,7 +1,8 @@
 """Vector algebra on ``array<double>`` columns and on fitted parameters.
 
-Parameters are short Python lists (at most classes x dimensions numbers). Short dot products
-are unrolled so that whole-stage code generation applies; long ones use higher-order functions.
+Parameters are short Python lists (at most classes x dimensions numbers). Expressions over them
+are written as SQL text, which builds quickly; short dot products are unrolled so that whole-stage
+code generation applies, long ones use higher-order functions.
 """
 
 from __future__ import annotations
@@ -35,19 +36,38 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
-def add_up(parts: Sequence[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out + p
-    return out
+def name_of(vec: str) -> str:
+    return "`" + vec.replace("`", "``") + "`"
 
 
-def dot(a: Column, b: Column | Sequence[float]) -> Column:
-    """Inner product with another column or with constants."""
-    if not isinstance(b, Column):
-        if len(b) <= UNROLL:
-            return add_up([a[i] * F.lit(float(x)) for i, x in enumerate(b)])
-        b = vector(b)
+def dot_sql(vec: str, b: Sequence[float]) -> str:
+    """Inner product of a named column with constants, as SQL text: unrolled when short."""
+    v = name_of(vec)
+    if len(b) <= UNROLL:
+        return " + ".join(f"{v}[{i}] * {number(x)}" for i, x in enumerate(b))
+    consts = ", ".join(number(x) for x in b)
+    return f"aggregate(zip_with({v}, array({consts}), (x, y) -> x * y), 0D, (s, x) -> s + x)"
+
+
+def distance_sql(kind: str, vec: str, b: Sequence[float], norm: str) -> str:
+    """Distance of a named column to constants; ``norm`` names the column's own length."""
+    if kind == "cosine":
+        size = math.sqrt(sum(x * x for x in b))
+        return (f"1D - ({dot_sql(vec, b)}) / "
+                f"greatest({name_of(norm)} * {number(size)}, 1e-10D)")
+    if kind != "euclidean":
+        raise ValueError(f"distance must be 'cosine' or 'euclidean', not {kind!r}")
+    v = name_of(vec)
+    if len(b) <= UNROLL:
+        diffs = [f"({v}[{i}] - {number(x)})" for i, x in enumerate(b)]
+        return "sqrt(" + " + ".join(f"{d} * {d}" for d in diffs) + ")"
+    consts = ", ".join(number(x) for x in b)
+    return (f"sqrt(aggregate(zip_with({v}, array({consts}), (x, y) -> (x - y) * (x - y)), 0D, "
+            "(s, x) -> s + x))")
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two vector columns."""
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
@@ -55,27 +75,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(total(F.transform(a, lambda x: x * x)))
 
 
-def cosine_distance(a: Column, b: Column | Sequence[float],
-                    norm_a: Column | None = None) -> Column:
+def cosine_distance(a: Column, b: Column) -> Column:
     """``1 - a.b / max(|a||b|, 1e-10)``."""
-    size_b = norm(b) if isinstance(b, Column) else F.lit(math.sqrt(sum(x * x for x in b)))
-    size_a = norm_a if norm_a is not None else norm(a)
-    return F.lit(1.0) - dot(a, b) / F.greatest(size_a * size_b, F.lit(1e-10))
+    return F.lit(1.0) - dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-10))
 
 
-def euclidean_distance(a: Column, b: Column | Sequence[float]) -> Column:
-    if not isinstance(b, Column):
-        if len(b) <= UNROLL:
-            return F.sqrt(add_up([(a[i] - F.lit(float(x))) * (a[i] - F.lit(float(x)))
-                                  for i, x in enumerate(b)]))
-        b = vector(b)
+def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def distance(kind: str, a: Column, b: Column | Sequence[float],
-             norm_a: Column | None = None) -> Column:
+def distance(kind: str, a: Column, b: Column) -> Column:
     if kind == "cosine":
-        return cosine_distance(a, b, norm_a)
+        return cosine_distance(a, b)
     if kind == "euclidean":
         return euclidean_distance(a, b)
     raise ValueError(f"distance must be 'cosine' or 'euclidean', not {kind!r}")
@@ -91,9 +102,10 @@ def mse_grid(a: Column, b: Column) -> Column:
     return mse(F.flatten(a), F.flatten(b))
 
 
-def dense(v: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
-    """Linear layer; ``weights`` has one row per output."""
-    return F.array(*[dot(v, w) + F.lit(float(b)) for w, b in zip(weights, bias)])
+def dense(vec: str, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
+    """Linear layer over a named column; ``weights`` has one row per output."""
+    return F.expr("array(" + ", ".join(
+        f"{dot_sql(vec, w)} + {number(b)}" for w, b in zip(weights, bias)) + ")")
 
 
 def softmax(v: Column) -> Column:

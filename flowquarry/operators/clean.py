@@ -77,8 +77,9 @@ def map_columns(df: DataFrame, cols: Sequence[str], fn) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Text to double; unparsable cells become null."""
-    return map_columns(df, cols, to_number)
+    """Text to double; unparsable cells become null. Columns that are numeric already pass."""
+    typed = set(numeric_columns(df))
+    return map_columns(df, [c for c in cols if c not in typed], to_number)
 
 
 def null_non_finite(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -125,13 +126,18 @@ def file_medians(df: DataFrame, cols: Sequence[str], by: str = "source_file", **
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], by: str = "source_file",
-                  **options) -> DataFrame:
-    """Null cells take the median of their own file; all-null columns stay null."""
-    cols = list(cols)
-    sizes = group_sizes(df, [by])
-    med = file_medians(df, cols, by, sizes=sizes, **options)
-    med = med.select(q(by), *[q(c).alias(f"__m{i}") for i, c in enumerate(cols)])
-    joined = join_dimension(df, med, [by], rows=sizes[0])
+                  medians: DataFrame | None = None, **options) -> DataFrame:
+    """Null cells take the median of their own file; all-null columns stay null.
+
+    ``medians`` passes a table of :func:`file_medians` that was computed before.
+    """
+    cols, groups = list(cols), None
+    if medians is None:
+        sizes = options.pop("sizes", None) or group_sizes(df, [by])
+        groups = sizes[0]
+        medians = file_medians(df, cols, by, sizes=sizes, **options)
+    med = medians.select(q(by), *[q(c).alias(f"__m{i}") for i, c in enumerate(cols)])
+    joined = join_dimension(df, med, [by], rows=groups)
     fill = {c: f"__m{i}" for i, c in enumerate(cols)}
     return joined.select(*[F.coalesce(q(c), F.col(fill[c])).alias(c) if c in fill else q(c)
                            for c in df.columns])

@@ -55,18 +55,26 @@ def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
     whole = base.groupBy("__by").agg(
         F.count_distinct("__ip").alias("ips"), F.avg("__dur").alias("dur"),
         F.avg("__fwd").alias("fwd"))
-    ports = base.where("__port is not null").groupBy("__by", "__port").count()
-    rank = W.partitionBy("__by").orderBy(F.desc("count"), F.asc("__port"))
-    n_ports = ports.groupBy("__by").agg(F.count("*").alias("n_ports"))
-    top_ports = (ports.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP_K)
-                 .groupBy("__by").agg(_ranked_map(F.collect_list(F.struct(
-                     "r", F.col("__port").alias("key"), F.col("count").alias("n"))))
-                     .alias("top_ports")))
-    protos = (top_k(base, ["__by"], "__proto").groupBy("__by").agg(_ranked_map(F.collect_list(
-        F.struct("rank", protocol_of(to_number(F.col("__proto")).cast("int")).alias("key"),
-                 F.col("n")))).alias("protos")))
-    joined = (whole.join(n_ports, "__by", "left").join(top_ports, "__by", "left")
-              .join(protos, "__by", "left"))
+    # ports and protocols are counted in one scan; both top lists and the port count read it
+    keys = base.select("__by", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("__port").alias("num"),
+                 F.lit(None).cast("string").alias("txt")),
+        F.struct(F.lit(1).alias("kind"), F.lit(None).cast("int").alias("num"),
+                 F.col("__proto").alias("txt")))).alias("k")).select("__by", "k.*")
+    counted = keys.where("num is not null or txt is not null").groupBy(
+        "__by", "kind", "num", "txt").count()
+    rank = W.partitionBy("__by", "kind").orderBy(F.desc("count"), "num", "txt")
+    ranked = counted.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP_K)
+    entry = lambda kind, key: F.collect_list(F.when(F.col("kind") == kind, F.struct(
+        "r", key.alias("key"), F.col("count").alias("n"))))
+    name = protocol_of(to_number(F.col("txt")).cast("int"))
+    tops = ranked.groupBy("__by").agg(
+        entry(0, F.col("num")).alias("port_list"), entry(1, name).alias("proto_list"))
+    n_ports = counted.groupBy("__by").agg(F.sum(F.when(
+        (F.col("kind") == 0) & (F.col("count") > 0), 1)).cast("long").alias("n_ports"))
+    joined = whole.join(tops, "__by", "left").join(n_ports, "__by", "left").withColumns({
+        "top_ports": F.when(F.size("port_list") > 0, _ranked_map(F.col("port_list"))),
+        "protos": F.when(F.size("proto_list") > 0, _ranked_map(F.col("proto_list")))})
     profile = F.struct(
         F.col("top_ports").alias("top_dst_ports"), F.col("n_ports").alias("unique_dst_ports"),
         F.col("protos").alias("protocols"),

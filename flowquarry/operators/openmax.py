@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,8 +47,8 @@ def load_mavs(mavs: DataFrame, num_known: int) -> dict[int, list[float]]:
 def class_distances(df: DataFrame, mavs: dict[int, list[float]], kind: str = "cosine",
                     y: str = "y", vec: str = "logits", out: str = "distance") -> DataFrame:
     """Distance of each row to the mean of its own class; rows of other classes are left out."""
-    table = F.create_map(*[c for k, m in sorted(mavs.items())
-                           for c in (F.lit(k), V.vector(m))])
+    table = F.expr("map(" + ", ".join(
+        f"{int(k)}, array({', '.join(map(V.number, m))})" for k, m in sorted(mavs.items())) + ")")
     rows = df.where(q(y).isin(list(mavs)))
     return rows.withColumn(out, V.distance(
         kind, q(vec), F.element_at(table, q(y).cast("int"))))
@@ -138,49 +138,51 @@ def fit_openmax(df: DataFrame, num_known: int, dim: int, tail_size: int, kind: s
 
 # --- scoring --------------------------------------------------------------------------------
 
-def rank_of(v: Sequence[Column], k: int) -> Column:
+def rank_sql(vec: str, k: int, num: int) -> str:
     """0-based rank of entry ``k`` by descending value; equal values rank by index."""
-    ahead = [(v[j] >= v[k]) if j < k else (v[j] > v[k]) for j in range(len(v)) if j != k]
-    return V.add_up([a.cast("int") for a in ahead]) if ahead else F.lit(0)
+    v = V.name_of(vec)
+    ahead = [f"cast({v}[{j}] {'>=' if j < k else '>'} {v}[{k}] as int)"
+             for j in range(num) if j != k]
+    return "(" + (" + ".join(ahead) or "0") + ")"
 
 
-def rank_alpha(v: Sequence[Column], k: int, alpha: Column) -> Column:
+def rank_alpha_sql(ranks: str, k: int, alpha: str) -> str:
     """Weight (alpha - rank)/alpha of the first alpha ranks, 0 beyond."""
-    r = rank_of(v, k)
-    return F.when(r < alpha, (alpha - r) / alpha).otherwise(F.lit(0.0))
+    r = f"{V.name_of(ranks)}[{k}]"
+    return f"if({r} < {alpha}, cast({alpha} - {r} as double) / {alpha}, 0D)"
+
+
+def with_ranks(df: DataFrame, vec: str, num: int, out: str = "ranks") -> DataFrame:
+    """Rank of every entry within its row."""
+    return df.withColumn(out, F.expr(
+        "array(" + ", ".join(rank_sql(vec, k, num) for k in range(num)) + ")"))
 
 
 def class_distance_vector(df: DataFrame, params: OpenMaxParams, vec: str,
                           out: str = "distances") -> DataFrame:
     """Distances of every row to every class mean."""
-    v = q(vec)
-    size = None
     if params.distance_type == "cosine":
-        df = df.withColumn("__norm", V.norm(v))
-        size = F.col("__norm")
-    return df.withColumn(out, F.array(*[
-        V.distance(params.distance_type, v, params.mav(k), size)
-        for k in range(params.num_known)])).drop("__norm")
-
-
-def omega(params_k: tuple[Column, Column], weight: Column, d: Column,
-          missing: float = 1.0) -> Column:
-    """Share of an activation that stays with its class."""
-    shape, scale = params_k
-    return F.coalesce(F.lit(1.0) - weight * V.weibull_cdf(d, shape, scale), F.lit(missing))
+        df = df.withColumn("__norm", V.norm(q(vec)))
+    cells = [V.distance_sql(params.distance_type, vec, params.mav(k), "__norm")
+             for k in range(params.num_known)]
+    return df.withColumn(out, F.expr("array(" + ", ".join(cells) + ")")).drop("__norm")
 
 
-def recalibrate(logits: Column, num_known: int, omegas: Column) -> Column:
-    """Recalibrated known activations followed by the unknown one."""
-    kept = [logits[k] * omegas[k] for k in range(num_known)]
-    lost = [logits[k] * (F.lit(1.0) - omegas[k]) for k in range(num_known)]
-    return F.array(*kept, V.add_up(lost))
+def omega_sql(k: int, shape: str, scale: str, alpha: str, missing: float) -> str:
+    """Share of activation ``k`` that stays with its class."""
+    cdf = f"(1D - exp(-pow(greatest(__d[{k}], 0D) / greatest({scale}, 1e-10D), {shape})))"
+    return f"coalesce(1D - {rank_alpha_sql('__r', k, alpha)} * {cdf}, {V.number(missing)})"
 
 
-def _weibull_columns(params: OpenMaxParams, k: int) -> tuple[Column, Column]:
-    w = params.weibull.get(k)
-    null = F.lit(None).cast("double")
-    return (F.lit(float(w[0])), F.lit(float(w[1]))) if w else (null, null)
+def recalibrated(df: DataFrame, num: int, shapes: Sequence[str], scales: Sequence[str],
+                 alpha: str, missing: float = 1.0) -> DataFrame:
+    """``__v`` logits and ``__d`` distances to ``__z``: revised activations, unknown last."""
+    base = with_ranks(df, "__v", num, "__r")
+    base = base.withColumn("__w", F.expr("array(" + ", ".join(
+        omega_sql(k, shapes[k], scales[k], alpha, missing) for k in range(num)) + ")"))
+    kept = ", ".join(f"__v[{k}] * __w[{k}]" for k in range(num))
+    lost = " + ".join(f"__v[{k}] * (1D - __w[{k}])" for k in range(num))
+    return base.withColumn("__z", F.expr(f"array({kept}, {lost})"))
 
 
 def openmax(df: DataFrame, params: OpenMaxParams, alpha: int | None = None,
@@ -192,21 +194,17 @@ def openmax(df: DataFrame, params: OpenMaxParams, alpha: int | None = None,
     With ``activations`` the distances are taken there while ranks and recalibration use the
     logits. ``missing_omega=0`` hands a class without tail fit entirely to the unknown class.
     """
-    k_all = params.num_known
-    alpha = F.lit(alpha if alpha is not None else params.alpha_rank)
     base = df.withColumn("__v", F.transform(q(logits).cast("array<double>"), nan_to_num))
-    source = "__v" if activations is None else "__a"
     if activations is not None:
         base = base.withColumn("__a", q(activations).cast("array<double>"))
-    base = class_distance_vector(base, params, source, "__d")
-    v = [F.col("__v")[k] for k in range(k_all)]
-    base = base.withColumn("__w", F.array(*[
-        omega(_weibull_columns(params, k), rank_alpha(v, k, alpha), F.col("__d")[k],
-              missing_omega) for k in range(k_all)]))
-    base = base.withColumn("__z", recalibrate(F.col("__v"), k_all, F.col("__w")))
+    base = class_distance_vector(base, params, "__v" if activations is None else "__a", "__d")
+    fits = [params.weibull.get(k) for k in range(params.num_known)]
+    text = lambda i: [V.number(f[i]) if f else "cast(null as double)" for f in fits]
+    base = recalibrated(base, params.num_known, text(0), text(1),
+                        str(int(params.alpha_rank if alpha is None else alpha)), missing_omega)
     base = base.withColumn(probabilities, F.transform(V.softmax(F.col("__z")), nan_to_num))
     return base.withColumn(prediction, V.argmax(q(probabilities))).drop(
-        "__v", "__a", "__d", "__w", "__z")
+        "__v", "__a", "__d", "__r", "__w", "__z")
 
 
 def openmax_single(df: DataFrame, params: OpenMaxParams, **options) -> DataFrame:
@@ -277,12 +275,11 @@ def sweep_openmax(df: DataFrame, mavs: dict[int, list[float]], fits: DataFrame,
         r = held.get((t, k))
         ok = r is not None and r["wb_shape"] is not None
         return (float(r["wb_shape"]), float(r["wb_scale"])) if ok else (None, None)
-    null = F.lit(None).cast("double")
-    lit = lambda x: null if x is None else F.lit(x)
-    tail_rows = F.array(*[F.struct(
-        F.lit(t).alias("tail_size"),
-        F.array(*[lit(pair(t, k)[0]) for k in range(num_known)]).alias("shapes"),
-        F.array(*[lit(pair(t, k)[1]) for k in range(num_known)]).alias("scales")) for t in tails])
+    text = lambda x: "cast(null as double)" if x is None else V.number(x)
+    cells = lambda t, i: ", ".join(text(pair(t, k)[i]) for k in range(num_known))
+    tail_rows = F.expr("array(" + ", ".join(
+        f"named_struct('tail_size', {int(t)}, 'shapes', array({cells(t, 0)}), "
+        f"'scales', array({cells(t, 1)}))" for t in tails) + ")")
     params = OpenMaxParams(num_known, mavs, {}, kind)
     base = df.select(q(y).alias(y), q(known).alias(known),
                      F.transform(q(logits).cast("array<double>"), nan_to_num).alias("__v"),
@@ -292,12 +289,8 @@ def sweep_openmax(df: DataFrame, mavs: dict[int, list[float]], fits: DataFrame,
     grid = F.broadcast(parameter_grid(spark, alpha_rank=list(alphas)).crossJoin(
         spark.range(1).select(F.inline(tail_rows))))
     at = base.crossJoin(grid)
-    v = [F.col("__v")[k] for k in range(num_known)]
-    alpha = F.col("alpha_rank")
-    at = at.withColumn("__w", F.array(*[
-        omega((F.col("shapes")[k], F.col("scales")[k]), rank_alpha(v, k, alpha), F.col("__d")[k])
-        for k in range(num_known)]))
-    at = at.withColumn("__z", recalibrate(F.col("__v"), num_known, F.col("__w")))
+    at = recalibrated(at, num_known, [f"shapes[{k}]" for k in range(num_known)],
+                      [f"scales[{k}]" for k in range(num_known)], "alpha_rank")
     at = at.withColumn("pred", V.argmax(F.col("__z")))
     return _sweep_scores(at, num_known, ["tail_size", "alpha_rank"], y, known)
 

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.functions import vectors as V
 from flowquarry.operators.clean import q
+from flowquarry.plans.storage import materialize
 
 
 @dataclass
@@ -41,6 +43,31 @@ def fit_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, c in enumerate(cols)])))
 
 
+def fit_minmax_imputed(df: DataFrame, cols: Sequence[str],
+                       by: str = "source_file") -> tuple[DataFrame, tuple[int, int]]:
+    """Scaler table of the data as it will be after median imputation, and the file sizes.
+
+    A median lies between the minimum and maximum of its file, so filling gaps cannot widen a
+    range; only a column without any value in some file adds the 0 that fills it. One pass over
+    the data gives the same table as imputing first.
+    """
+    per_file = materialize(df.groupBy(q(by).alias("__by")).agg(
+        F.count("*").alias("rows"), *[a for i, c in enumerate(cols) for a in (
+            F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))]))
+    filled = per_file.select("rows", *[F.coalesce(f"{e}{i}", F.lit(0.0)).alias(f"{e}{i}")
+                                       for i in range(len(cols)) for e in ("lo", "hi")])
+    wide = filled.agg(F.count("*").alias("files"), F.max("rows").alias("largest"), *[
+        a for i in range(len(cols)) for a in (F.min(f"lo{i}").alias(f"lo{i}"),
+                                              F.max(f"hi{i}").alias(f"hi{i}"))])
+    wide = materialize(wide)
+    table = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"),
+                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(cols)])))
+    sizes = wide.select("files", "largest").first()
+    return table, (sizes["files"], sizes["largest"] or 0)
+
+
 def merge_scalers(*tables: DataFrame) -> DataFrame:
     """Combine partial scaler tables; features missing from one of them are dropped."""
     n = len(tables)
@@ -70,6 +97,16 @@ def apply_minmax(df: DataFrame, scaler: Scaler, single: bool = False) -> DataFra
     return df.select(*[cell(c).alias(c) if c in at else q(c) for c in df.columns])
 
 
+def scale_vector(df: DataFrame, scaler: Scaler, vec: str = "features") -> DataFrame:
+    """Scale a packed vector whose cells follow the scaler's feature order."""
+    spans = [b - a if b != a else 1.0 for a, b in zip(scaler.mins, scaler.maxs)]
+    factors = [(scaler.high - scaler.low) / s for s in spans]
+    shifts = [scaler.low - a * f for a, f in zip(scaler.mins, factors)]
+    scaled = F.zip_with(F.zip_with(q(vec), V.vector(factors), lambda x, f: x * f),
+                        V.vector(shifts), lambda x, c: x + c)
+    return df.withColumn(vec, scaled)
+
+
 def to_vector(df: DataFrame, names: Sequence[str], out: str = "features",
               keep: Sequence[str] | None = None) -> DataFrame:
     """Pack ordered columns into one array column."""

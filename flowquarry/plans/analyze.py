@@ -11,7 +11,7 @@ from flowquarry.operators import clean, decision, findings, openmax
 from flowquarry.operators.scale import Scaler
 from flowquarry.plans import prepare
 from flowquarry.plans.joins import join_dimension
-from flowquarry.schema import MODEL_FEATURES
+from flowquarry.schema import GRID_CELLS, MODEL_FEATURES
 from flowquarry.sources.params import OpenMaxParams
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -25,10 +25,14 @@ def classify(vectors: DataFrame, scorer: Scorer, params: OpenMaxParams,
 
 def predict_flows(flows: DataFrame, scaler: Scaler, scorer: Scorer, params: OpenMaxParams,
                   names: Sequence[str] = MODEL_FEATURES, by: str = "source_file",
-                  position: str | None = None) -> DataFrame:
-    """Findings with traffic profile per capture, from raw flows."""
+                  position: str | None = None, pad: int = GRID_CELLS) -> DataFrame:
+    """Findings with traffic profile per capture, from raw flows.
+
+    ``pad`` is the width the model expects: the grid for an image model, the feature count for a
+    linear one.
+    """
     keep = [by, *([position] if position else [])]
-    scored = classify(prepare.serving_vectors(flows, scaler, names, keep), scorer, params)
+    scored = classify(prepare.serving_vectors(flows, scaler, names, keep, pad), scorer, params)
     top = F.element_at("probabilities", F.col("class_id") + 1)
     found = findings.capture_findings(scored.withColumn("__conf", top), by,
                                       confidence="__conf", position=position)
@@ -38,9 +42,9 @@ def predict_flows(flows: DataFrame, scaler: Scaler, scorer: Scorer, params: Open
 
 def predict_features(rows: DataFrame, scorer: Scorer, params: OpenMaxParams,
                      wanted: Sequence[str] = MODEL_FEATURES, by: str = "source_file",
-                     position: str | None = None) -> DataFrame:
+                     position: str | None = None, pad: int = GRID_CELLS) -> DataFrame:
     """Findings from already scaled (values, names) rows; no traffic profile."""
-    scored = classify(prepare.named_vectors(rows, wanted), scorer, params)
+    scored = classify(prepare.named_vectors(rows, wanted, pad=pad), scorer, params)
     top = F.element_at("probabilities", F.col("class_id") + 1)
     return findings.capture_findings(scored.withColumn("__conf", top), by,
                                      confidence="__conf", position=position)

@@ -23,7 +23,7 @@ from flowquarry.plans.joins import join_dimension
 def linear_scores(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float],
                   vec: str = "features", out: str = "logits") -> DataFrame:
     """Linear model inside the JVM."""
-    return df.withColumn(out, V.dense(q(vec), weights, bias))
+    return df.withColumn(out, V.dense(vec, weights, bias))
 
 
 def score(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], vec: str = "features",
@@ -100,9 +100,9 @@ def reconstruction_error(df: DataFrame, model, vec: str = "features",
                          out: str = "error") -> DataFrame:
     """Mean squared distance between a row and its low-rank reconstruction."""
     mean, basis = model
-    code = V.dense(q(vec), basis.tolist(), (-(basis @ mean)).tolist())
+    code = V.dense(vec, basis.tolist(), (-(basis @ mean)).tolist())
     rows = df.withColumn("__code", code)
-    rows = rows.withColumn("__back", V.dense(F.col("__code"), basis.T.tolist(), mean.tolist()))
+    rows = rows.withColumn("__back", V.dense("__code", basis.T.tolist(), mean.tolist()))
     return rows.withColumn(out, V.mse(q(vec), F.col("__back"))).drop("__code", "__back")
 
 

@@ -11,32 +11,56 @@ from flowquarry.functions import vectors as V
 from flowquarry.functions.numeric import nan_to_num
 from flowquarry.operators import clean, lookup, scale
 from flowquarry.operators.clean import q
+from flowquarry.plans.joins import join_dimension
+from flowquarry.plans.storage import materialize
 from flowquarry.schema import FEATURES, GRID_CELLS, GRID_SIDE, KNOWN_CLASSES, LABEL, MODEL_FEATURES
+from flowquarry.sources.flows import dedupe_header, normalize_headers
 
 
 def tidy(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Headers, names, ordered features as doubles with null for anything not finite."""
-    from flowquarry.sources.flows import dedupe_header, normalize_headers
     df = clean.canonicalize_columns(dedupe_header(normalize_headers(df)))
     df = clean.select_features(df, names, keep=keep)
     return clean.null_non_finite(clean.coerce_numeric(df, names), names)
 
 
-def preprocess(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = FEATURES,
-               by: str = "source_file", keep: Sequence[str] = (), **options) -> DataFrame:
-    """Scaled feature vector and label of every flow: per-file medians, then 0, then min-max."""
-    present = [n for n in names if n in _canonical(df)]
-    label = [LABEL] if LABEL in df.columns else []
-    rows = tidy(df, names, [by, *keep, *label])
-    rows = clean.impute_median(rows, present, by, **options)
-    rows = scale.apply_minmax(clean.impute_zero(rows, names), scaler)
-    packed = scale.to_vector(rows, names, "features", keep=[by, *keep, *label])
-    return clean.split_label(packed)
+def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by: str,
+                  files: int | None = None, vec: str = "features") -> DataFrame:
+    """Fill null cells of packed vectors with the file's median, then with 0."""
+    med = medians.select(q(by), F.array(*[q(n).cast("double") for n in names]).alias("__med"))
+    joined = join_dimension(rows, med, [by], rows=None if files is None else files * len(names))
+    filled = F.zip_with(q(vec), F.col("__med"), lambda x, m: F.coalesce(x, m, F.lit(0.0)))
+    return joined.withColumn(vec, filled).drop("__med")
+
+
+def fit_cleaning(df: DataFrame, names: Sequence[str], by: str = "source_file",
+                 feature_range=(0.0, 1.0), **options) -> tuple[DataFrame, scale.Scaler]:
+    """Per-file medians (written once) and the scaler of the imputed data: two passes in all."""
+    rows = tidy(df, names, [by])
+    table, sizes = scale.fit_minmax_imputed(rows, names, by)
+    medians = materialize(clean.file_medians(rows, names, by, sizes=sizes, **options))
+    return medians, scale.load_scaler(table, feature_range)
+
 
+def _vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str], by: str,
+             keep: Sequence[str], medians: DataFrame | None, **options) -> DataFrame:
+    rows = tidy(df, names, [by, *keep])
+    if medians is None:
+        medians = clean.file_medians(rows, names, by, **options)
+    packed = scale.to_vector(rows, names, "features", keep=[by, *keep])
+    return scale.scale_vector(impute_vector(packed, medians, names, by), scaler)
 
-def _canonical(df: DataFrame) -> set[str]:
-    from flowquarry.schema import RENAMES
-    return {RENAMES.get(c.strip(), c.strip()) for c in df.columns}
+
+def preprocess(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = FEATURES,
+               by: str = "source_file", keep: Sequence[str] = (),
+               medians: DataFrame | None = None, **options) -> DataFrame:
+    """Scaled feature vector and label of every flow: per-file medians, then 0, then min-max.
+
+    Cells are packed into one array early, so the plan stays small however many features there
+    are. The scaler must list ``names`` in order. ``medians`` reuses a stored table.
+    """
+    label = [LABEL] if LABEL in df.columns else []
+    return clean.split_label(_vectors(df, scaler, names, by, [*keep, *label], medians, **options))
 
 
 def preprocess_counts(df: DataFrame, by: str = "source_file",
@@ -49,20 +73,17 @@ def preprocess_counts(df: DataFrame, by: str = "source_file",
 def prepare_train(df: DataFrame, names: Sequence[str], by: str = "source_file",
                   feature_range=(0.0, 1.0), **options) -> tuple[DataFrame, scale.Scaler]:
     """Benign rows first, then medians of those rows, then a scaler fitted on them."""
-    rows = tidy(clean.filter_benign(df), names, [by])
-    rows = clean.impute_zero(clean.impute_median(rows, list(names), by, **options), names)
-    scaler = scale.load_scaler(scale.fit_minmax(rows, names), feature_range)
-    return scale.apply_minmax(rows, scaler), scaler
+    benign = clean.filter_benign(df)
+    medians, scaler = fit_cleaning(benign, names, by, feature_range, **options)
+    return _vectors(benign, scaler, names, by, [], medians), scaler
 
 
 def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                      known: Sequence[int] | None = KNOWN_CLASSES, by: str = "source_file",
-                     keep: Sequence[str] = (), pad: int = GRID_CELLS, **options) -> DataFrame:
+                     keep: Sequence[str] = (), pad: int = GRID_CELLS,
+                     medians: DataFrame | None = None, **options) -> DataFrame:
     """Padded vectors with class ids: medians of the whole file before any class filter."""
-    rows = tidy(df, names, [by, *keep, LABEL])
-    rows = clean.impute_zero(clean.impute_median(rows, list(names), by, **options), names)
-    rows = scale.to_vector(scale.apply_minmax(rows, scaler), names, "features",
-                           keep=[by, *keep, LABEL])
+    rows = _vectors(df, scaler, names, by, [*keep, LABEL], medians, **options)
     rows = lookup.map_labels(rows.withColumn("features", V.pad_to(F.col("features"), pad)))
     return lookup.remap_known(rows, known) if known is not None else rows.withColumn(
         "y", F.col("class_id"))
@@ -71,10 +92,11 @@ def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] =
 def serving_vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                     keep: Sequence[str] = ("source_file",), pad: int = GRID_CELLS) -> DataFrame:
     """Model input of raw flows: missing cells are 0 (no medians), also after scaling."""
-    rows = clean.impute_zero(tidy(df, names, keep), names)
-    rows = clean.map_columns(scale.apply_minmax(rows, scaler), names, nan_to_num)
-    return scale.to_vector(rows, names, "features", keep=keep).withColumn(
-        "features", V.pad_to(F.col("features"), pad))
+    packed = scale.to_vector(tidy(df, names, keep), names, "features", keep=keep)
+    filled = packed.withColumn("features", F.transform(
+        "features", lambda x: F.coalesce(x, F.lit(0.0))))
+    scaled = scale.scale_vector(filled, scaler)
+    return scaled.withColumn("features", V.pad_to(F.transform("features", nan_to_num), pad))
 
 
 def named_vectors(df: DataFrame, wanted: Sequence[str] = MODEL_FEATURES, values: str = "values",

@@ -29,18 +29,18 @@ _LABEL = """CASE WHEN l_returnflag <> 'R' THEN 'BENIGN' ELSE CASE l_linenumber
 
 FLOW_FEATURES = [
     ("Destination Port", _PORT),
-    ("Flow Duration", "CAST(l_quantity * 100000 + l_partkey AS STRING)"),
-    ("Total Fwd Packets", "CAST(l_quantity AS STRING)"),
-    ("Total Backward Packets", "CAST(l_linenumber AS STRING)"),
-    ("Total Length of Fwd Packets", "CAST(l_extendedprice AS STRING)"),
-    ("Total Length of Bwd Packets", "CAST(l_extendedprice * l_discount AS STRING)"),
+    ("Flow Duration", "l_quantity * 100000 + l_partkey"),
+    ("Total Fwd Packets", "l_quantity"),
+    ("Total Backward Packets", "CAST(l_linenumber AS DOUBLE)"),
+    ("Total Length of Fwd Packets", "l_extendedprice"),
+    ("Total Length of Bwd Packets", "l_extendedprice * l_discount"),
     ("Flow Bytes/s", "CASE l_linenumber WHEN 7 THEN 'Infinity' WHEN 6 THEN 'NaN' WHEN 5 THEN 'x' "
                      "ELSE CAST(l_extendedprice AS STRING) END"),
     ("Flow Packets/s", "CASE WHEN l_linestatus = 'O' AND year(l_shipdate) = 1998 THEN '-Infinity' "
                        "WHEN l_linenumber = 3 THEN NULL ELSE CAST(l_tax AS STRING) END"),
-    ("Fwd Header Length", "CAST(l_quantity * 20 AS STRING)"),
-    ("Fwd Header Length.1", "CAST(l_quantity * 20 + l_linenumber AS STRING)"),
-    ("Idle Mean", "CAST(5 AS STRING)"),
+    ("Fwd Header Length", "l_quantity * 20"),
+    ("Fwd Header Length.1", "l_quantity * 20 + l_linenumber"),
+    ("Idle Mean", "CAST(5 AS DOUBLE)"),
 ]
 FEATURE_NAMES = [n for n, _ in FLOW_FEATURES]
 WANTED = FEATURE_NAMES + ["Active Mean"]  # the last one is absent from the data
@@ -230,5 +230,5 @@ ACTIVATIONS_SQL = f"""SELECT vec_id AS id, CAST(least(label, {KNOWN}) AS INT) AS
 
 def clean_cell(name: str) -> str:
     """Finite number of a text cell, else NULL."""
-    n = f'TRY_CAST(trim("{name}") AS DOUBLE)'
+    n = f'TRY_CAST(trim(CAST("{name}" AS STRING)) AS DOUBLE)'
     return f"CASE WHEN isfinite({n}) THEN {n} END"

@@ -289,9 +289,8 @@ def _(spark, sf):
 {len(A.WANTED)} AS feature_count, {S_MEANS} FROM s GROUP BY 1""")
 def _(spark, sf):
     flows = A.flows(spark, sf)
-    base = clean.impute_zero(clean.impute_median(cleaned(spark, sf), A.FEATURE_NAMES), A.FEATURE_NAMES)
-    scaler = scale.load_scaler(scale.fit_minmax(base, A.FEATURE_NAMES))
-    out = prepare.preprocess(flows, scaler, A.WANTED)
+    medians, scaler = prepare.fit_cleaning(flows, A.WANTED)
+    out = prepare.preprocess(flows, scaler, A.WANTED, medians=medians)
     return out.groupBy("source_file").agg(
         F.count("*").alias("row_count"), F.max(F.size("features")).alias("feature_count"),
         *[F.round(F.avg(F.col("features")[i]), 6).alias(f"a{i}")
@@ -307,7 +306,9 @@ BENIGN_IMPUTED = (f"{WITH}, b AS (SELECT * FROM c WHERE \"Label\" = 'BENIGN'), m
        f"{BENIGN_IMPUTED}{_scaled_sql(0, 1, 'f')} SELECT source_file, {S_MEANS} FROM s GROUP BY 1")
 def _(spark, sf):
     rows, _ = prepare.prepare_train(A.flows(spark, sf), A.FEATURE_NAMES)
-    return rows.groupBy("source_file").agg(*_s_means())
+    return rows.groupBy("source_file").agg(*[
+        F.round(F.avg(F.col("features")[i]), 6).alias(f"a{i}")
+        for i in range(len(A.FEATURE_NAMES))])
 
 
 @query("f13_prepare_labelled", f"""{IMPUTED}{_scaled_sql(-1, 1, 'f')},
@@ -315,9 +316,9 @@ y AS (SELECT *, CAST({LABEL_CASE} AS INT) AS class_id FROM s)
 SELECT CAST(list_position([0, 1, 2, 3, 5, 6], class_id) - 1 AS INT) AS y, count(*) AS n, 121 AS width,
 {S_MEANS} FROM y WHERE class_id IN (0, 1, 2, 3, 5, 6) GROUP BY 1""")
 def _(spark, sf):
-    base = clean.impute_zero(clean.impute_median(cleaned(spark, sf), A.FEATURE_NAMES), A.FEATURE_NAMES)
-    scaler = scale.load_scaler(scale.fit_minmax(base, A.FEATURE_NAMES), (-1, 1))
-    out = prepare.prepare_labelled(A.flows(spark, sf), scaler, A.FEATURE_NAMES)
+    flows = A.flows(spark, sf)
+    medians, scaler = prepare.fit_cleaning(flows, A.FEATURE_NAMES, feature_range=(-1, 1))
+    out = prepare.prepare_labelled(flows, scaler, A.FEATURE_NAMES, medians=medians)
     return out.groupBy("y").agg(
         F.count("*").alias("n"), F.max(F.size("features")).alias("width"),
         *[F.round(F.avg(F.col("features")[i]), 6).alias(f"a{i}")

@@ -269,7 +269,7 @@ MODEL_COLS = ["source_file", "status", "attack_detected", "attack_type", "confid
 @query("m18_predict_flows", f"WITH {MODEL_FINDINGS} SELECT * FROM findings")
 def _(spark, sf):
     out = analyze.predict_flows(A.flows(spark, sf), MODEL_SCALER, _scorer, MODEL_PARAMS, MODEL_NAMES,
-                                position="position")
+                                position="position", pad=len(MODEL_NAMES))
     return out.withColumn("class_distribution", pairs("class_distribution")).select(*MODEL_COLS)
 
 
@@ -280,7 +280,8 @@ def _(spark, sf):
     names = ["Idle Max", *reversed(MODEL_NAMES)]
     rows = vec.select("source_file", "position", F.concat(F.array(F.lit(9.0)), F.reverse("features"))
                       .alias("values"), F.array(*[F.lit(n) for n in names]).alias("names"))
-    out = analyze.predict_features(rows, _scorer, MODEL_PARAMS, MODEL_NAMES, position="position")
+    out = analyze.predict_features(rows, _scorer, MODEL_PARAMS, MODEL_NAMES, position="position",
+                                   pad=len(MODEL_NAMES))
     return out.withColumn("class_distribution", pairs("class_distribution")).select(*MODEL_COLS)
 
 

@@ -169,10 +169,8 @@ def _(spark, sf):
 CAST(len(list_filter(list_zip(logits, range({K})), lambda e: e[1] > logits[k + 1]
  OR (e[1] = logits[k + 1] AND e[2] < k))) AS INT) AS rank FROM act, (SELECT unnest(range({K})) AS k)""")
 def _(spark, sf):
-    v = [F.col("logits")[k] for k in range(K)]
-    rows = A.activations(spark, sf).select("id", F.array(*[openmax.rank_of(v, k) for k in range(K)])
-                                           .alias("r"))
-    return rows.select("id", F.posexplode("r").alias("k", "rank"))
+    rows = openmax.with_ranks(A.activations(spark, sf), "logits", K)
+    return rows.select("id", F.posexplode("ranks").alias("k", "rank"))
 
 
 @query("m7_rank_alpha", f"""WITH act AS ({A.ACTIVATIONS_SQL}), r AS (SELECT id, k,
@@ -180,10 +178,10 @@ len(list_filter(list_zip(logits, range({K})), lambda e: e[1] > logits[k + 1]
  OR (e[1] = logits[k + 1] AND e[2] < k))) AS rank FROM act, (SELECT unnest(range({K})) AS k))
 SELECT id, CAST(k AS INT) AS k, CAST(CASE WHEN rank < 5 THEN (5 - rank) / 5 ELSE 0 END AS DOUBLE) AS alpha FROM r""")
 def _(spark, sf):
-    v = [F.col("logits")[k] for k in range(K)]
-    rows = A.activations(spark, sf).select("id", F.array(*[
-        openmax.rank_alpha(v, k, F.lit(5)) for k in range(K)]).alias("r"))
-    return rows.select("id", F.posexplode("r").alias("k", "alpha"))
+    rows = openmax.with_ranks(A.activations(spark, sf), "logits", K)
+    weights = [openmax.rank_alpha_sql("ranks", k, "5") for k in range(K)]
+    return rows.select("id", F.posexplode(F.expr(f"array({', '.join(weights)})"))
+                       .alias("k", "alpha"))
 
 
 # --- fitting ----------------------------------------------------------------------------------------
