@@ -12,7 +12,7 @@ from flowquarry.functions.text import fixed, joined, percent, template, thousand
 from flowquarry.operators.clean import q
 from flowquarry.operators.lookup import service_of
 from flowquarry.plans.joins import fixed_rows
-from flowquarry.schema import ALERTS_BY_SEVERITY
+from flowquarry.schema import ALERTS_BY_SEVERITY, FINDINGS_TYPE, PROFILE_TYPE
 
 # --- fixed values: severity rules -----------------------------------------------------------
 RATIO_MEDIUM_BELOW, RATIO_HIGH_BELOW = 0.25, 0.45
@@ -175,6 +175,22 @@ def route_alerts(severity: Column) -> Column:
     return out
 
 
+def findings_from_json(doc: Column) -> Column:
+    """Findings record from a JSON message; its port keys are text there and become numbers.
+
+    The order of map entries is kept, the first port being the primary one.
+    """
+    text_keys = FINDINGS_TYPE.simpleString().replace("map<int,", "map<string,")
+    got = F.from_json(doc, text_keys)
+    profile = got["traffic_profile"]
+    fields = [F.transform_keys(profile["top_dst_ports"], lambda k, _: k.try_cast("int"))
+              .alias("top_dst_ports"),
+              *[profile[f.name].alias(f.name) for f in PROFILE_TYPE.fields[1:]]]
+    return F.when(got["traffic_profile"].isNotNull(), got.withField(
+        "traffic_profile", F.struct(*fields))).otherwise(got.withField(
+            "traffic_profile", F.lit(None).cast(PROFILE_TYPE)))
+
+
 def targeted_services(top_ports: Column) -> Column:
     """Services of the three most frequent ports."""
     entries = F.map_entries(top_ports)

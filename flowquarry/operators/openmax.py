@@ -93,7 +93,7 @@ def _tail_fitter():
         k = (lo + hi) / 2
         return k, float(top * np.mean(z ** k) ** (1.0 / k))
 
-    def per_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fit = mle(pdf["distance"].to_numpy())
         shape, scale = fit if fit else (None, None)
         return pd.DataFrame({

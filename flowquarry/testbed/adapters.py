@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowquarry.sources.flows import spread
+
 SOURCE_FILE = "concat(l_linestatus, '-', CAST(year(l_shipdate) AS STRING), '.csv')"
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 POSITION = "l_orderkey * 8 + l_linenumber"
@@ -140,7 +142,7 @@ def build(df: DataFrame, cols: list[tuple[str, str]]) -> DataFrame:
 
 
 def flows(spark, sf) -> DataFrame:
-    return build(table(spark, sf, "lineitem"), FLOWS)
+    return build(spread(table(spark, sf, "lineitem"), ["l_orderkey"]), FLOWS)
 
 
 def predictions(spark, sf) -> DataFrame:

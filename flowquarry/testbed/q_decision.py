@@ -209,7 +209,8 @@ def _(spark, sf):
 @query("e1_analyze", f"""WITH {VERDICT_SQL} SELECT v.*, flow_count AS row_count, {len(FEATURES)} AS feature_count
 FROM v JOIN findings USING (source_file)""")
 def _(spark, sf):
-    flows = A.build(A.table(spark, sf, "lineitem"), A.FLOWS + A.PREDICTIONS[2:])
+    flows = A.build(A.spread(A.table(spark, sf, "lineitem"), ["l_orderkey"]),
+                    A.FLOWS + A.PREDICTIONS[2:])
 
     def find(df):
         found = findings.capture_findings(df, position="position")
