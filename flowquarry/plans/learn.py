@@ -18,6 +18,7 @@ from flowquarry.functions import vectors as V
 from flowquarry.operators import metrics
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import join_dimension
+from flowquarry.plans.storage import materialize
 
 
 def linear_scores(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float],
@@ -54,9 +55,9 @@ def stratified_split(df: DataFrame, frac: float, seed: int = 42, y: str = "y", i
     rows = rows.withColumn("__cell", F.substring("__h", 1, prefix))
     cells = rows.groupBy(y, "__cell").agg(F.count("*").alias("__n"))
     before = W.partitionBy(y).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(
+    cells = materialize(cells.select(
         y, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), "__n",
-        F.ceil(F.sum("__n").over(W.partitionBy(y)) * F.lit(frac)).alias("__take"))
+        F.ceil(F.sum("__n").over(W.partitionBy(y)) * F.lit(frac)).alias("__take")))
     placed = join_dimension(rows, cells, [y, "__cell"], "inner")
     start, end, take = F.col("__before"), F.col("__before") + F.col("__n"), F.col("__take")
     split = (start < take) & (end > take)

@@ -152,3 +152,58 @@ GROUP BY 1""")
 def _(spark, sf):
     e = A.table(spark, sf, "events").select(text.parse_json(F.col("props"), "k bigint").alias("p"))
     return e.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+# --- small functions and aliases -------------------------------------------------------------------
+
+@query("x1_trim_and_suffix", f"""WITH flows AS ({A.FLOWS_SQL}) SELECT trim("Label") AS label,
+count(*) FILTER (source_file LIKE '%.csv') AS csv, count(*) AS n FROM flows GROUP BY 1""")
+def _(spark, sf):
+    df = A.flows(spark, sf)
+    return df.groupBy(F.trim("Label").alias("label")).agg(
+        F.count_if(text.has_suffix(F.col("source_file"))).alias("csv"), F.count("*").alias("n"))
+
+
+@query("x10_rounding", """SELECT l_orderkey, l_linenumber, CAST(format('{:.1f}', l_extendedprice / 7) AS DOUBLE) AS one,
+CAST(trunc(l_extendedprice) AS BIGINT) AS whole FROM lineitem""")
+def _(spark, sf):
+    from flowquarry.functions.numeric import exact_round
+    return A.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", exact_round(F.col("l_extendedprice") / 7, 1).alias("one"),
+        F.col("l_extendedprice").cast("long").alias("whole"))
+
+
+@query("x11_map_lookup", f"""WITH {COUNTS_SQL} SELECT source_file,
+coalesce(sum(n) FILTER (class_name = 'DoS'), 0)::BIGINT AS dos, first(class_name ORDER BY n DESC, first_at) AS top
+FROM counts GROUP BY 1""")
+def _(spark, sf):
+    d = findings.class_distribution(A.predictions(spark, sf), position="position")
+    m = F.col("class_distribution")
+    return d.select("source_file", F.coalesce(F.try_element_at(m, F.lit("DoS")), F.lit(0)).alias("dos"),
+                    F.map_keys(m)[0].alias("top"))
+
+
+@query("x15_capped_upgrade", """SELECT l_linenumber, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][least(l_linenumber % 4
++ CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END, 3) + 1] AS severity,
+count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def _(spark, sf):
+    from flowquarry.functions.numeric import severity_name, upgrade
+    level = upgrade(F.col("l_linenumber") % 4, F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
+    return A.table(spark, sf, "lineitem").groupBy(
+        "l_linenumber", severity_name(level).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("w5_top_ports_per_capture",
+       f"WITH {PROFILE_SQL} SELECT source_file, k AS port, n, CAST(r AS INT) AS rank FROM pr WHERE r <= 5")
+def _(spark, sf):
+    ports = A.flows(spark, sf).select("source_file", q("Destination Port").try_cast("int").alias("port"))
+    return findings.top_k(ports, ["source_file"], "port")
+
+
+@query("z2_reshape", f"""WITH act AS ({A.ACTIVATIONS_SQL}) SELECT id, 4 AS rows_, round(penultimate[17], 6) AS r1c0
+FROM act""")
+def _(spark, sf):
+    from flowquarry.functions import vectors as V
+    from flowquarry.plans.prepare import as_grid
+    g = as_grid(A.activations(spark, sf), "penultimate", reshape=lambda v: V.to_grid(v, 4, 16))
+    return g.select("id", F.size("grid").alias("rows_"), F.round(F.col("grid")[1][0], 6).alias("r1c0"))

@@ -197,3 +197,10 @@ def _(spark, sf):
         a=base.withColumn("threshold", F.lit(0.5)),
         b=base.withColumns({"tail_size": F.lit(20), "alpha_rank": F.lit(3)}))
     return got.drop("unknown_det", "h_score")
+
+
+@query("u4_multi_path_read", f"""WITH flows AS ({A.FLOWS_SQL})
+SELECT trim("Label") AS label, count(*) * 2 AS n FROM flows GROUP BY 1""")
+def _(spark, sf):
+    df = S.read_flows(spark, [flow_csv(spark, sf), flow_csv(spark, sf)])
+    return df.groupBy(F.trim("Label").alias("label")).agg(F.count("*").alias("n"))
