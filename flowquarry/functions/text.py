@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def template(pattern: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def template_sql(pattern: str, prefix: str = "") -> str:
+    """``pattern`` as SQL text, ``{name}`` standing for the column ``prefix + name``."""
+    parts = re.split(r"\{(\w+)\}", pattern)
+    cells = [f"cast(`{prefix}{p}` as string)" if i % 2 else quoted(p)
+             for i, p in enumerate(parts) if p]
+    return "concat(" + ", ".join(cells) + ")"
+
+
 def has_suffix(c: Column, suffix: str = ".csv") -> Column:
     """File name test, exact case."""
     return F.endswith(c, F.lit(suffix))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.numeric import severity_name, upgrade
-from flowquarry.functions.text import fixed, joined, percent, template, thousands
+from flowquarry.functions.text import fixed, joined, percent, template, template_sql, thousands
 from flowquarry.operators.clean import q
 from flowquarry.operators.lookup import service_of
 from flowquarry.plans.joins import fixed_rows
@@ -226,22 +226,17 @@ def infer_attack(df: DataFrame, profile: str = "traffic_profile", out: str = "in
     """
     facts = _facts(q(profile))
     rows = df.withColumns({f"__{k}": c for k, c in facts.items()})
-    have = {k: F.col(f"__{k}") for k in facts}
-    conditions = {
-        "login": have["port"].isin(SCENARIOS["login"][0]) & (have["avg_bytes"] < SMALL_PAYLOAD),
-        "scan": have["ports"] > MANY_PORTS, "distributed": have["srcs"] > MANY_SOURCES,
-    }
-    chain = None
+    extra = {"login": f" AND __avg_bytes < {SMALL_PAYLOAD}"}
+    special = {"scan": f"__ports > {MANY_PORTS}", "distributed": f"__srcs > {MANY_SOURCES}"}
+    branches = []
     for name, (ports, label, summary, detail, actions) in SCENARIOS.items():
-        fill = lambda text: template(text, **have)
-        value = F.struct(fill(label).alias("label"), fill(summary).alias("summary"),
-                         fill(detail).alias("detail"),
-                         F.array(*[fill(a) for a in actions]).alias("actions"))
-        if name == "other":
-            chain = chain.otherwise(value)
-        else:
-            when = conditions.get(name, have["port"].isin(ports))
-            chain = F.when(when, value) if chain is None else chain.when(when, value)
+        fill = lambda text: template_sql(text, "__")
+        value = (f"named_struct('label', {fill(label)}, 'summary', {fill(summary)}, "
+                 f"'detail', {fill(detail)}, 'actions', array({', '.join(map(fill, actions))}))")
+        listed = f"__port IN ({', '.join(map(str, ports))})" + extra.get(name, "") if ports else ""
+        test = special.get(name, listed)
+        branches.append(f"WHEN {test} THEN {value}" if test else f"ELSE {value}")
+    chain = F.expr("CASE " + " ".join(branches) + " END")
     return rows.withColumn(out, chain).drop(*[f"__{k}" for k in facts])
 
 

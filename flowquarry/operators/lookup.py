@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.functions.text import quoted
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import fixed_rows, join_dimension
 from flowquarry.schema import (KNOWN_CLASSES, LABEL, LABEL_IDS, PORT_SERVICES, PROTOCOLS,
@@ -38,8 +39,7 @@ def class_name(df: DataFrame, col: str = "class_id", out: str = "prediction",
 
 
 def _named(table: dict) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.create_map(*pairs)
+    return F.expr("map(" + ", ".join(f"{k}, {quoted(v)}" for k, v in table.items()) + ")")
 
 
 def service_of(port: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions import vectors as V
 from flowquarry.operators.clean import q
-from flowquarry.plans.storage import materialize
 
 
 @dataclass
@@ -51,21 +50,18 @@ def fit_minmax_imputed(df: DataFrame, cols: Sequence[str],
     range; only a column without any value in some file adds the 0 that fills it. One pass over
     the data gives the same table as imputing first.
     """
-    per_file = materialize(df.groupBy(q(by).alias("__by")).agg(
-        F.count("*").alias("rows"), *[a for i, c in enumerate(cols) for a in (
-            F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))]))
-    filled = per_file.select("rows", *[F.coalesce(f"{e}{i}", F.lit(0.0)).alias(f"{e}{i}")
-                                       for i in range(len(cols)) for e in ("lo", "hi")])
-    wide = filled.agg(F.count("*").alias("files"), F.max("rows").alias("largest"), *[
-        a for i in range(len(cols)) for a in (F.min(f"lo{i}").alias(f"lo{i}"),
-                                              F.max(f"hi{i}").alias(f"hi{i}"))])
-    wide = materialize(wide)
-    table = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"),
-                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(cols)])))
-    sizes = wide.select("files", "largest").first()
-    return table, (sizes["files"], sizes["largest"] or 0)
+    ends = [(e, i) for i in range(len(cols)) for e in ("lo", "hi")]
+    per_file = df.groupBy(q(by).alias("__by")).agg(
+        F.count("*").alias("rows"),
+        *[(F.min if e == "lo" else F.max)(q(cols[i])).alias(f"{e}{i}") for e, i in ends])
+    got = per_file.select("rows", *[F.coalesce(f"{e}{i}", F.lit(0.0)).alias(f"{e}{i}")
+                                    for e, i in ends]).agg(
+        F.count("*").alias("files"), F.max("rows").alias("largest"),
+        *[(F.min if e == "lo" else F.max)(f"{e}{i}").alias(f"{e}{i}") for e, i in ends]).first()
+    table = df.sparkSession.createDataFrame(
+        [(c, i, got[f"lo{i}"], got[f"hi{i}"]) for i, c in enumerate(cols)],
+        "feature string, pos int, min double, max double")
+    return table, (got["files"], got["largest"] or 0)
 
 
 def merge_scalers(*tables: DataFrame) -> DataFrame:

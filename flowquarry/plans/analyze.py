@@ -11,7 +11,7 @@ from flowquarry.operators import clean, decision, findings, openmax
 from flowquarry.operators.scale import Scaler
 from flowquarry.plans import prepare
 from flowquarry.plans.joins import join_dimension
-from flowquarry.schema import GRID_CELLS, MODEL_FEATURES
+from flowquarry.schema import FEATURES, GRID_CELLS, MODEL_FEATURES
 from flowquarry.sources.params import OpenMaxParams
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -55,10 +55,11 @@ def analyze(flows: DataFrame, context: DataFrame, find: Callable[[DataFrame], Da
     """One verdict row per capture: counts, findings from the raw flows, context, verdict.
 
     ``find`` turns flows into findings (for example :func:`predict_flows` with its models bound).
-    ``context`` has one row per capture.
+    ``context`` has one row per capture. Every row of a capture is one flow, so the row count of
+    the preprocessing step is the flow count of the findings and costs no scan of its own.
     """
-    counts = prepare.preprocess_counts(flows, by)
-    found = find(flows).join(counts, by, "left")
+    found = find(flows).withColumns({
+        "row_count": F.col("flow_count"), "feature_count": F.lit(len(FEATURES)).cast("long")})
     return decision.verdict(join_dimension(found, context, [by], "left"), rule)
 
 
