@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, fingerprints, html_text, quality, token_files, url_rules
+from . import arc_warc, bpe, decontaminate, fingerprints, html_text, line_dedup, minmax_dedup, quality, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,12 +28,28 @@ def op1_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf, "documents"))
 
 
+@_query
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark")).drop("k1", "k2")
+
+
+@_query
+def op3_minmax_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minmax_dedup.components(_table(spark, sf, "documents"), k=3, percent=85).drop("k1", "k2")
+
+
 @_query
 def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                       public_tokenizers.PATTERN)
 
 
+@_query
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = line_dedup.deduplicate(_table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @_query
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
