@@ -6,9 +6,11 @@ Parquet and read again. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowquarry.llm import quality
+from flowquarry.llm import bpe, decontaminate, line_dedup, minmax_dedup, quality
 from flowquarry.llm.common import written
 
 
@@ -19,7 +21,30 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.where(quality.score(docs, model) >= quality.KEEP_FROM)
 
 
-STAGES = [("quality classifier", keep_good_quality)]
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that another document has first; n_chars follows the text."""
+    cut = line_dedup.deduplicate(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
+        F.col("n_chars"))).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return minmax_dedup.deduplicate(docs, k=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", keep_good_quality), ("line dedup", cut_repeated_passages),
+          ("near dedup", one_of_each_group), ("benchmark decontamination", without_benchmark), ("byte-level BPE", tokens)]
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, decontaminate, fingerprints, html_text, line_dedup, minmax_dedup, quality, token_files, url_rules
+from . import arc_warc, bpe, decontaminate, fingerprints, html_text, line_dedup, minmax_dedup, oracles, quality, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,7 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op10_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
     return (arc_warc.round_trip(_table(spark, sf, "pages"))
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+ORACLES |= {"op2_benchmark_decontamination": oracles.OP2, "op3_minmax_near_dedup": oracles.OP3, "op5_line_dedup": oracles.OP5,
+            "op10_arc_to_warc": oracles.OP10}
