@@ -1,8 +1,8 @@
 """Repeated passages, found by content-defined chunks of lines.
 
 A text is split at line ends. A chunk ends after a line where a hash rolling over the hashes of two lines is
-divisible by ``MEAN_LINES``, where lines known from other documents meet lines that are not, and around
-every line of at least ``PASSAGE_WORDS`` words. All of this depends on the lines themselves, so inserted or
+divisible by ``MEAN_LINES``, between lines that differ in how many documents have them, and around every
+line of at least ``PASSAGE_WORDS`` words (the hash starts anew after the latter two). All of this depends on the lines themselves, so inserted or
 deleted lines shift no later boundary. A chunk that occurs in several documents stays in the one with the
 smallest doc_id (null ids last) and is removed from the others, if it has several lines, or if it and the
 removed chunks next to it have at least ``PASSAGE_WORDS`` words. Single short lines stay.
@@ -40,21 +40,23 @@ def _n_words(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Hashes (h) of the lines that several documents have, byte for byte; hashes of two lines are left out."""
+    """Hashes (h) of the lines that several documents have, byte for byte, and how many (df); hashes of two lines are left out."""
     each = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.explode_outer(F.array_distinct(lines_of(F.col("text")))).alias("line")).where("line IS NOT NULL")
-    same = each.groupBy("line").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    return (same.select(line_hash(F.col("line")).alias("h"), (F.col("least") < F.col("most")).cast("int").alias("rep"))
-            .groupBy("h").agg(F.count("*").alias("n"), F.max("rep").alias("rep")).where("n = 1 AND rep = 1").select("h"))
+    same = each.groupBy("line").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("df"))
+    return (same.select(line_hash(F.col("line")).alias("h"), F.when(F.col("least") < F.col("most"), F.col("df")).alias("df"))
+            .groupBy("h").agg(F.count("*").alias("n"), F.max("df").alias("df")).where("n = 1 AND df > 1").select("h", "df"))
 
 
 def _ends(lines: Column) -> Column:
-    """Positions of the last lines of all chunks, from all lines (pos, h, words, rep) of a document in order."""
+    """Positions of the last lines of all chunks, from all lines (pos, h, words, df) of a document in order."""
     n = F.size(lines)
     x = lambda i: F.pmod(lines[i]["h"], F.lit(1 << 20))
-    rolled = lambda i: F.pmod(F.when(i > 0, x(F.greatest(i - 1, F.lit(0)))).otherwise(0) * 31 + x(i), F.lit(MEAN_LINES))
     long = lambda i: lines[i]["words"] >= PASSAGE_WORDS
+    prev = lambda i: F.greatest(i - 1, F.lit(0))
+    goes_on = lambda i: (i > 0) & (lines[prev(i)]["df"] == lines[i]["df"]) & ~long(prev(i))
+    rolled = lambda i: F.pmod(F.when(goes_on(i), x(prev(i))).otherwise(0) * 31 + x(i), F.lit(MEAN_LINES))
     nxt = lambda i: F.least(i + 1, n - 1)
-    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (lines[i]["rep"] != lines[nxt(i)]["rep"])
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (lines[i]["df"] != lines[nxt(i)]["df"])
                     | long(i) | long(nxt(i)) | (rolled(i) == 0))
 
 
@@ -64,15 +66,15 @@ def removable(docs: DataFrame) -> DataFrame:
     known, known_path = written(repeated_lines(docs), "repeated-lines")
     each = (docs.select("k1", "k2", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.posexplode_outer(lines_of(F.col("text"))).alias("pos", "line"))
             .where("pos IS NOT NULL").select("k1", "k2", "doc", "pos", line_hash(F.col("line")).alias("h"), _n_words(F.col("line")).alias("words")))
-    marked = each.join(known.withColumn("rep", F.lit(True)), "h", "left").fillna(False, ["rep"])
-    arrays = (marked.groupBy("k1", "k2", "doc").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "words", "rep"))).alias("lines"))
-              .where(F.exists("lines", lambda x: x["rep"])))
+    marked = each.join(known, "h", "left").fillna(0, ["df"])
+    arrays = (marked.groupBy("k1", "k2", "doc").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "words", "df"))).alias("lines"))
+              .where(F.exists("lines", lambda x: x["df"] > 0)))
     ended = arrays.withColumn("ends", _ends(F.col("lines")))
     first = lambda i: F.when(i > 0, F.col("ends")[F.greatest(i - 1, F.lit(0))] + 1).otherwise(0)
     chunked = ended.select("k1", "k2", "doc", F.explode_outer(F.transform("ends", lambda end, i: F.slice(
         F.col("lines"), first(i) + 1, end - first(i) + 1))).alias("part"))
     chunks, chunks_path = written(
-        chunked.where(F.col("part")[0]["rep"])
+        chunked.where(F.col("part")[0]["df"] > 0)
         .select("k1", "k2", "doc", F.col("part")[0]["pos"].alias("start"), F.size("part").alias("n"),
                 F.aggregate("part", F.lit(0), lambda a, x: a + x["words"]).alias("words"),
                 F.transform("part", lambda x: x["h"]).alias("seq")), "line-chunks")

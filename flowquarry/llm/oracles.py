@@ -35,17 +35,17 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
 OP5 = """
 WITH l0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
 l1 AS (SELECT doc_id, unnest(a) AS line, unnest(range(0, len(a))) AS pos, len(a) AS n FROM l0),
-f AS (SELECT line FROM l1 GROUP BY line HAVING min(doc_id) < max(doc_id)),
-l2 AS (SELECT l1.*, f.line IS NOT NULL AS rep, CAST('0x' || substr(md5(l1.line), 1, 15) AS BIGINT) % 1048576 AS x,
+f AS (SELECT line, count(DISTINCT doc_id) AS df FROM l1 GROUP BY line HAVING min(doc_id) < max(doc_id)),
+l2 AS (SELECT l1.*, coalesce(f.df, 0) AS df, CAST('0x' || substr(md5(l1.line), 1, 15) AS BIGINT) % 1048576 AS x,
               length(l1.line) - length(replace(l1.line, ' ', '')) + 1 AS words
        FROM l1 LEFT JOIN f ON f.line = l1.line),
-l3 AS (SELECT *, coalesce(lag(x) OVER w, 0) AS px, lead(rep) OVER w AS nrep, lead(words) OVER w AS nwords
+l3 AS (SELECT *, CASE WHEN lag(df) OVER w = df AND lag(words) OVER w < 50 THEN lag(x) OVER w ELSE 0 END AS px, lead(df) OVER w AS ndf, lead(words) OVER w AS nwords
        FROM l2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-l4 AS (SELECT *, pos = n - 1 OR rep <> nrep OR words >= 50 OR nwords >= 50 OR (px * 31 + x) % 4 = 0 AS stop FROM l3),
+l4 AS (SELECT *, pos = n - 1 OR df <> ndf OR words >= 50 OR nwords >= 50 OR (px * 31 + x) % 4 = 0 AS stop FROM l3),
 l5 AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY pos
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM l4),
 c AS (SELECT doc_id, part, min(pos) AS start, count(*) AS n, sum(words) AS words, list(line ORDER BY pos) AS seq
-      FROM l5 GROUP BY doc_id, part HAVING bool_and(rep)),
+      FROM l5 GROUP BY doc_id, part HAVING min(df) > 0),
 f2 AS (SELECT seq, min(doc_id) AS least FROM c GROUP BY seq HAVING min(doc_id) < max(doc_id)),
 again AS (SELECT c.* FROM c JOIN f2 USING (seq) WHERE doc_id > least),
 i AS (SELECT *, start - coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY start
