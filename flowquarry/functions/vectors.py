@@ -148,8 +148,9 @@ def to_grid(v: Column, rows: int, cols: int) -> Column:
 
 
 def pick_by_name(values: Column, names: Column, wanted: Sequence[str]) -> Column:
-    """Values of the wanted names out of parallel arrays, 0 where a name is absent."""
-    held = F.map_from_arrays(names, values)
-    return let(held, lambda m: F.transform(
-        F.array(*[F.lit(w) for w in wanted]),
-        lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0))))
+    """Values of the wanted names out of parallel arrays, 0 where a name is absent.
+
+    Of a repeated name the first value counts.
+    """
+    return F.transform(F.array(*[F.lit(w) for w in wanted]), lambda n: F.coalesce(
+        F.get(values, F.array_position(names, n).cast("int") - 1), F.lit(0.0)))

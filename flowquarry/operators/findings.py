@@ -39,6 +39,12 @@ def _has(df: DataFrame, *names: str) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
+def protocol_text(cell: Column) -> Column:
+    """Name of a protocol cell: ``6`` and ``6.0`` are one protocol, text stays as it is written."""
+    code = null_if_not_finite(to_number(cell)).try_cast("int")
+    return F.coalesce(protocol_of(code), F.trim(cell.cast("string")))
+
+
 def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
     """One row per capture with a ``traffic_profile`` struct; absent columns give null fields."""
     port, proto = _has(df, "Destination Port", "Dst Port"), _has(df, "Protocol")
@@ -47,8 +53,8 @@ def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
     number = lambda name: null_if_not_finite(to_number(q(name)))
     base = df.select(
         q(by).alias("__by"),
-        (number(port).cast("int") if port else F.lit(None).cast("int")).alias("__port"),
-        (q(proto).cast("string") if proto else F.lit(None).cast("string")).alias("__proto"),
+        (number(port).try_cast("int") if port else F.lit(None).cast("int")).alias("__port"),
+        (protocol_text(q(proto)) if proto else F.lit(None).cast("string")).alias("__proto"),
         (q(ip).cast("string") if ip else F.lit(None).cast("string")).alias("__ip"),
         (number(dur) if dur else F.lit(None).cast("double")).alias("__dur"),
         (number(fwd) if fwd else F.lit(None).cast("double")).alias("__fwd"))
@@ -67,9 +73,8 @@ def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
     ranked = counted.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP_K)
     entry = lambda kind, key: F.collect_list(F.when(F.col("kind") == kind, F.struct(
         "r", key.alias("key"), F.col("count").alias("n"))))
-    name = protocol_of(to_number(F.col("txt")).cast("int"))
     tops = ranked.groupBy("__by").agg(
-        entry(0, F.col("num")).alias("port_list"), entry(1, name).alias("proto_list"))
+        entry(0, F.col("num")).alias("port_list"), entry(1, F.col("txt")).alias("proto_list"))
     n_ports = counted.groupBy("__by").agg(F.sum(F.when(
         (F.col("kind") == 0) & (F.col("count") > 0), 1)).cast("long").alias("n_ports"))
     joined = whole.join(tops, "__by", "left").join(n_ports, "__by", "left").withColumns({
@@ -135,7 +140,8 @@ def findings_from_counts(counts: DataFrame, by: str = "source_file",
                          name: str = "class_name") -> DataFrame:
     """Capture findings from (capture, class) counts: at most one row per class and capture."""
     attack = F.col(name) != NORMAL
-    strength = F.struct(F.col("n"), (-F.col("first_at")).alias("f"))
+    # equal counts go to the class seen first; without positions to the last name in order
+    strength = F.struct(F.col("n"), (-F.col("first_at")).alias("f"), F.col(name).alias("k"))
     g = counts.groupBy(by).agg(
         F.sum("n").alias("flow_count"), F.sum("confidence_sum").alias("cs"),
         F.coalesce(F.sum(F.when(attack, F.col("n"))), F.lit(0)).alias("attacks"),

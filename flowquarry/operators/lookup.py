@@ -44,13 +44,13 @@ def _named(table: dict) -> Column:
 
 def service_of(port: Column) -> Column:
     """Service name of a port, ``port N`` for others."""
-    return F.coalesce(F.try_element_at(_named(PORT_SERVICES), port.cast("int")),
+    return F.coalesce(F.try_element_at(_named(PORT_SERVICES), port.try_cast("int")),
                       F.concat(F.lit("port "), port.cast("string")))
 
 
 def protocol_of(number: Column) -> Column:
     """Protocol name, the number as text for others."""
-    return F.coalesce(F.try_element_at(_named(PROTOCOLS), number.cast("int")),
+    return F.coalesce(F.try_element_at(_named(PROTOCOLS), number.try_cast("int")),
                       number.cast("string"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,7 +11,7 @@ from pyspark.sql import Window as W
 
 from flowquarry.functions.numeric import harmonic, ratio
 from flowquarry.operators.clean import q
-from flowquarry.plans.joins import fixed_rows
+from flowquarry.plans.joins import fixed_rows, join_null_safe
 from flowquarry.plans.ranks import grouped_percentiles, running_totals
 
 
@@ -114,7 +113,7 @@ def binary_auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> Dat
 
 def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
                       score: str = "error", benign: Column | None = None,
-                      positives: str = "file", y: str = "y", parts: int = 64) -> DataFrame:
+                      positives: str = "file", y: str = "y", parts: int | None = None) -> DataFrame:
     """One row of metrics per attack file, each measured against all benign rows.
 
     ``benign`` marks the rows of the benign source. Benign rows are never copied per file: their
@@ -124,16 +123,16 @@ def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
     """
     if positives not in ("file", "label"):
         raise ValueError("positives must be 'file' or 'label'")
-    is_benign = benign if benign is not None else q(file).isNull()
+    is_benign = F.coalesce(benign if benign is not None else q(file).isNull(), F.lit(False))
     hit = q(score) > F.lit(cut)
     label = F.lit(1) if positives == "file" else q(y)
     rows = scored.where(q(score).isNotNull()).select(
-        F.when(is_benign, F.lit(None)).otherwise(q(file)).alias("Attack"),
+        F.when(~is_benign, q(file)).alias("Attack"), is_benign.alias("benign"),
         q(score).alias("s"), hit.alias("hit"),
         F.when(is_benign, 0).otherwise(label).cast("int").alias("pos"))
-    base = rows.where("Attack is null").agg(F.count_if("hit").alias("FP0"),
+    base = rows.where("benign").agg(F.count_if("hit").alias("FP0"),
                                             F.count_if(~F.col("hit")).alias("TN0"))
-    per_file = rows.where("Attack is not null").groupBy("Attack").agg(
+    per_file = rows.where("not benign").groupBy("Attack").agg(
         F.count_if(F.expr("pos = 1 and hit")).alias("TP"),
         F.count_if(F.expr("pos = 1 and not hit")).alias("FN"),
         F.count_if(F.expr("pos = 0 and hit")).alias("FP1"),
@@ -142,9 +141,9 @@ def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
         "Attack", "TP", (F.col("TN0") + F.col("TN1")).alias("TN"),
         (F.col("FP0") + F.col("FP1")).alias("FP"), "FN")
     # benign rows below each distinct score, shared by all files
-    shared = running_totals(rows, "s", {"base": F.col("Attack").isNull().cast("long")},
+    shared = running_totals(rows, "s", {"base": F.col("benign").cast("long")},
                             parts=parts)
-    own = running_totals(rows.where("Attack is not null"), "s",
+    own = running_totals(rows.where("not benign"), "s",
                          {"pos": F.col("pos").cast("long"), "neg": (1 - F.col("pos")).cast("long")},
                          ["Attack"], parts=parts)
     at = own.join(shared.select("s", "base", "cum_base", "total_base"), "s")
@@ -153,7 +152,7 @@ def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
     auc = at.groupBy("Attack").agg(F.try_divide(F.sum(wins), (
         F.max("total_pos") * (F.max("total_neg") + F.max("total_base"))).cast("double"))
         .alias("AUC"))
-    return binary_metrics(counts).join(auc, "Attack").select(
+    return join_null_safe(binary_metrics(counts), auc, ["Attack"]).select(
         "Attack", F.lit(float(cut)).alias("Threshold"), "Accuracy", "Precision", "Recall", "F1",
         "AUC", "TP", "TN", "FP", "FN")
 
@@ -231,7 +230,7 @@ def one_vs_rest(df: DataFrame, k: int, y: str = "y", probs: str = "probabilities
         *keep, "class", "score", (F.col("__y") == F.col("class")).cast("int").alias("hit"))
 
 
-def curve_points(ovr: DataFrame, by: Sequence[str] = ("class",), parts: int = 64) -> DataFrame:
+def curve_points(ovr: DataFrame, by: Sequence[str] = ("class",), parts: int | None = None) -> DataFrame:
     """Cumulative true and false positives at every distinct score, highest first."""
     hit = F.col("hit").cast("long")
     r = running_totals(ovr, "score", {"tp": hit, "fp": 1 - hit}, by, descending=True, parts=parts)
@@ -335,7 +334,7 @@ def confidence_stats(df: DataFrame, confidence: str = "confidence",
     """Min, mean and exact median of the top probability, known vs unknown."""
     plain = df.groupBy(by).agg(F.min(confidence).alias("min"), F.avg(confidence).alias("mean"))
     med = grouped_percentiles(df, [confidence], [by], 0.5, **options)
-    return plain.join(med.withColumnRenamed(confidence, "median"), by)
+    return join_null_safe(plain, med.withColumnRenamed(confidence, "median"), [by])
 
 
 def unknown_misclassification(df: DataFrame, k: int, pred: str = "pred",
@@ -401,26 +400,65 @@ def contingency(df: DataFrame, y: str = "y", cluster: str = "cluster") -> DataFr
         F.count("*").alias("n"))
 
 
+def _cheapest(cost: list[list[int]]) -> list[int]:
+    """Column of every row of a square cost matrix, so that the sum is least.
+
+    Rows enter one by one; each looks for the cheapest path of exchanges to a free column under prices
+    that keep the costs of taken columns at zero.
+    """
+    k = len(cost)
+    row_price, col_price = [0] * k, [0] * (k + 1)
+    owner = [-1] * (k + 1)  # row that holds a column; column k is where the entering row stands
+    for row in range(k):
+        owner[k] = row
+        at, seen = k, [False] * (k + 1)
+        slack, came = [None] * k, [k] * k
+        while owner[at] != -1:
+            seen[at] = True
+            here, nearest, step = owner[at], -1, None
+            for col in range(k):
+                if seen[col]:
+                    continue
+                left = cost[here][col] - row_price[here] - col_price[col]
+                if slack[col] is None or left < slack[col]:
+                    slack[col], came[col] = left, at
+                if step is None or slack[col] < step:
+                    nearest, step = col, slack[col]
+            for col in range(k + 1):
+                if seen[col]:
+                    row_price[owner[col]] += step
+                    col_price[col] -= step
+                elif col < k:
+                    slack[col] -= step
+            at = nearest
+        while at != k:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    chosen = [0] * k
+    for col in range(k):
+        chosen[owner[col]] = col
+    return chosen
+
+
 def best_assignment(counts: DataFrame, k: int) -> DataFrame:
-    """One-to-one cluster -> class with the most agreeing rows, for k up to 7.
+    """One-to-one cluster -> class with the most agreeing rows, from the k*k counts.
 
-    All k! assignments are listed (5,040 at most) and summed against the k*k counts; equal sums
-    go to the first assignment in lexical order.
+    Equal sums go to the first assignment in lexical order. Codes outside 0..k-1 are ignored.
     """
-    if k > 7:
-        raise ValueError("one-to-one matching is limited to 7 classes")
-    spark = counts.sparkSession
-    perms = [(i, list(p)) for i, p in enumerate(itertools.permutations(range(k)))]
-    options = spark.createDataFrame(perms, "perm int, ys array<int>")
-    pairs = options.select("perm", F.posexplode("ys").alias("cluster", "y"))
-    scored = (pairs.join(F.broadcast(counts), ["y", "cluster"], "left").groupBy("perm")
-              .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("agree")))
-    best = scored.orderBy(F.desc("agree"), F.asc("perm")).limit(1)
-    return pairs.join(F.broadcast(best), "perm").select("cluster", "y", "agree")
+    n = [[0] * k for _ in range(k)]
+    inside = counts.where(F.col("y").between(0, k - 1) & F.col("cluster").between(0, k - 1))
+    for r in inside.groupBy("cluster", "y").agg(F.sum("n").alias("n")).collect():
+        n[r["cluster"]][r["y"]] = r["n"]
+    # the lexical rank of an assignment is below k**k, so it decides between equal sums only
+    cost = [[-n[c][y] * k**k + y * k**(k - 1 - c) for y in range(k)] for c in range(k)]
+    chosen = _cheapest(cost)
+    agree = sum(n[c][y] for c, y in enumerate(chosen))
+    return counts.sparkSession.createDataFrame(
+        [(c, y, agree) for c, y in enumerate(chosen)], "cluster int, y int, agree long")
 
 
 def apply_assignment(df: DataFrame, assignment: DataFrame, cluster: str = "cluster",
                      out: str = "pred") -> DataFrame:
-    """Replace cluster codes by their matched classes (at most 7 rows are broadcast)."""
+    """Replace cluster codes by their matched classes (one row a class is broadcast)."""
     a = F.broadcast(assignment.select(F.col("cluster").alias("__c"), F.col("y").alias(out)))
     return df.join(a, q(cluster) == F.col("__c"), "left").drop("__c")

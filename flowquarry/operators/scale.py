@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,11 @@ from flowquarry.functions import vectors as V
 from flowquarry.operators.clean import q
 
 
+def _span(span: float) -> float:
+    """Range to divide by; one that is no more than rounding noise counts as constant."""
+    return 1.0 if span < 10 * sys.float_info.epsilon else span
+
+
 @dataclass
 class Scaler:
     """Fitted minima and maxima, one pair per feature."""
@@ -25,7 +31,7 @@ class Scaler:
     def transform_expr(self, i: int, c):
         """Scaled cell; a constant feature divides by 1, and nothing is clipped."""
         span = self.maxs[i] - self.mins[i]
-        factor = (self.high - self.low) / (span if span != 0 else 1.0)
+        factor = (self.high - self.low) / _span(span)
         return c * F.lit(factor) + F.lit(self.low - self.mins[i] * factor)
 
 
@@ -95,7 +101,7 @@ def apply_minmax(df: DataFrame, scaler: Scaler, single: bool = False) -> DataFra
 
 def scale_vector(df: DataFrame, scaler: Scaler, vec: str = "features") -> DataFrame:
     """Scale a packed vector whose cells follow the scaler's feature order."""
-    spans = [b - a if b != a else 1.0 for a, b in zip(scaler.mins, scaler.maxs)]
+    spans = [_span(b - a) for a, b in zip(scaler.mins, scaler.maxs)]
     factors = [(scaler.high - scaler.low) / s for s in spans]
     shifts = [scaler.low - a * f for a, f in zip(scaler.mins, factors)]
     scaled = F.zip_with(F.zip_with(q(vec), V.vector(factors), lambda x, f: x * f),

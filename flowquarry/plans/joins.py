@@ -13,10 +13,19 @@ def fixed_rows(spark, rows, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def join_null_safe(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null: a group without a name is a group."""
+    held = dim.withColumnsRenamed({k: f"__key{i}" for i, k in enumerate(on)})
+    same = [df[f"`{k}`"].eqNullSafe(held[f"__key{i}"]) for i, k in enumerate(on)]
+    return df.join(held, same, how).drop(*[f"__key{i}" for i in range(len(on))])
+
+
 def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                   rows: int | None = None) -> DataFrame:
+                   rows: int | None = None, null_safe: bool = False) -> DataFrame:
     """Join ``dim`` to ``df``, broadcasting it only if its counted size is below the bound.
 
+    ``null_safe`` lets null keys match null keys.
+
     ``rows`` passes a row count the caller already knows. Beyond the bound the join shuffles
     both sides and adaptive execution splits the partitions of hot keys.
     """
@@ -24,4 +33,5 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "lef
     bound = BROADCAST_CELLS // width
     if rows is None:
         rows = dim.limit(bound + 1).count()
-    return df.join(F.broadcast(dim) if rows <= bound else dim, on, how)
+    side = F.broadcast(dim) if rows <= bound else dim
+    return join_null_safe(df, side, on, how) if null_safe else df.join(side, on, how)

@@ -58,7 +58,7 @@ def stratified_split(df: DataFrame, frac: float, seed: int = 42, y: str = "y", i
     cells = materialize(cells.select(
         y, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), "__n",
         F.ceil(F.sum("__n").over(W.partitionBy(y)) * F.lit(frac)).alias("__take")))
-    placed = join_dimension(rows, cells, [y, "__cell"], "inner")
+    placed = join_dimension(rows, cells, [y, "__cell"], "inner", null_safe=True)
     start, end, take = F.col("__before"), F.col("__before") + F.col("__n"), F.col("__take")
     split = (start < take) & (end > take)
     whole = placed.where(~split).withColumn("is_test", end <= take)

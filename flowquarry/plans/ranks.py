@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowquarry.plans.joins import join_dimension
+from flowquarry.plans.joins import join_dimension, join_null_safe
 from flowquarry.plans.storage import materialize
 
 PARTS = 64
@@ -24,11 +24,18 @@ DIRECT_CELLS = 2_000_000
 _BUCKET = "__range"
 
 
-def _with_ranges(df: DataFrame, sample_from: DataFrame, value: str, parts: int) -> DataFrame:
+def _parts(df: DataFrame, parts: int | None) -> int:
+    """Ranges of a group: at least as many as the session's shuffles have partitions."""
+    return parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _with_ranges(df: DataFrame, sample_from: DataFrame, value: str,
+                 parts: int | None) -> DataFrame:
     """Add the range number of ``value``; cut points are at most ``parts`` numbers.
 
     The cuts only balance work, they never change a result, so an approximate sketch is enough.
     """
+    parts = _parts(df, parts)
     probs = [i / parts for i in range(1, parts)]
     cuts = sample_from.select(F.col(value).cast("double").alias("v")).approxQuantile(
         "v", probs, 1.0 / (2 * parts)) if probs else []
@@ -53,15 +60,15 @@ def _add_offsets(rows: DataFrame, by: list[str], sums: list[str], descending: bo
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"before_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
     )
-    return rows.join(offsets, [*by, _BUCKET])
+    return join_null_safe(rows, offsets, [*by, _BUCKET])
 
 
 def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
-                   descending: bool = False, parts: int = PARTS,
+                   descending: bool = False, parts: int | None = None,
                    ranges: Column | None = None) -> DataFrame:
     """One row per (group, distinct value) with ``s``, ``cum_s`` (inclusive) and ``total_s``.
 
-    Group columns must not be null. ``ranges`` supplies a monotone range number computed from
+    Rows of a null group are a group of their own. ``ranges`` supplies a monotone range number computed from
     ``value`` when the caller knows the distribution; otherwise cut points are sketched.
     """
     by = list(by)
@@ -83,7 +90,7 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Seque
 
 
 def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str,
-                  parts: int = PARTS) -> DataFrame:
+                  parts: int | None = None) -> DataFrame:
     """0-based position of each row in its group, ordered by ``order`` (first column numeric)."""
     by, order = list(by), list(order)
     rows = _with_ranges(df.withColumn("__one", F.lit(1)), df, order[0], parts)
@@ -119,6 +126,11 @@ def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p
     return _narrowed_percentiles(df, cols, by, p)
 
 
+def _between(a: Column, b: Column, w: Column) -> Column:
+    """Interpolated value; the value itself where both ends are equal, infinite or not."""
+    return F.when((a == b) | (w == 0), a).otherwise((1 - w) * a + w * b)
+
+
 def _narrowed_percentiles(df: DataFrame, cols: list[str], by: list[str], p: float,
                           whole_below: int = 10_000) -> DataFrame:
     margin, accuracy = 0.002, 2000
@@ -139,11 +151,12 @@ def _narrowed_percentiles(df: DataFrame, cols: list[str], by: list[str], p: floa
           .otherwise(F.col(f"q{i}")[0]).alias(f"lo{i}") for i in idx],
         *[F.when(F.col(f"n{i}") <= whole_below, F.col(f"max{i}"))
           .otherwise(F.col(f"q{i}")[1]).alias(f"hi{i}") for i in idx]))
-    placed = join_dimension(rows, brackets.drop(*[f"n{i}" for i in idx]), by, "inner")
+    placed = join_dimension(rows, brackets.drop(*[f"n{i}" for i in idx]), by, "inner",
+                            null_safe=True)
     # pass 2: rows below the bracket are counted in place
     below = placed.groupBy(*by).agg(
         *[F.sum((F.col(f"v{i}") < F.col(f"lo{i}")).cast("long")).alias(f"b{i}") for i in idx])
-    facts = brackets.join(below, by).select(*by, F.posexplode(F.array(*[
+    facts = join_null_safe(brackets, below, by).select(*by, F.posexplode(F.array(*[
         F.struct(F.col(f"n{i}").alias("n"), F.coalesce(f"b{i}", F.lit(0)).alias("below"))
         for i in idx])).alias("item", "f")).select(*by, "item", "f.n", "f.below")
     # pass 3: only values inside the bracket leave the scan
@@ -161,12 +174,12 @@ def _narrowed_percentiles(df: DataFrame, cols: list[str], by: list[str], p: floa
     end = F.col("below") + F.col("cum_n_here")
     start = end - F.col("n_here")
     holds = lambda r: (start <= r) & (r < end)
-    picked = (ranked.join(facts, [*by, "item"]).where(holds(first) | holds(last))
+    picked = (join_null_safe(ranked, facts, [*by, "item"]).where(holds(first) | holds(last))
               .groupBy(*by, "item").agg(
                   F.max(F.when(holds(first), F.col("v"))).alias("a"),
                   F.max(F.when(holds(last), F.col("v"))).alias("b"),
                   F.first(pos - first).alias("w")))
-    picked = picked.withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * F.col("w"))
+    picked = picked.withColumn("v", _between(F.col("a"), F.col("b"), F.col("w")))
     wide = picked.groupBy(*by).agg(
         *[F.max(F.when(F.col("item") == i, F.col("v"))).alias(cols[i]) for i in idx])
-    return brackets.select(*by).join(wide, by, "left")
+    return join_null_safe(brackets.select(*by), wide, by, "left")

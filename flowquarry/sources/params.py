@@ -85,9 +85,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A write to this folder has ended; a folder without the mark is a failed one."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, from its listing alone."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return [entry.getPath().getName() for entry in listed]
+
+
 def scaler_or_fit(spark: SparkSession, path: str, fit) -> DataFrame:
     """Reuse a stored scaler, or call ``fit`` and store its table."""
-    if not path_exists(spark, path):
+    if not is_complete(spark, path):
         write_scaler(fit(), path)
     return read_scaler(spark, path)
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowquarry.schema import HISTORY_TYPE
-from flowquarry.sources.params import path_exists
+from flowquarry.sources.params import is_complete
 
 
 def materialize_features(df: DataFrame, path: str, partition_by: str | None = None) -> int:
-    """Write a prepared data set once; an existing one is kept. Returns its row count."""
+    """Write a prepared data set once; a complete one is kept. Returns its row count."""
     spark = df.sparkSession
-    if not path_exists(spark, path):
-        writer = df.write.mode("errorifexists")
+    if not is_complete(spark, path):
+        writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)

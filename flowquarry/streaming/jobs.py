@@ -16,7 +16,7 @@ from flowquarry.operators.packets import flow_features_windowed
 from flowquarry.operators.scale import fit_minmax, merge_scalers
 from flowquarry.plans.storage import scratch_path
 from flowquarry.schema import ALERT_TYPES, SEVERITIES
-from flowquarry.sources.params import path_exists
+from flowquarry.sources.params import child_names, path_exists
 
 
 def _start(writer, checkpoint: str | None, spark, label: str, once: bool) -> StreamingQuery:
@@ -83,8 +83,11 @@ def stream_scaler(flows: DataFrame, cols: Sequence[str], out: str, checkpoint: s
 
 def latest_scaler(spark, out: str) -> DataFrame:
     """Newest complete scaler version."""
-    versions = spark.read.option("basePath", out).parquet(f"{out}/version=*")
-    newest = versions.agg(F.max("version")).first()[0]
+    newest = max((int(name.removeprefix("version=")) for name in child_names(spark, out)
+                  if name.startswith("version=")
+                  and path_exists(spark, f"{out}/{name}/_SUCCESS")), default=None)
+    if newest is None:
+        raise ValueError(f"no complete scaler version below {out}")
     return spark.read.parquet(f"{out}/version={newest}")
 
 
