@@ -35,7 +35,7 @@ from .common import CommittedFile, id_blocks, in_blocks, locate, map_arrow, para
 
 FRAME_IDS, LEVEL = 1 << 16, 3
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the zstandard seekable format
-_KNOWN = 500_000
+_KNOWN_RUNS, _KNOWN_WORDS = 500_000, 1_000_000
 
 
 class SeekableWriter:
@@ -122,9 +122,11 @@ class TokenFile:
 
 
 class WordEncoder:
-    """The tokenizers library, called once for each distinct run of characters without ASCII white space.
+    """The tokenizers library, called once for each distinct word.
 
-    Its vocabulary drops white space and splits at it, so the ids of a text are those of its runs.
+    Its vocabulary drops white space and splits at it, so the ids of a text are those of its runs of other
+    characters (ASCII white space is enough to part them). It also parts letters from marks and lower-cases, so a run
+    of letters and one mark has the ids of both, and ASCII letters those of their lower case.
     """
 
     def __init__(self, path: str):
@@ -132,27 +134,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._now: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._runs, self._words = ({}, {}), ({}, {})
+
+    @staticmethod
+    def _lacking(store: tuple[dict, dict], keys: set[bytes]) -> set[bytes]:
+        """Keys of neither generation; those of the older one become current."""
+        now, old = store
+        lacking = keys - now.keys()
+        for key in lacking & old.keys():
+            now[key] = old[key]
+        return lacking - old.keys()
+
+    @staticmethod
+    def _parts(run: bytes) -> tuple[bytes, bytes]:
+        """Word and mark of a run, or the run as it is."""
+        word, mark = (run[:-1], run[-1:]) if run[-1:] in b",.!?;:" else (run, b"")
+        if word.isalpha():
+            return word.lower(), mark
+        letters = word.decode("utf-8", "replace") if mark else ""
+        return (word, mark) if letters.isalpha() and letters.lower().isalpha() else (run, b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        if len(self._now) > _KNOWN:
-            self._now, self._old = {}, self._now
-        now, old = self._now, self._old
+        if len(self._runs[0]) > _KNOWN_RUNS:
+            self._runs = {}, self._runs[0]
+        if len(self._words[0]) > _KNOWN_WORDS:
+            self._words = {}, self._words[0]
         runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        lacking = set().union(*runs) - now.keys()
-        for run in lacking & old.keys():
-            now[run] = old[run]
-        fresh = list(lacking - old.keys())
-        coded = self._tokenizer.encode_batch([r.decode("utf-8", "replace") for r in fresh], add_special_tokens=False)
-        for run, enc in zip(fresh, coded):
-            now[run] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
-        return [b"".join(map(now.__getitem__, r)) for r in runs]
+        parts = {run: self._parts(run) for run in self._lacking(self._runs, set().union(*runs))}
+        new = list(self._lacking(self._words, set().union(*parts.values()) - {b""}))
+        words, known = self._words[0], self._runs[0]
+        coded = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        for word, enc in zip(new, coded):
+            ids = enc.ids
+            words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for run, (word, mark) in parts.items():
+            known[run] = words[word] + words[mark] if mark else words[word]
+        return [b"".join(map(known.__getitem__, r)) for r in runs]
 
 
 _encoders: dict[str, WordEncoder] = {}
-_SLICE = 500
+_SLICE = 1000
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame:
