@@ -97,15 +97,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Q
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression with a small ridge, by Newton steps."""
+    """Weighted logistic regression with a small ridge, by Newton steps that are halved until the loss falls."""
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-9] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(50):
+    ridge = np.array([1e-9] + [1e-2] * (x.shape[1] - 1))
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(weight @ (np.logaddexp(0, z) - y * z) + (ridge * v) @ v / 2)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + ridge @ w
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, grad)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        grad = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), grad)
+        part = 1.0
+        while part > 1e-6 and loss(w - part * step) > now - 1e-4 * part * (grad @ step):
+            part /= 2
+        w = w - part * step
+        before, now = now, loss(w)
+        if abs(before - now) <= 1e-10 * (1 + abs(now)):
             break
     return w
 
