@@ -164,7 +164,7 @@ class WordEncoder:
         parts = {run: self._parts(run) for run in self._lacking(self._runs, set().union(*runs))}
         new = list(self._lacking(self._words, set().union(*parts.values()) - {b""}))
         words, known = self._words[0], self._runs[0]
-        coded = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for word, enc in zip(new, coded):
             ids = enc.ids
             words[word] = struct.pack(f"<{len(ids)}I", *ids)
