@@ -66,7 +66,7 @@ def removable(docs: DataFrame) -> DataFrame:
     known, known_path = written(repeated_lines(docs), "repeated-lines")
     each = (docs.select("k1", "k2", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.posexplode_outer(lines_of(F.col("text"))).alias("pos", "line"))
             .where("pos IS NOT NULL").select("k1", "k2", "doc", "pos", line_hash(F.col("line")).alias("h"), _n_words(F.col("line")).alias("words")))
-    marked = each.join(known, "h", "left").fillna(0, ["df"])
+    marked = each.join(known.hint("merge"), "h", "left").fillna(0, ["df"])
     arrays = (marked.groupBy("k1", "k2", "doc").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "words", "df"))).alias("lines"))
               .where(F.exists("lines", lambda x: x["df"] > 0)))
     ended = arrays.withColumn("ends", _ends(F.col("lines")))
@@ -80,7 +80,7 @@ def removable(docs: DataFrame) -> DataFrame:
                 F.transform("part", lambda x: x["h"]).alias("seq")), "line-chunks")
     firsts, firsts_path = written(chunks.groupBy("seq").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
                                   .where("least < most").select("seq", "least"), "first-chunks")
-    again = chunks.join(firsts, "seq").where("doc > least").select("k1", "k2", "start", "n", "words").distinct()
+    again = chunks.join(firsts.hint("merge"), "seq").where("doc > least").select("k1", "k2", "start", "n", "words").distinct()
     of_doc = W.partitionBy("k1", "k2").orderBy("start")
     island = F.col("start") - F.coalesce(F.sum("n").over(of_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     passages = again.withColumn("island", island).withColumn("in_all", F.sum("words").over(W.partitionBy("k1", "k2", "island")))
@@ -99,7 +99,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = F.transform(F.sequence(F.lit(0), m), lambda j: F.struct(
         F.when(j > 0, cut[F.greatest(j - 1, F.lit(0))]["start"] + cut[F.greatest(j - 1, F.lit(0))]["n"]).otherwise(0).alias("a"),
         F.when(j < m, cut[F.least(j, m - 1)]["start"]).otherwise(F.col("n_lines")).alias("b")))
-    joined = keyed.join(cuts, ["k1", "k2"], "left")
+    joined = keyed.join(cuts.hint("merge"), ["k1", "k2"], "left")
     whole = joined.withColumn("lines", F.when(cut.isNotNull(), lines)).withColumn("n_lines", F.size("lines"))
     shorter = F.array_join(F.flatten(F.transform(kept, lambda r: F.slice(F.col("lines"), r["a"] + 1, r["b"] - r["a"]))), "\n")
     removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
