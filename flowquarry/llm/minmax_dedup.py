@@ -6,11 +6,14 @@ sets with probability J, their Jaccard similarity, and as the ends of one functi
 directions the agreement varies less. Bands of ``ROWS`` entries name buckets. There are as many bands as
 bring the chance to miss a pair at the threshold below ``MISS``.
 
-Equal sets form one class, so copies are never compared. In every bucket with several classes all members are
-compared with one centre, on their full sets, and linked if similar. Buckets whose members are then still in
-several components go on in rounds: members outside the bucket's largest component become centres, a
-bounded number a round, until each has been one. Every pair of a bucket that is not connected already
-is thus compared, no group is ever expanded into all its pairs, and nothing is capped.
+Equal sets form one class, so copies are never compared. A group is first a bucket with several classes. Groups of
+at most ``CLOSED`` members are compared in full. In a larger one all members are compared with one centre, the member that
+shares groups with most others, on their full sets, and linked if similar. What the centre left open is divided: say x is
+not linked with the centre c and y has at least c's size. Similar sets would share more of x than c has, so a shingle
+outside c, and by the size bounds so many that the first ones of both remainders, in order of hash, must meet. The
+next round's groups are therefore the centre and one shingle of such a beginning; sets smaller than the centre that could
+do without get a group of their own. Groups that lie within one component are dropped. Every similar pair of a
+bucket is thus linked or connected otherwise, no large group is expanded into its pairs, and nothing is capped.
 
 A document with fewer words than a shingle is one shingle of all of them. Without words (or text) it has an
 empty set and no links. Rows with one doc_id are documents of their own with that id; the component's id is
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import drop_paths, map_arrow, written
 from .decontaminate import with_keys
 
-ROWS, MISS, CENTRES = 4, 1e-7, 32
+ROWS, MISS, CLOSED = 4, 1e-7, 32
 _PIECE = 1 << 15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -114,15 +117,53 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_arrow(rows, run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    return (pairs.join(right, "b").join(left, "a")
-            .where(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-            .where(both * 100 >= (na + nb - both) * percent).select("a", "b"))
+def _pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare in a round; b is the centre where ``low`` is set, the size of the smallest set of their groups."""
+    sizes, _ = written(groups.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low")), "group-sizes")
+    met, _ = written(groups.join(sizes, "grp").groupBy("node").agg(F.sum("members").alias("met")), "group-meetings")
+    small = groups.join(sizes.where(F.col("members") <= CLOSED), "grp").select("grp", "node")
+    closed = (small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "grp").where("a > b")
+              .select("a", "b", F.lit(None).cast("long").alias("low")))
+    large = groups.join(sizes.where(F.col("members") > CLOSED), "grp").join(met, "node")
+    large, _ = written(large.select("grp", "node", "low", "met"), "large-groups")
+    centres, _ = written(large.groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", F.col("top.node").alias("b")), "group-centres")
+    stars = large.join(centres, "grp").where("node <> b").select(F.col("node").alias("a"), "b", "low")
+    return closed.unionByName(stars).groupBy("a", "b").agg(F.min("low").alias("low"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with the sizes na and nb, both (size of the intersection), similar, and rest: what a has and b lacks."""
+    named, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared-nodes")
+    mine = sets.join(named, "node", "left_semi")
+    left = mine.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
+    right = mine.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.size("shingles").alias("nb"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    found = (pairs.join(right, "b").join(left, "a").where(F.col("low").isNotNull() | near)
+             .withColumn("rest", F.array_except("sa", "sb")).withColumn("both", F.col("na") - F.size("rest")))
+    similar = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+    return found.select("a", "b", "low", "na", "nb", "both", similar.alias("similar"),
+                        F.when(F.col("low").isNotNull(), F.col("rest")).alias("rest")).where("similar OR low IS NOT NULL")
+
+
+def _divided(compared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Groups (grp, node, n) in which pairs of different components may still be similar."""
+    least = F.greatest("low", F.ceil(F.col("na") * percent / F.lit(100.0)))
+    needed = F.ceil((F.col("na") + least) * percent / F.lit(100.0 + percent)) - F.col("both")
+    star = compared.where("low IS NOT NULL").withColumn("needed", F.when(F.col("similar"), 1).otherwise(needed))
+    begin = F.slice("rest", 1, F.greatest(F.size("rest") - F.greatest("needed", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    by_shingle = star.select("a", "b", "na", F.lit(False).alias("free"), F.explode(begin).alias("at"))
+    without = star.where("needed < 1 OR na < nb").select("a", "b", "na", (F.col("needed") < 1).alias("free"), F.lit(None).cast("long").alias("at"))
+    parts = by_shingle.unionByName(without).select(
+        F.xxhash64("b", F.col("at").isNull(), "at").alias("grp"), F.col("a").alias("node"), F.col("na").cast("long").alias("n"),
+        (F.col("free") | F.col("at").isNotNull()).alias("open"))
+    if labels is None:
+        rooted = parts.withColumn("root", F.col("node"))
+    else:
+        rooted = parts.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted, _ = written(rooted, "group-parts")
+    still, _ = written(rooted.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("open"))
+                       .where("r0 <> r1 AND open").select("grp"), "open-groups")
+    return rooted.join(still, "grp").groupBy("grp", "node").agg(F.max("n").alias("n"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -156,33 +197,6 @@ def connected(edges: DataFrame) -> DataFrame:
         roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def _round(entries: DataFrame, labels: DataFrame | None, used: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """New centres (bucket, node) and the pairs (a, b) of a round."""
-    if labels is None:
-        centres = entries.groupBy("bucket").agg(F.min("node").alias("centre"))
-        pairs = entries.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-        return centres.select("bucket", F.col("centre").alias("node")), pairs.distinct()
-    own = entries.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own, _ = written(own, "bucket-members")
-    sizes = own.groupBy("bucket", "root").count()
-    largest = (sizes.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts"))
-               .where("parts > 1").select("bucket", F.col("top.root").alias("top")))
-    largest, _ = written(largest, "bucket-tops")
-    waiting = (own.join(largest, "bucket").where("root <> top").select("bucket", "node", "root")
-               .join(used, ["bucket", "node"], "left_anti"))
-    waiting, _ = written(waiting, "bucket-waiting")
-    many = waiting.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    many, _ = written(many, "bucket-sizes")
-    centres = (waiting.join(many, "bucket")
-               .where((F.col("n") <= CENTRES) | (F.col("node") == F.col("first"))
-                      | (F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / CENTRES)) == 0))
-               .select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")))
-    centres, _ = written(centres, "bucket-centres")
-    pairs = (own.join(centres, "bucket").where("root <> centre_root")
-             .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct())
-    return centres.select("bucket", F.col("centre").alias("node")), pairs
-
-
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept and the keys k1, k2.
 
@@ -192,25 +206,22 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     signed, _ = written(signatures(docs, k, bands_for(percent / 100)), "signatures")
     full = signed.where("n_shingles > 0")
     classes, _ = written(full.groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets")), "set-classes")
-    every = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"),
+        F.first("n_shingles").alias("n")), "set-classes")
+    every = classes.select("node", "n", F.explode("buckets").alias("grp"))
+    shared = every.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
     shared, _ = written(shared, "shared-buckets")
-    entries, _ = written(every.join(shared, "bucket"), "bucket-entries")
-    wanted, _ = written(entries.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2"), "compared-documents")
+    groups, _ = written(every.join(shared, "grp"), "groups")
+    wanted, _ = written(groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2"), "compared-documents")
     sets, _ = written(_sets(docs, wanted, k), "compared-sets")
-    labels = links = used = None
-    turn = 0
-    while True:
-        centres, pairs = _round(entries, labels, used, turn)
-        centres, _ = written(centres, "centres")
-        if centres.isEmpty():
-            break
-        used = centres if used is None else used.unionByName(centres)
-        new, _ = written(_verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels, _ = written(connected(links), "labels")
-        turn += 1
+    labels = links = None
+    while not groups.isEmpty():
+        compared, _ = written(_compared(written(_pairs(groups), "pairs")[0], sets, percent), "compared")
+        new = compared.where("similar").select("a", "b")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels, _ = written(connected(links), "labels")
+        groups, _ = written(_divided(compared, labels, percent), "groups")
     doc_of = classes.select("node", "doc")
     if labels is None:
         final = doc_of.withColumnRenamed("doc", "component_id")

@@ -105,8 +105,8 @@ def test_near_copies(spark):
 
 
 def test_near_copies_in_rounds(spark, monkeypatch):
-    """All documents in one bucket and few centres a round: no link may be lost."""
-    monkeypatch.setattr(minmax_dedup, "CENTRES", 3)
+    """All documents in one bucket and few of a group compared in full: no link may be lost."""
+    monkeypatch.setattr(minmax_dedup, "CLOSED", 4)
     monkeypatch.setattr(minmax_dedup, "signatures", lambda d, k, b, f=minmax_dedup.signatures: f(d, k, b).withColumn(
         "buckets", F.array(F.lit(1).cast("long"))))
     base, texts = words(60, 5), []
@@ -116,6 +116,20 @@ def test_near_copies_in_rounds(spark, monkeypatch):
     want = _components(list(enumerate(texts)), 1, 85)
     assert 1 < len({c for _, c in want.values()}) < 14
     assert {i: g.component_id for i, g in got.items()} == {i: c for i, (_, c) in want.items()}
+    r = random.Random(3)
+    # variants of variants, of several sizes
+    texts = [base]
+    for i in range(30):
+        w = list(texts[r.randrange(len(texts))])
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(len(w))
+            w[at:at + r.randrange(3)] = words(r.randrange(3), 900 + r.randrange(6))
+        texts.append(w)
+    texts = [" ".join(w) for w in texts]
+    got = by_id(minmax_dedup.components(documents(spark, texts), k=1, percent=85))
+    want = _components(list(enumerate(texts)), 1, 85)
+    assert 1 < len({c for _, c in want.values()})
+    assert {i: g.component_id for i, g in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
 def test_near_copies_stage_and_edges(spark):
