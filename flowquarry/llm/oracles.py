@@ -67,3 +67,61 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> top THEN top END AS refers_to
 FROM m"""
+
+# The checksum is worked out byte by byte with the table of its reflected polynomial; near words meet under what is left of
+# them without a letter.
+OP11 = f"""
+WITH RECURSIVE k(i, c, s) AS (SELECT i, i, 0 FROM (SELECT unnest(range(0, 256)) AS i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM k WHERE s < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM k WHERE s = 8),
+r AS (SELECT DISTINCT doc_id, run, count(*) OVER (PARTITION BY doc_id, run) AS n FROM (
+      SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+b AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+        lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS bytes FROM r WHERE length(run) > 5),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[xor(a, CAST(x AS BIGINT)) % 256 + 1]), 4294967295), 4294967295) AS h FROM b, t),
+w0 AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w0 WHERE length(word) > 5 GROUP BY word HAVING sum(n) > 4),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT x.word, y.word AS near FROM v x JOIN v y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.rest = w.word),
+q AS (SELECT p.word, near, w.n FROM p JOIN w ON w.word = p.near),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS near, max(n) AS m FROM q GROUP BY word),
+e AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN near END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n
+      FROM w LEFT JOIN f ON f.word = w.word),
+g(word, place) AS (SELECT word, word FROM e UNION ALL SELECT g.word, e.form FROM g JOIN e ON e.word = g.place WHERE e.form IS NOT NULL)
+SELECT e.word, e.form, g.place AS root, e.n, e.n_near, e.form_n FROM e JOIN g ON g.word = e.word JOIN e z ON z.word = g.place AND z.form IS NULL"""
+
+
+def op12(rules) -> str:
+    """Matches and the texts between them by rule; their lengths give the positions."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    each = " UNION ALL ".join(
+        f"SELECT r, {no} AS k, '{x.name}' AS kind, {x.least} AS least, string_split_regex(text, {quoted(x.pattern)}) AS gap, "
+        f"regexp_extract_all(text, {quoted(x.pattern)}) AS hit, regexp_extract_all(text, {quoted(x.pattern)}, {x.group}) AS part FROM d"
+        for no, x in enumerate(rules))
+    counts = ", ".join(f"CAST(coalesce(n{no}, 0) AS BIGINT) AS n_{x.name}" for no, x in enumerate(rules) if no < 3)
+    sums = ", ".join(f"count(*) FILTER (WHERE k = {no}) AS n{no}" for no in range(3))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({each}),
+u AS (SELECT r, k, kind, least, unnest(range(1, len(hit) + 1)) AS i, gap, hit, part FROM m WHERE len(hit) > 0),
+l AS (SELECT r, k, kind, i, length(hit[i]) AS n, length(part[i]) >= least AS ok, length(gap[i]) + length(hit[i]) AS step FROM u),
+s AS (SELECT *, CAST(sum(step) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS stop FROM l),
+f AS (SELECT r, k, stop - n AS start, kind || ':' || (stop - n) || ':' || stop AS span FROM s WHERE ok),
+g AS (SELECT r, {sums}, string_agg(span, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM f GROUP BY r)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.r = d.r"""
+
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

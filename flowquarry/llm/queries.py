@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, decontaminate, fingerprints, html_text, line_dedup, minmax_dedup, oracles, quality, token_files, url_rules
+from ..plans.storage import scratch_path
+from . import (arc_warc, blob_ledger, bpe, decontaminate, fingerprints, hard_negatives, html_text, line_dedup, minmax_dedup, oracles, quality, spelling,
+               token_files, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,5 +93,32 @@ def op10_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+@_query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf, "documents"), one_in=199)
+
+
+@_query
+def op12_secret_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents against a new ledger."""
+    rules = blob_ledger.BASE + blob_ledger.ADDED
+    found = blob_ledger.scan(_table(spark, sf, "documents").select("doc_id", "text"), rules, scratch_path(spark, "secret-ledger"))
+    spans = F.col("findings")
+    base = F.filter(spans, lambda s: s["rule_no"] < len(blob_ledger.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["rule"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.name) for r in blob_ledger.BASE], F.sha2(blob_ledger.listed(base), 256).alias("base_sha256"), blob_ledger.listed(spans).alias("spans"))
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "embeddings").where("label IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 ORACLES |= {"op2_benchmark_decontamination": oracles.OP2, "op3_minmax_near_dedup": oracles.OP3, "op5_line_dedup": oracles.OP5,
-            "op10_arc_to_warc": oracles.OP10}
+            "op10_arc_to_warc": oracles.OP10, "op11_spelling_variants": oracles.OP11, "op12_secret_ledger": oracles.op12(blob_ledger.BASE + blob_ledger.ADDED),
+            "op13_hard_negatives": oracles.OP13}
