@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.numeric import null_if_not_finite, to_number
 from flowquarry.plans.joins import join_dimension
-from flowquarry.plans.ranks import group_sizes, grouped_percentiles
+from flowquarry.plans.ranks import grouped_percentiles
 from flowquarry.schema import (BENIGN, CRITICALITIES, IDENTITY_COLUMNS, LABEL, RENAMES,
                                ZERO_FEATURES, ZONES)
 
@@ -120,24 +120,22 @@ def null_inf_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.col(f"i{i}").alias("infs")) for i, c in enumerate(cols)])))
 
 
-def file_medians(df: DataFrame, cols: Sequence[str], by: str = "source_file", **options) -> DataFrame:
+def file_medians(df: DataFrame, cols: Sequence[str], by: str = "source_file") -> DataFrame:
     """Exact median of each column per file."""
-    return grouped_percentiles(df, cols, [by], 0.5, **options)
+    return grouped_percentiles(df, cols, [by], 0.5)
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], by: str = "source_file",
-                  medians: DataFrame | None = None, **options) -> DataFrame:
+                  medians: DataFrame | None = None) -> DataFrame:
     """Null cells take the median of their own file; all-null columns stay null.
 
     ``medians`` passes a table of :func:`file_medians` that was computed before.
     """
-    cols, groups = list(cols), None
+    cols = list(cols)
     if medians is None:
-        sizes = options.pop("sizes", None) or group_sizes(df, [by])
-        groups = sizes[0]
-        medians = file_medians(df, cols, by, sizes=sizes, **options)
+        medians = file_medians(df, cols, by)
     med = medians.select(q(by), *[q(c).alias(f"__m{i}") for i, c in enumerate(cols)])
-    joined = join_dimension(df, med, [by], rows=groups)
+    joined = join_dimension(df, med, [by])
     fill = {c: f"__m{i}" for i, c in enumerate(cols)}
     return joined.select(*[F.coalesce(q(c), F.col(fill[c])).alias(c) if c in fill else q(c)
                            for c in df.columns])

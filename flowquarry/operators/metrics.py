@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from flowquarry.functions.numeric import harmonic, ratio
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import fixed_rows, join_null_safe
-from flowquarry.plans.ranks import grouped_percentiles, running_totals
+from flowquarry.plans.ranks import grouped_percentiles, running_totals, score_table, totals_along
 
 
 # --- distributions and thresholds ---------------------------------------------------------
@@ -42,12 +42,12 @@ def class_weights(df: DataFrame, k: int, col: str = "y") -> DataFrame:
 
 
 def threshold(df: DataFrame, error: str = "error", method: str = "percentile",
-              percentile: float = 97, by: Sequence[str] = (), **options) -> DataFrame:
+              percentile: float = 97, by: Sequence[str] = ()) -> DataFrame:
     """Alarm threshold of training errors: exact percentile, or mean + 3 population deviations."""
     if method == "percentile":
         key = list(by) or ["__all"]
         src = df if by else df.withColumn("__all", F.lit(0))
-        got = grouped_percentiles(src, [error], key, percentile / 100.0, **options)
+        got = grouped_percentiles(src, [error], key, percentile / 100.0)
         return got.select(*by, q(error).alias("threshold"))
     if method == "gaussian":
         return df.groupBy(*by).agg((F.avg(error) + 3 * F.stddev_pop(error)).alias("threshold"))
@@ -124,28 +124,25 @@ def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
     if positives not in ("file", "label"):
         raise ValueError("positives must be 'file' or 'label'")
     is_benign = F.coalesce(benign if benign is not None else q(file).isNull(), F.lit(False))
-    hit = q(score) > F.lit(cut)
     label = F.lit(1) if positives == "file" else q(y)
+    pos = F.when(~is_benign, label).cast("int")
     rows = scored.where(q(score).isNotNull()).select(
         F.when(~is_benign, q(file)).alias("Attack"), is_benign.alias("benign"),
-        q(score).alias("s"), hit.alias("hit"),
-        F.when(is_benign, 0).otherwise(label).cast("int").alias("pos"))
-    base = rows.where("benign").agg(F.count_if("hit").alias("FP0"),
-                                            F.count_if(~F.col("hit")).alias("TN0"))
-    per_file = rows.where("not benign").groupBy("Attack").agg(
-        F.count_if(F.expr("pos = 1 and hit")).alias("TP"),
-        F.count_if(F.expr("pos = 1 and not hit")).alias("FN"),
-        F.count_if(F.expr("pos = 0 and hit")).alias("FP1"),
-        F.count_if(F.expr("pos = 0 and not hit")).alias("TN1"))
+        q(score).alias("s"), pos.alias("pos"))
+    # counts by score, written once: everything below reads this table
+    table = score_table(rows, "s", {"pos": (F.col("pos") == 1).cast("long"), "neg": (F.col("pos") == 0).cast("long"),
+                                    "base": F.col("benign").cast("long")}, ["Attack", "benign"], parts)
+    hit = F.col("s") > F.lit(cut)
+    total = lambda n, c, name: F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(name)
+    base = table.where("benign").agg(total("base", hit, "FP0"), total("base", ~hit, "TN0"))
+    per_file = table.where("not benign").groupBy("Attack").agg(
+        total("pos", hit, "TP"), total("pos", ~hit, "FN"), total("neg", hit, "FP1"), total("neg", ~hit, "TN1"))
     counts = per_file.crossJoin(F.broadcast(base)).select(
         "Attack", "TP", (F.col("TN0") + F.col("TN1")).alias("TN"),
         (F.col("FP0") + F.col("FP1")).alias("FP"), "FN")
     # benign rows below each distinct score, shared by all files
-    shared = running_totals(rows, "s", {"base": F.col("benign").cast("long")},
-                            parts=parts)
-    own = running_totals(rows.where("not benign"), "s",
-                         {"pos": F.col("pos").cast("long"), "neg": (1 - F.col("pos")).cast("long")},
-                         ["Attack"], parts=parts)
+    shared = totals_along(table, "s", ["base"])
+    own = totals_along(table.where("not benign"), "s", ["pos", "neg"], ["Attack"])
     at = own.join(shared.select("s", "base", "cum_base", "total_base"), "s")
     wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("cum_base") - F.col("base")
                            + (F.col("neg") + F.col("base")) / 2.0)
@@ -239,11 +236,10 @@ def curve_points(ovr: DataFrame, by: Sequence[str] = ("class",), parts: int | No
 
 def roc_curve(points: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
     """(fpr, tpr) per distinct score plus the origin; classes without positives are absent."""
-    pts = points.select(*by, "score", ratio(F.col("cum_fp"), F.col("total_fp")).alias("fpr"),
-                        ratio(F.col("cum_tp"), F.col("total_tp")).alias("tpr"))
-    start = points.select(*by).distinct().select(
-        *by, F.lit(float("inf")).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return pts.unionByName(start)
+    at = F.struct("score", ratio(F.col("cum_fp"), F.col("total_fp")).alias("fpr"), ratio(F.col("cum_tp"), F.col("total_tp")).alias("tpr"))
+    origin = F.struct(F.lit(float("inf")).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    first = (F.col("cum_tp") == F.col("tp")) & (F.col("cum_fp") == F.col("fp"))
+    return points.select(*by, F.explode(F.when(first, F.array(origin, at)).otherwise(F.array(at))).alias("p")).select(*by, "p.*")
 
 
 def auc_per_class(points: DataFrame, by: Sequence[str] = ("class",)) -> DataFrame:
@@ -262,22 +258,23 @@ def roc_interp(points: DataFrame, grid: int = 200, by: Sequence[str] = ("class",
     """
     last = grid - 1
     p, n = F.col("total_tp").cast("double"), F.col("total_fp").cast("double")
-    x0, x1 = (F.col("cum_fp") - F.col("fp")) / n, F.col("cum_fp") / n
-    seg = points.where("fp > 0").select(
-        *by, x0.alias("x0"), x1.alias("x1"),
+    x0, x1 = F.try_divide(F.col("cum_fp") - F.col("fp"), n), F.try_divide(F.col("cum_fp"), n)
+    # a run of pure true positives lifts the curve at its FPR; the segment that follows starts
+    # from the lifted value, and at FPR 1 every curve ends at TPR 1
+    ends = F.expr("cum_fp = total_fp AND (fp > 0 OR total_fp = 0 AND cum_tp = total_tp)")
+    seg = points.where(ends | (F.col("fp") > 0)).select(
+        *by, x0.alias("x0"), x1.alias("x1"), ends.alias("ends"),
         ((F.col("cum_tp") - F.col("tp")) / p).alias("y0"), (F.col("cum_tp") / p).alias("y1"))
     near = F.sequence(F.greatest(F.floor(F.col("x0") * last) - 1, F.lit(0)),
                       F.least(F.ceil(F.col("x1") * last) + 1, F.lit(last)))
-    at = seg.select("*", F.explode(near).alias("pos")).withColumn("x", F.col("pos") / float(last))
-    at = at.where("x >= x0 and x < x1").select(
-        *by, F.col("pos").cast("int").alias("pos"), "x",
-        (F.col("y0") + (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-         / (F.col("x1") - F.col("x0"))).alias("tpr"))
-    # a run of pure true positives lifts the curve at its FPR; the segment that follows starts
-    # from the lifted value, and at FPR 1 every curve ends at TPR 1
-    ends = points.select(*by).distinct().select(
-        *by, F.lit(last).alias("pos"), F.lit(1.0).alias("x"), F.lit(1.0).alias("tpr"))
-    return at.unionByName(ends)
+    y = lambda x: F.col("y0") + (x - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
+    spot = lambda pos, x, tpr: F.struct(pos.cast("int").alias("pos"), x.alias("x"), tpr.alias("tpr"))
+    along = F.transform(F.filter(near, lambda i: (i / float(last) >= F.col("x0")) & (i / float(last) < F.col("x1"))),
+                        lambda i: spot(i, i / float(last), y(i / float(last))))
+    end = F.when(F.col("ends"), F.array(spot(F.lit(last), F.lit(1.0), F.lit(1.0))))
+    none = F.array().cast("array<struct<pos:int,x:double,tpr:double>>")
+    listed = F.concat(F.when(F.col("x1") > F.col("x0"), along).otherwise(none), F.coalesce(end, none))
+    return seg.select(*by, F.explode(listed).alias("p")).select(*by, "p.*")
 
 
 def macro_roc(interp: DataFrame) -> DataFrame:
@@ -330,10 +327,10 @@ def open_set_metrics(df: DataFrame, k: int, y: str = "y", pred: str = "pred",
 
 
 def confidence_stats(df: DataFrame, confidence: str = "confidence",
-                     by: str = "is_known", **options) -> DataFrame:
+                     by: str = "is_known") -> DataFrame:
     """Min, mean and exact median of the top probability, known vs unknown."""
     plain = df.groupBy(by).agg(F.min(confidence).alias("min"), F.avg(confidence).alias("mean"))
-    med = grouped_percentiles(df, [confidence], [by], 0.5, **options)
+    med = grouped_percentiles(df, [confidence], [by], 0.5)
     return join_null_safe(plain, med.withColumnRenamed(confidence, "median"), [by])
 
 

@@ -21,15 +21,15 @@ def join_null_safe(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inn
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
-                   rows: int | None = None, null_safe: bool = False) -> DataFrame:
+                   rows: int | None = None, null_safe: bool = False, width: int | None = None) -> DataFrame:
     """Join ``dim`` to ``df``, broadcasting it only if its counted size is below the bound.
 
     ``null_safe`` lets null keys match null keys.
 
-    ``rows`` passes a row count the caller already knows. Beyond the bound the join shuffles
+    ``rows`` passes a row count the caller already knows, ``width`` the cells of a row whose columns hold arrays. Beyond the bound the join shuffles
     both sides and adaptive execution splits the partitions of hot keys.
     """
-    width = max(len(dim.columns), 1)
+    width = max(width or len(dim.columns), 1)
     bound = BROADCAST_CELLS // width
     if rows is None:
         rows = dim.limit(bound + 1).count()

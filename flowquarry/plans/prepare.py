@@ -24,43 +24,42 @@ def tidy(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
     return clean.null_non_finite(clean.coerce_numeric(df, names), names)
 
 
-def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by: str,
-                  files: int | None = None, vec: str = "features") -> DataFrame:
+def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by: str, vec: str = "features") -> DataFrame:
     """Fill null cells of packed vectors with the file's median, then with 0."""
     med = medians.select(q(by), F.array(*[q(n).cast("double") for n in names]).alias("__med"))
-    joined = join_dimension(rows, med, [by], rows=None if files is None else files * len(names))
+    joined = join_dimension(rows, med, [by], width=len(names) + 1)
     filled = F.zip_with(q(vec), F.col("__med"), lambda x, m: F.coalesce(x, m, F.lit(0.0)))
     return joined.withColumn(vec, filled).drop("__med")
 
 
 def fit_cleaning(df: DataFrame, names: Sequence[str], by: str = "source_file",
-                 feature_range=(0.0, 1.0), **options) -> tuple[DataFrame, scale.Scaler]:
-    """Per-file medians (written once) and the scaler of the imputed data: two passes in all."""
+                 feature_range=(0.0, 1.0)) -> tuple[DataFrame, scale.Scaler]:
+    """Per-file medians (written once) and the scaler of the imputed data."""
     rows = tidy(df, names, [by])
-    table, sizes = scale.fit_minmax_imputed(rows, names, by)
-    medians = materialize(clean.file_medians(rows, names, by, sizes=sizes, **options))
+    table, _ = scale.fit_minmax_imputed(rows, names, by)
+    medians = materialize(clean.file_medians(rows, names, by))
     return medians, scale.load_scaler(table, feature_range)
 
 
 def _vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str], by: str,
-             keep: Sequence[str], medians: DataFrame | None, **options) -> DataFrame:
+             keep: Sequence[str], medians: DataFrame | None) -> DataFrame:
     rows = tidy(df, names, [by, *keep])
     if medians is None:
-        medians = clean.file_medians(rows, names, by, **options)
+        medians = clean.file_medians(rows, names, by)
     packed = scale.to_vector(rows, names, "features", keep=[by, *keep])
     return scale.scale_vector(impute_vector(packed, medians, names, by), scaler)
 
 
 def preprocess(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = FEATURES,
                by: str = "source_file", keep: Sequence[str] = (),
-               medians: DataFrame | None = None, **options) -> DataFrame:
+               medians: DataFrame | None = None) -> DataFrame:
     """Scaled feature vector and label of every flow: per-file medians, then 0, then min-max.
 
     Cells are packed into one array early, so the plan stays small however many features there
     are. The scaler must list ``names`` in order. ``medians`` reuses a stored table.
     """
     label = [LABEL] if LABEL in df.columns else []
-    return clean.split_label(_vectors(df, scaler, names, by, [*keep, *label], medians, **options))
+    return clean.split_label(_vectors(df, scaler, names, by, [*keep, *label], medians))
 
 
 def preprocess_counts(df: DataFrame, by: str = "source_file",
@@ -71,19 +70,19 @@ def preprocess_counts(df: DataFrame, by: str = "source_file",
 
 
 def prepare_train(df: DataFrame, names: Sequence[str], by: str = "source_file",
-                  feature_range=(0.0, 1.0), **options) -> tuple[DataFrame, scale.Scaler]:
+                  feature_range=(0.0, 1.0)) -> tuple[DataFrame, scale.Scaler]:
     """Benign rows first, then medians of those rows, then a scaler fitted on them."""
     benign = clean.filter_benign(df)
-    medians, scaler = fit_cleaning(benign, names, by, feature_range, **options)
+    medians, scaler = fit_cleaning(benign, names, by, feature_range)
     return _vectors(benign, scaler, names, by, [], medians), scaler
 
 
 def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                      known: Sequence[int] | None = KNOWN_CLASSES, by: str = "source_file",
                      keep: Sequence[str] = (), pad: int = GRID_CELLS,
-                     medians: DataFrame | None = None, **options) -> DataFrame:
+                     medians: DataFrame | None = None) -> DataFrame:
     """Padded vectors with class ids: medians of the whole file before any class filter."""
-    rows = _vectors(df, scaler, names, by, [*keep, LABEL], medians, **options)
+    rows = _vectors(df, scaler, names, by, [*keep, LABEL], medians)
     rows = lookup.map_labels(rows.withColumn("features", V.pad_to(F.col("features"), pad)))
     return lookup.remap_known(rows, known) if known is not None else rows.withColumn(
         "y", F.col("class_id"))

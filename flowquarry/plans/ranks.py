@@ -1,9 +1,10 @@
 """Exact order statistics without sorting a whole group in one task.
 
 * ``running_totals`` - cumulative sums along an ordered column, per group. Values are
-  pre-aggregated, cut into ranges, summed inside each range in parallel, and every range gets
-  the total of the ranges before it.
-* ``grouped_percentiles`` - exact, linearly interpolated percentiles of many columns per group.
+  pre-aggregated and written once (``score_table``), cut into ranges by a sketch of the distinct values, summed inside
+  each range in parallel, and every range gets the total of the ranges before it (``totals_along``).
+* ``grouped_percentiles`` - exact, linearly interpolated percentiles of many columns per group, by
+  histograms that are refined around the wanted rank.
 * ``row_positions`` - 0-based position of each row within its group.
 """
 
@@ -20,7 +21,6 @@ from flowquarry.plans.joins import join_dimension, join_null_safe
 from flowquarry.plans.storage import materialize
 
 PARTS = 64
-DIRECT_CELLS = 2_000_000
 _BUCKET = "__range"
 
 
@@ -29,22 +29,23 @@ def _parts(df: DataFrame, parts: int | None) -> int:
     return parts or max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _with_ranges(df: DataFrame, sample_from: DataFrame, value: str,
-                 parts: int | None) -> DataFrame:
+def _with_ranges(df: DataFrame, value: str, parts: int | None) -> DataFrame:
     """Add the range number of ``value``; cut points are at most ``parts`` numbers.
 
-    The cuts only balance work, they never change a result, so an approximate sketch is enough.
+    The cuts only balance work, they never change a result, so a mergeable sketch of the values is enough.
     """
     parts = _parts(df, parts)
     probs = [i / parts for i in range(1, parts)]
-    cuts = sample_from.select(F.col(value).cast("double").alias("v")).approxQuantile(
-        "v", probs, 1.0 / (2 * parts)) if probs else []
-    inner = sorted({c for c in cuts if c == c and abs(c) != float("inf")})
+    number = F.col(value).cast("double")
+    sketch = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))).agg(
+        F.kll_sketch_agg_double(number).alias("k"), F.count("*").alias("n"))
+    cuts = sketch.where("n > 0").select(F.kll_sketch_get_quantile_double("k", F.lit(probs).cast("array<double>")).alias("c")).first() if probs else None
+    inner = sorted(set(cuts["c"])) if cuts else []
     if not inner:
         return df.withColumn(_BUCKET, F.lit(0))
     splits = [float("-inf"), *inner, float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__v", outputCol=_BUCKET, handleInvalid="keep")
-    return (cutter.transform(df.withColumn("__v", F.col(value).cast("double")))
+    return (cutter.transform(df.withColumn("__v", number))
             .drop("__v").withColumn(_BUCKET, F.col(_BUCKET).cast("int")))
 
 
@@ -63,21 +64,26 @@ def _add_offsets(rows: DataFrame, by: list[str], sums: list[str], descending: bo
     return join_null_safe(rows, offsets, [*by, _BUCKET])
 
 
-def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
-                   descending: bool = False, parts: int | None = None,
-                   ranges: Column | None = None) -> DataFrame:
-    """One row per (group, distinct value) with ``s``, ``cum_s`` (inclusive) and ``total_s``.
+def score_table(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
+                parts: int | None = None) -> DataFrame:
+    """One row per (group, distinct value) with ``sums`` and a range number: all that is ever read of ``df``.
 
-    Rows of a null group are a group of their own. ``ranges`` supplies a monotone range number computed from
-    ``value`` when the caller knows the distribution; otherwise cut points are sketched.
+    The table is written once. Totals along any of its groupings (:func:`totals_along`), and all curves made of them, come from it.
+    Rows of a null group are a group of their own; null values are left out.
     """
-    by = list(by)
-    names = list(sums)
     keep = df.where(F.col(value).isNotNull())
-    grouped = keep.groupBy(*by, value, *([ranges.alias(_BUCKET)] if ranges is not None else []))
-    rows = grouped.agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    if ranges is None:
-        rows = _with_ranges(rows, keep, value, parts)
+    rows = keep.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return _with_ranges(materialize(rows), value, parts)
+
+
+def totals_along(table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
+                 descending: bool = False) -> DataFrame:
+    """One row per (group, distinct value) of a :func:`score_table`: ``s``, ``cum_s`` (inclusive) and ``total_s``.
+
+    Ranges are summed on their own; each gets the totals of the ranges before it, at most as many rows a group as there are ranges.
+    """
+    by, names = list(by), list(sums)
+    rows = table.groupBy(*by, value, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
     rows = _add_offsets(rows, by, names, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (W.partitionBy(*by, _BUCKET).orderBy(order)
@@ -89,11 +95,17 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Seque
     )
 
 
+def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
+                   descending: bool = False, parts: int | None = None) -> DataFrame:
+    """One row per (group, distinct value) with ``s``, ``cum_s`` (inclusive) and ``total_s``, from one read of ``df``."""
+    return totals_along(score_table(df, value, sums, by, parts), value, list(sums), by, descending)
+
+
 def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str,
                   parts: int | None = None) -> DataFrame:
     """0-based position of each row in its group, ordered by ``order`` (first column numeric)."""
     by, order = list(by), list(order)
-    rows = _with_ranges(df.withColumn("__one", F.lit(1)), df, order[0], parts)
+    rows = _with_ranges(df.withColumn("__one", F.lit(1)), order[0], parts)
     rows = _add_offsets(rows, by, ["__one"], descending=False)
     inside = W.partitionBy(*by, _BUCKET).orderBy(*order)
     return (rows.withColumn(out, (F.col("before___one") + F.row_number().over(inside) - 1)
@@ -101,85 +113,79 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: s
             .drop(_BUCKET, "__one", "before___one", "total___one"))
 
 
-def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """(number of groups, rows of the largest group)."""
-    got = (df.groupBy(*by).count()
-           .agg(F.count("*").alias("groups"), F.max("count").alias("largest")).first())
-    return got["groups"], got["largest"] or 0
+def _scale_bin(v: Column) -> Column:
+    """Number of a value's bin, sixteen to a doubling of size, rising with the value; NaN comes last."""
+    size = F.floor(F.log2(F.abs(v)) * 16) + 16 * 1075  # the smallest number has log2 -1074
+    sign = F.signum(v).cast("long")
+    return (F.when(F.isnan(v), F.lit(2 * _OUTER)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), sign * _OUTER)
+            .otherwise(sign * size).cast("long"))
+
+
+_OUTER, _FINE = 1 << 20, 1 << 16
 
 
-def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p: float,
-                        direct_cells: int = DIRECT_CELLS,
-                        sizes: tuple[int, int] | None = None) -> DataFrame:
-    """Exact interpolated ``p`` percentile of each column per group; nulls are ignored.
+def _chosen(hist: DataFrame, by: list[str], at: DataFrame | None, p: float) -> DataFrame:
+    """The bin that holds the wanted rank, for every (group, item): lo, hi, below, first, last, share, a and b.
 
-    Small groups use the built-in exact aggregate, whose memory grows with the distinct values
-    of a group. Once the largest group exceeds ``direct_cells`` values the answer is narrowed
-    instead: a sketch brackets the wanted rank, rows outside the bracket are only counted, and
-    the few values inside are ranked exactly.
+    ``hist`` has by, item, bin, n, lo, hi. first and last are the ranks between which is interpolated, share the second one's
+    weight. a and b are the values at these ranks as soon as they are known: a when its bin has one value, b also when its
+    rank is the first of the next bin.
+    """
+    group = W.partitionBy(*by, "item")
+    ordered = group.orderBy("bin")
+    ends = hist.select(*by, "item", "n", "lo", "hi", F.sum("n").over(ordered).alias("end"),
+                       F.sum("n").over(group).alias("total"), F.lead("lo").over(ordered).alias("next"))
+    if at is None:
+        rank = (F.col("total") - 1) * F.lit(p)
+        ends = ends.select("*", F.lit(0).cast("long").alias("base"), F.floor(rank).alias("first"), F.ceil(rank).alias("last"),
+                           (rank - F.floor(rank)).alias("share"), F.lit(None).cast("double").alias("b"))
+    else:
+        ends = join_null_safe(ends, at.select(*by, "item", F.col("below").alias("base"), "first", "last", "share", "b"), [*by, "item"])
+    end = F.col("base") + F.col("end")
+    start = end - F.col("n")
+    whole = F.col("lo").eqNullSafe(F.col("hi"))
+    b = F.coalesce("b", F.when(F.col("last") >= end, F.col("next")).when(whole, F.col("lo")))
+    return (ends.where((start <= F.col("first")) & (F.col("first") < end))
+            .select(*by, "item", "lo", "hi", start.alias("below"), "first", "last", "share", F.when(whole, F.col("lo")).alias("a"), b.alias("b")))
+
+
+def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p: float) -> DataFrame:
+    """Exact interpolated ``p`` percentile of each column per group; nulls are ignored, NaN is the largest value.
+
+    Values are counted in bins, all columns in one pass; only counts and the ends of a bin are kept, never values, and
+    tasks combine them before the shuffle. The bin that holds the wanted rank is then divided into ``_FINE`` finer ones, for
+    the rows inside it alone, until it holds a single value. The first bins are sixteenths of a doubling, so that two passes
+    suffice for most data and five for any doubles, whatever the size or skew of a group.
     """
     by, cols = list(by), list(cols)
-    _, largest = sizes or group_sizes(df, by)
-    if largest * len(cols) <= direct_cells:
-        return df.groupBy(*by).agg(
-            *[F.percentile(F.col(f"`{c}`"), F.lit(p)).alias(c) for c in cols])
-    return _narrowed_percentiles(df, cols, by, p)
+    rows = df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("__cells"))
+    each = rows.select(*by, F.posexplode("__cells").alias("item", "v"))
+    ends = [F.min("v").alias("lo"), F.max("v").alias("hi")]
+    bins = materialize(each.groupBy(*by, "item", F.when(F.col("v").isNotNull(), _scale_bin(F.col("v"))).alias("bin"))
+                       .agg(F.count("v").alias("n"), *ends))
+    groups = bins.select(*by).distinct()
+    done, at = [], materialize(_chosen(bins.where("bin IS NOT NULL"), by, None, p))
+    while True:
+        done.append(at.where("a IS NOT NULL"))
+        at = at.where("a IS NULL")
+        if at.isEmpty():
+            break
+        ranges = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("lo", "hi")))).alias("__ranges"))
+        placed = join_dimension(rows, ranges, by, "inner", null_safe=True, width=2 * len(cols))
+        inside = placed.select(*by, F.posexplode(F.transform("__cells", lambda v, i: F.struct(
+            v.alias("v"), F.try_element_at("__ranges", i).alias("r")))).alias("item", "s")).select(*by, "item", "s.v", "s.r.lo", "s.r.hi")
+        inside = inside.where("v BETWEEN lo AND hi")
+        fine = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _FINE).alias("bin")
+        at = materialize(_chosen(inside.groupBy(*by, "item", fine).agg(F.count("v").alias("n"), *ends), by, at, p))
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    value = _between(F.col("a"), F.col("b"), F.col("share"))
+    wide = every.withColumn("v", value).groupBy(*by).agg(
+        *[F.max(F.when(F.col("item") == i, F.col("v"))).alias(c) for i, c in enumerate(cols)])
+    return join_null_safe(groups, wide, by, "left")
 
 
 def _between(a: Column, b: Column, w: Column) -> Column:
     """Interpolated value; the value itself where both ends are equal, infinite or not."""
     return F.when((a == b) | (w == 0), a).otherwise((1 - w) * a + w * b)
-
-
-def _narrowed_percentiles(df: DataFrame, cols: list[str], by: list[str], p: float,
-                          whole_below: int = 10_000) -> DataFrame:
-    margin, accuracy = 0.002, 2000
-    low_p, high_p = max(p - margin, 0.0), min(p + margin, 1.0)
-    rows = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"v{i}")
-                            for i, c in enumerate(cols)])
-    idx = range(len(cols))
-    # pass 1: a bracket per group and column; groups below whole_below keep all their values
-    aggs = []
-    for i in idx:
-        v = F.col(f"v{i}")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
-                 F.percentile_approx(v, [low_p, high_p], accuracy).alias(f"q{i}")]
-    sketch = rows.groupBy(*by).agg(*aggs)
-    brackets = materialize(sketch.select(
-        *by, *[F.col(f"n{i}") for i in idx],
-        *[F.when(F.col(f"n{i}") <= whole_below, F.col(f"min{i}"))
-          .otherwise(F.col(f"q{i}")[0]).alias(f"lo{i}") for i in idx],
-        *[F.when(F.col(f"n{i}") <= whole_below, F.col(f"max{i}"))
-          .otherwise(F.col(f"q{i}")[1]).alias(f"hi{i}") for i in idx]))
-    placed = join_dimension(rows, brackets.drop(*[f"n{i}" for i in idx]), by, "inner",
-                            null_safe=True)
-    # pass 2: rows below the bracket are counted in place
-    below = placed.groupBy(*by).agg(
-        *[F.sum((F.col(f"v{i}") < F.col(f"lo{i}")).cast("long")).alias(f"b{i}") for i in idx])
-    facts = join_null_safe(brackets, below, by).select(*by, F.posexplode(F.array(*[
-        F.struct(F.col(f"n{i}").alias("n"), F.coalesce(f"b{i}", F.lit(0)).alias("below"))
-        for i in idx])).alias("item", "f")).select(*by, "item", "f.n", "f.below")
-    # pass 3: only values inside the bracket leave the scan
-    spots = []
-    for i in idx:
-        v, lo, hi = F.col(f"v{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
-        at = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * 255)).otherwise(F.lit(0))
-        spots.append(F.when((v >= lo) & (v <= hi), F.struct(
-            F.lit(i).alias("item"), v.alias("v"), at.cast("int").alias("at"))))
-    inside = (placed.select(*by, F.explode(F.array_compact(F.array(*spots))).alias("s"))
-              .select(*by, "s.item", "s.v", "s.at"))
-    ranked = running_totals(inside, "v", {"n_here": F.lit(1)}, [*by, "item"], ranges=F.col("at"))
-    pos = (F.col("n") - 1) * F.lit(p)
-    first, last = F.floor(pos), F.ceil(pos)
-    end = F.col("below") + F.col("cum_n_here")
-    start = end - F.col("n_here")
-    holds = lambda r: (start <= r) & (r < end)
-    picked = (join_null_safe(ranked, facts, [*by, "item"]).where(holds(first) | holds(last))
-              .groupBy(*by, "item").agg(
-                  F.max(F.when(holds(first), F.col("v"))).alias("a"),
-                  F.max(F.when(holds(last), F.col("v"))).alias("b"),
-                  F.first(pos - first).alias("w")))
-    picked = picked.withColumn("v", _between(F.col("a"), F.col("b"), F.col("w")))
-    wide = picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("item") == i, F.col("v"))).alias(cols[i]) for i in idx])
-    return join_null_safe(brackets.select(*by), wide, by, "left")

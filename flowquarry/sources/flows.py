@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,32 +28,118 @@ def clean_names(names: Sequence[str]) -> list[str]:
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Header names of the first file below ``path``, exactly as written."""
-    line = spark.read.option("pathGlobFilter", "*.csv").text(path).first()
+    files = flow_files(spark, [path])
+    line = next((line for line in first_lines(spark, files) if line), None)
     if line is None:
         raise ValueError(f"no header line in {path}")
-    return [n.strip().strip('"') if n.strip().startswith('"') else n for n in line[0].split(",")]
+    return split_header(line)
 
 
-def read_flows(spark: SparkSession, paths: str | Sequence[str],
-               header: Sequence[str] | None = None, key: str = "file_name") -> DataFrame:
-    """Flow CSV files that share one layout, all cells as text, plus ``source_file``.
+def split_header(line: str) -> list[str]:
+    """Names of a header line, with their blanks; quotes and a byte order mark go."""
+    names = next(csv.reader([line.removeprefix("\ufeff")], skipinitialspace=False), [])
+    return [n.strip().strip('"') if n.strip().startswith('"') else n for n in names]
+
+
+def flow_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """All .csv files below ``paths``; a listing, no file is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(list(paths))
+    return sorted(r["path"] for r in files.select("path").collect())
+
+
+def first_lines(spark: SparkSession, files: Sequence[str], at_once: int = 32) -> list[str]:
+    """First line of every file (empty for an empty file), many files at a time.
 
-    Column names come from the header by position, so repeated and padded names are safe. When
-    no name is repeated Spark also checks every file's header against the first one. Files with
-    different layouts are read separately and combined with :func:`union_flows`.
+    Opens each file once and reads to its first line end; like listing, this doesn't depend on the size of the data.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = list(header) if header else header_of(spark, paths[0])
-    repeated = len({n.strip().lower() for n in raw}) < len(raw)
-    names = clean_names(raw)
-    fields = names if repeated else raw
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first(file: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            path.getFileSystem(conf).open(path), "UTF-8"))
+        try:
+            return reader.readLine() or ""
+        finally:
+            reader.close()
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(first, files))
+
+
+def layouts(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Header line -> the files below ``paths`` that begin with it; files without a line are left out."""
+    files = flow_files(spark, paths)
+    out: dict[str, list[str]] = {}
+    for file, line in zip(files, first_lines(spark, files)):
+        if line:
+            out.setdefault(line, []).append(file)
+    return out
+
+
+def _canonical(names: Sequence[str]) -> list[str]:
+    """Names by which columns of different layouts are the same."""
+    return [RENAMES.get(n, n) for n in clean_names(names)]
+
+
+def _aligned(found: dict[str, list[str]]) -> tuple[list[str], dict[str, list[str]]]:
+    """The shared columns in the first layout's order, and the canonical names of every layout."""
+    named = {line: _canonical(split_header(line)) for line in found}
+    for line, names in named.items():
+        odd = sorted({n for n in names if names.count(n) > 1} | {n for n in names if not n})
+        if odd and len(found) > 1:
+            raise ValueError(f"can't align columns named {odd} of {found[line][:3]}")
+    first = next(iter(named.values()))
+    shared = [n for n in first if all(n in names for names in named.values())]
+    if not shared:
+        raise ValueError("no column is shared by the headers of " + ", ".join(f[0] for f in found.values()))
+    return shared, named
+
+
+def _one_layout(spark: SparkSession, paths: Sequence[str], raw: Sequence[str], names: Sequence[str],
+                key: str, same: bool) -> DataFrame:
+    """Files whose columns stand as in ``raw``; cells go by position, so that repeated and padded names are safe."""
+    fields = names if same else raw
     schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
     df = (spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv")
-          .option("enforceSchema", repeated).csv(paths))
+          .option("enforceSchema", same).csv(list(paths)))
     source = F.col(f"_metadata.{key}").alias("source_file")
     return df.select(source, *[F.col(f"`{f}`").alias(n) for f, n in zip(fields, names)])
 
 
+def read_flows(spark: SparkSession, paths: str | Sequence[str],
+               header: Sequence[str] | None = None, key: str = "file_name") -> DataFrame:
+    """Flow CSV files, all cells as text, plus ``source_file``.
+
+    The first line of every file is read beforehand. Files with equal lines are one layout with one parser, whose
+    names go by position. Columns of several layouts are matched by name (trimmed, renamed, the second of the repeated
+    name with its suffix); the result has those that every layout has, spelled as in the first one. Files
+    that can't be aligned are named in an error. Empty files have no rows. With ``header``, all files are read by
+    these names, without looking at the files; Spark then checks every file's header unless a name is repeated.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if header:
+        repeated = len({n.strip().lower() for n in header}) < len(header)
+        return _one_layout(spark, paths, list(header), clean_names(header), key, repeated)
+    found = layouts(spark, paths)
+    if not found:
+        raise ValueError(f"no header line in {paths[0]}")
+    spelled = clean_names(split_header(next(iter(found))))
+    if len(found) == 1:
+        return _one_layout(spark, paths, split_header(next(iter(found))), spelled, key, True)
+    shared, named = _aligned(found)
+    shown = dict(zip(_canonical(spelled), spelled))
+    parts = []
+    for line, files in found.items():
+        one = _one_layout(spark, [_literal(f) for f in files], split_header(line), named[line], key, True)
+        parts.append(one.select("source_file", *[F.col(f"`{n}`").alias(shown[n]) for n in shared]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _literal(path: str) -> str:
+    """``path`` with its characters that patterns of paths use escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Use all cores on an input with fewer splits than cores; larger inputs stay as they are.
 

@@ -150,8 +150,8 @@ MEDIAN_SQL = f"""{WITH} SELECT source_file, {', '.join(
     f'round(median("{n}"), 6) AS m{i}' for i, n in enumerate(A.FEATURE_NAMES))} FROM c GROUP BY 1"""
 
 
-def _medians(spark, sf, **options):
-    got = clean.file_medians(cleaned(spark, sf), A.FEATURE_NAMES, **options)
+def _medians(spark, sf):
+    got = clean.file_medians(cleaned(spark, sf), A.FEATURE_NAMES)
     return got.select("source_file", *[F.round(q(n), 6).alias(f"m{i}")
                                        for i, n in enumerate(A.FEATURE_NAMES)])
 
@@ -163,7 +163,8 @@ def _(spark, sf):
 
 @query("f1_file_medians_narrowed", MEDIAN_SQL)
 def _(spark, sf):
-    return _medians(spark, sf, direct_cells=0)
+    parts = ranks.grouped_percentiles(cleaned(spark, sf), A.FEATURE_NAMES, ["source_file"], 0.5)
+    return parts.select("source_file", *[F.round(q(n), 6).alias(f"m{i}") for i, n in enumerate(A.FEATURE_NAMES)])
 
 
 @query("f1_impute_median", f"""{IMPUTED} SELECT source_file, {mean4_sql(A.FEATURE_NAMES)},

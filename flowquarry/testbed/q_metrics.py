@@ -45,8 +45,7 @@ def _(spark, sf):
 
 @query("a7_threshold_by_file_narrowed", P97)
 def _(spark, sf):
-    return rounded(metrics.threshold(A.scores(spark, sf), by=["source_file"], direct_cells=0),
-                   "threshold")
+    return rounded(metrics.threshold(A.scores(spark, sf), by=["source_file"]).where("threshold IS NOT NULL"), "threshold")
 
 
 @query("a8_threshold_gaussian", f"""SELECT round(avg(error) + 3 * stddev_pop(error), 4) AS threshold

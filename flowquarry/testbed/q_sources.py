@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowquarry.operators import clean, metrics, openmax, scale
 from flowquarry.operators.clean import q
 from flowquarry.plans.storage import scratch_path
-from flowquarry.schema import HISTORY_TYPE
+from flowquarry.schema import HISTORY_TYPE, RENAMES
 from flowquarry.sources import flows as S
 from flowquarry.sources import params as P
 from flowquarry.sources import sinks
@@ -38,6 +38,27 @@ def _(spark, sf):
         F.round(F.avg(q("Fwd Header Length.1")), 4).alias("a1"))
 
 
+@query("s1_mixed_layouts", f"""WITH flows AS ({A.FLOWS_SQL}) SELECT trim("Label") AS label, "Protocol" AS proto, count(*) AS n,
+round(avg(CAST("Flow Duration" AS DOUBLE)), 4) AS a0, round(avg(CAST("Fwd Header Length" AS DOUBLE)), 4) AS a1,
+round(avg(CAST("Fwd Header Length.1" AS DOUBLE)), 4) AS a2, round(avg(TRY_CAST("Destination Port" AS INT)), 4) AS a3
+FROM flows GROUP BY 1, 2""")
+def _(spark, sf):
+    """Files of two column orders in one folder, both with the header that stands twice, one with short names."""
+    path = scratch_path(spark, "flows-csv-mixed")
+    df = A.flows(spark, sf).drop("position")
+    short = {v: k for k, v in RENAMES.items()}
+    one, two = "Fwd Header Length", "Fwd Header Length.1"
+    late = [{one: two, two: one}.get(c, c) for c in reversed(df.columns)]  # the repeated names keep their order
+    for rows, columns, name in ((df.where("source_file < 'N'"), df.columns, lambda c: c), (df.where("source_file >= 'N'"), late, lambda c: short.get(c, c))):
+        # a blank keeps the second one apart for the writer
+        named = [q(c).alias(name(one) + " " if c == two else "capture" if c == "source_file" else name(c)) for c in columns]
+        rows.select(*named).write.mode("append").option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df = clean.canonicalize_columns(S.read_flows(spark, path))
+    names = ["Flow Duration", "Fwd Header Length", "Fwd Header Length.1", "Destination Port"]
+    return clean.coerce_numeric(df, names).groupBy(F.trim("Label").alias("label"), F.col("Protocol").alias("proto")).agg(
+        F.count("*").alias("n"), *[F.round(F.avg(q(n)), 4).alias(f"a{i}") for i, n in enumerate(names)])
+
+
 @query("s2_normalize_headers", f"""WITH flows AS ({A.FLOWS_SQL})
 SELECT "Protocol" AS proto, count("Idle Mean") AS n FROM flows GROUP BY 1""")
 def _(spark, sf):

@@ -44,8 +44,8 @@ def test_sort_page_nulls_last(spark):
         assert [r["v"] for r in history.sort_page(df, "v", direction, 2, 3).collect()] == [None] * 3
 
 
-@pytest.mark.parametrize("slice_seconds", [7, 60, 10**6])
-def test_packets_to_flows(spark, slice_seconds):
+@pytest.mark.parametrize("slice_rows", [3, 40, 10**6])
+def test_packets_to_flows(spark, slice_rows):
     rng = np.random.default_rng(9)
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     rows = []
@@ -56,7 +56,7 @@ def test_packets_to_flows(spark, slice_seconds):
     df = spark.createDataFrame(rows, "flow_key string, packet_id long, ts timestamp, direction string, "
                                      "length double, header_len double, flag string")
     got = {(r["flow_key"], r["start"]): r for r in packets.flow_features(
-        df, "10 seconds", slice_seconds=slice_seconds).withColumn(
+        df, "10 seconds", slice_rows=slice_rows).withColumn(
         "start", F.unix_micros("start")).collect()}
     micros = lambda d: round((d - start).total_seconds() * 1e6)
     base = round(start.timestamp() * 1e6)
@@ -75,10 +75,33 @@ def test_packets_to_flows(spark, slice_seconds):
                 assert f["Flow IAT Mean"] == pytest.approx(gaps.mean() if len(gaps) else 0)
                 assert f["Flow IAT Std"] == pytest.approx(gaps.std(ddof=1) if len(gaps) > 1 else 0)
                 assert f["Bwd IAT Total"] == pytest.approx(bg.sum())
+                assert f["Bwd IAT Std"] == pytest.approx(bg.std(ddof=1) if len(bg) > 1 else 0)
+                assert f["Bwd IAT Min"] == pytest.approx(bg.min() if len(bg) else 0)
+                size = np.array([x[4] for x in cur])
+                assert f["Packet Length Variance"] == pytest.approx(size.var(ddof=1) if len(size) > 1 else 0)
                 cur, n = [], n + 1
     assert len(got) == n
 
 
+def test_busy_key_is_cut(spark):
+    """One key has most packets, its flows span many slices, several packets share a time; null keys are a key."""
+    rng = np.random.default_rng(2)
+    t = np.cumsum(rng.choice([0, 0, 1, 2, 30], 3000, p=[0.2, 0.2, 0.3, 0.28, 0.02]))
+    rows = [("busy" if i % 50 else None, int(i), int(s), "fwd" if i % 7 else "bwd", float(i % 11), 20.0, "ACK") for i, s in enumerate(t)]
+    df = spark.createDataFrame(rows, "flow_key string, packet_id long, s long, direction string, length double, header_len double, flag string")
+    df = df.withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(5)
+    whole = packets.flow_features(df, "20 seconds")
+    cut = packets.flow_features(df, "20 seconds", slice_rows=25)
+    assert packets.fragments(df, "20 seconds", slice_rows=25).select("__slice").distinct().count() > 50
+    key = lambda r: (str(r["flow_key"]), r["start"])
+    for a, b in zip(sorted(whole.collect(), key=key), sorted(cut.collect(), key=key), strict=True):
+        assert [x if isinstance(x, (str, type(a["start"]), type(None))) else pytest.approx(x, abs=1e-6) for x in a] == list(b)
+    assert cut.count() > 20
+    same = ["flow_key", "start", "end", "packets", "Total Fwd Packets", "ACK Flag Count", "Max Packet Length"]
+    windowed = packets.flow_features_windowed(df.where("flow_key IS NOT NULL"), "20 seconds").select(same)
+    assert sorted(windowed.collect()) == sorted(cut.where("flow_key IS NOT NULL").select(same).collect())
+
+
 def test_stream_of_csv_captures(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()

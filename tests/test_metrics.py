@@ -1,5 +1,7 @@
 """Evaluation tables against brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,5 +98,14 @@ def test_assignment(spark):
     df = spark.createDataFrame([(0, 2)] * 5 + [(1, 0)] * 4 + [(2, 1)] * 3 + [(2, 2)], "y int, cluster int")
     best = {r["cluster"]: r["y"] for r in metrics.best_assignment(metrics.contingency(df), 3).collect()}
     assert best == {2: 0, 0: 1, 1: 2}
-    with pytest.raises(ValueError):
-        metrics.best_assignment(metrics.contingency(df), 8)
+
+
+def test_assignment_of_many_clusters(spark):
+    """Eight clusters against all permutations of their counts."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(0, 30, (8, 8))
+    rows = [(y, c) for y in range(8) for c in range(8) for _ in range(n[y, c])]
+    df = spark.createDataFrame(rows, "y int, cluster int")
+    best = {r["cluster"]: r["y"] for r in metrics.best_assignment(metrics.contingency(df), 8).collect()}
+    assert sorted(best) == sorted(best.values()) == list(range(8))
+    assert sum(n[y, c] for c, y in best.items()) == max(sum(n[p[c], c] for c in range(8)) for p in itertools.permutations(range(8)))

@@ -28,11 +28,10 @@ def _expected(rows, p):
 
 
 @pytest.mark.parametrize("p", [0.5, 0.97, 0.0, 1.0])
-@pytest.mark.parametrize("cells", [0, 10**9])
-def test_grouped_percentiles(skewed, p, cells):
+def test_grouped_percentiles(skewed, p):
     df, rows = skewed
     got = {r["g"]: (r["x"], r["z"]) for r in
-           ranks.grouped_percentiles(df, ["x", "z"], ["g"], p, direct_cells=cells).collect()}
+           ranks.grouped_percentiles(df, ["x", "z"], ["g"], p).collect()}
     exp = _expected(rows, p)
     assert got.keys() == exp.keys()
     for g in exp:
@@ -58,3 +57,28 @@ def test_row_positions(skewed):
     got = ranks.row_positions(df, ["g"], ["i"], "pos", parts=16)
     assert got.where("pos <> i").count() == 0
     assert got.count() == df.count()
+
+
+@pytest.mark.parametrize("p", [0.25, 0.5, 0.9])
+def test_percentiles_of_odd_numbers(spark, p):
+    """Values whose order only the last bits decide, infinities, both zeros, null groups and columns without values."""
+    rng = np.random.default_rng(3)
+    close = 1.0 + np.arange(400) * 2.0**-52
+    groups = {"close": close, "signs": np.concatenate([rng.normal(0, 1e-300, 50), rng.normal(0, 1e300, 51), [0.0, -0.0]]),
+              "ends": np.array([-np.inf, -5e-324, 5e-324, 1.7e308, np.inf]), None: rng.integers(-5, 5, 200).astype(float),
+              "wide": rng.integers(0, 2**50, 5000).astype(float), "single": np.array([3.5])}
+    rows = [(g, float(v), None) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows + [("none", None, None)], "g string, `x y` double, z double").repartition(4)
+    got = {r["g"]: (r["x y"], r["z"]) for r in ranks.grouped_percentiles(df, ["x y", "z"], ["g"], p).collect()}
+    assert got.keys() == groups.keys() | {"none"} and got["none"] == (None, None)
+    for g, values in groups.items():
+        values = np.sort(values)
+        at = (len(values) - 1) * p
+        a, b, w = values[int(np.floor(at))], values[int(np.ceil(at))], at - np.floor(at)
+        assert got[g] == (a if a == b or w == 0 else (1 - w) * a + w * b, None), g
+
+
+def test_percentiles_keep_nan_last(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 2.0)], "g string, x double")
+    top = ranks.grouped_percentiles(df, ["x"], ["g"], 1.0).first()["x"]
+    assert top != top and ranks.grouped_percentiles(df, ["x"], ["g"], 0.5).first()["x"] == 2.0

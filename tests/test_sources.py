@@ -41,11 +41,40 @@ def test_abbreviated_repeated_header():
                                                                    "Fwd Header Length.1"]
 
 
-def test_header_mismatch_is_refused(spark, tmp_path):
+def test_layouts_are_aligned_by_name(spark, tmp_path):
+    """Other column order, abbreviated and padded names, the repeated header, a column only some files have."""
+    write(tmp_path / "a.csv", "\ufeffFlow ID, Dst Port,Fwd Header Len,Fwd Header Len,Label\n1,80,20,40,BENIGN\n")
+    write(tmp_path / "b [1].csv", '"Label","Fwd Header Length"," Fwd Header Length","Destination Port",extra\r\nDDoS,1,2,"22",9\r\n')
+    write(tmp_path / "c.csv", "Dst Port,Label,Fwd Header Length,Fwd Header Length.1\n,x,7,8\n")
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "head.csv", "Label,Dst Port,Fwd Header Length,Fwd Header Length\n")
+    df = S.read_flows(spark, str(tmp_path))
+    assert df.columns == ["source_file", "Dst Port", "Fwd Header Len", "Fwd Header Length.1", "Label"]
+    assert {tuple(r) for r in df.collect()} == {
+        ("a.csv", "80", "20", "40", "BENIGN"), ("b%20%5B1%5D.csv", "22", "1", "2", "DDoS"), ("c.csv", None, "7", "8", "x")}
+    assert set(S.layouts(spark, [str(tmp_path)]).popitem()[1]) and len(S.layouts(spark, [str(tmp_path)])) == 4
+
+
+def test_swapped_columns(spark, tmp_path):
+    write(tmp_path / "a.csv", "Flow Duration,Protocol\n1,6\n")
+    write(tmp_path / "b.csv", "Protocol,Flow Duration\n17,2\n")
+    got = S.read_flows(spark, str(tmp_path)).select("Flow Duration", "Protocol").collect()
+    assert {tuple(r) for r in got} == {("1", "6"), ("2", "17")}
+
+
+def test_files_that_cannot_be_aligned(spark, tmp_path):
     write(tmp_path / "a.csv", "Flow Duration,Protocol\n1,6\n")
-    write(tmp_path / "b.csv", "Protocol,Flow Duration\n6,1\n")
+    write(tmp_path / "b.csv", "Protocol,Protocol\n6,1\n")
+    with pytest.raises(ValueError, match="Protocol.*b.csv"):
+        S.read_flows(spark, str(tmp_path))
+    other = tmp_path / "other"
+    other.mkdir()
+    write(other / "a.csv", "x,y\n1,6\n")
+    write(other / "b.csv", "v,w\n6,1\n")
+    with pytest.raises(ValueError, match="no column.*a.csv.*b.csv"):
+        S.read_flows(spark, str(other))
     with pytest.raises(Exception, match="(?i)header"):
-        S.read_flows(spark, str(tmp_path)).collect()
+        S.read_flows(spark, str(tmp_path), header=["Flow Duration", "Protocol"]).collect()
 
 
 def test_union_keeps_shared_columns(spark):
