@@ -45,49 +45,83 @@ def protocol_text(cell: Column) -> Column:
     return F.coalesce(protocol_of(code), F.trim(cell.cast("string")))
 
 
-def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
-    """One row per capture with a ``traffic_profile`` struct; absent columns give null fields."""
+def profile_cells(df: DataFrame) -> Column:
+    """The cells of a raw flow that the profile of its capture needs, as one struct; absent columns are null."""
     port, proto = _has(df, "Destination Port", "Dst Port"), _has(df, "Protocol")
     ip, dur = _has(df, "Source IP", "Src IP"), _has(df, "Flow Duration")
     fwd = _has(df, "Total Length of Fwd Packets", "TotLen Fwd Pkts")
-    number = lambda name: null_if_not_finite(to_number(q(name)))
-    base = df.select(
-        q(by).alias("__by"),
-        (number(port).try_cast("int") if port else F.lit(None).cast("int")).alias("__port"),
-        (protocol_text(q(proto)) if proto else F.lit(None).cast("string")).alias("__proto"),
-        (q(ip).cast("string") if ip else F.lit(None).cast("string")).alias("__ip"),
-        (number(dur) if dur else F.lit(None).cast("double")).alias("__dur"),
-        (number(fwd) if fwd else F.lit(None).cast("double")).alias("__fwd"))
-    whole = base.groupBy("__by").agg(
-        F.count_distinct("__ip").alias("ips"), F.avg("__dur").alias("dur"),
-        F.avg("__fwd").alias("fwd"))
-    # ports and protocols are counted in one scan; both top lists and the port count read it
-    keys = base.select("__by", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("__port").alias("num"),
-                 F.lit(None).cast("string").alias("txt")),
-        F.struct(F.lit(1).alias("kind"), F.lit(None).cast("int").alias("num"),
-                 F.col("__proto").alias("txt")))).alias("k")).select("__by", "k.*")
-    counted = keys.where("num is not null or txt is not null").groupBy(
-        "__by", "kind", "num", "txt").count()
-    rank = W.partitionBy("__by", "kind").orderBy(F.desc("count"), "num", "txt")
-    ranked = counted.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP_K)
-    entry = lambda kind, key: F.collect_list(F.when(F.col("kind") == kind, F.struct(
-        "r", key.alias("key"), F.col("count").alias("n"))))
-    tops = ranked.groupBy("__by").agg(
-        entry(0, F.col("num")).alias("port_list"), entry(1, F.col("txt")).alias("proto_list"))
-    n_ports = counted.groupBy("__by").agg(F.sum(F.when(
-        (F.col("kind") == 0) & (F.col("count") > 0), 1)).cast("long").alias("n_ports"))
-    joined = whole.join(tops, "__by", "left").join(n_ports, "__by", "left").withColumns({
-        "top_ports": F.when(F.size("port_list") > 0, _ranked_map(F.col("port_list"))),
-        "protos": F.when(F.size("proto_list") > 0, _ranked_map(F.col("proto_list")))})
+    number = lambda name: null_if_not_finite(to_number(q(name))) if name else F.lit(None).cast("double")
+    return F.struct(
+        number(port).try_cast("int").alias("port"), number(proto).try_cast("int").alias("code"),
+        (protocol_text(q(proto)) if proto else F.lit(None).cast("string")).alias("protocol"),
+        (q(ip).cast("string") if ip else F.lit(None).cast("string")).alias("address"),
+        number(dur).alias("duration"), number(fwd).alias("volume"), F.lit(ip is not None).alias("has_address"))
+
+
+PORT, PROTOCOL, ADDRESS, VOLUME, CLASS = range(5)  # kinds of counted keys
+_SPREAD = 64
+
+
+def capture_counts(df: DataFrame, by: str, cells: str, name: str | None = None, confidence: str | None = None,
+                   position: str | None = None) -> DataFrame:
+    """Rows per (capture, kind, key) of ports, protocols, addresses and, if given, predicted classes, in one pass.
+
+    Sums of the numeric cells stand in the row of kind VOLUME. All of a capture's figures follow from this table; tasks
+    combine it before the shuffle, so it has one row a distinct key however many flows there are.
+    """
+    c = lambda f: F.col(f"`{cells}`.{f}")
+
+    def entry(kind, num=None, txt=None, a=None, b=None, at=None):
+        given = [("num", num, "int"), ("txt", txt, "string"), ("a", a, "double"), ("b", b, "double"), ("at", at, "long")]
+        return F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if v is None else v).cast(t).alias(n) for n, v, t in given])
+    entries = [entry(PORT, c("port")), entry(PROTOCOL, txt=c("protocol"), a=c("code")), entry(ADDRESS, txt=c("address")),
+               entry(VOLUME, c("has_address").cast("int"), a=c("duration"), b=c("volume"))]
+    if name:
+        entries.append(entry(CLASS, txt=q(name), a=q(confidence) if confidence else F.lit(0.0), at=q(position) if position else F.lit(0)))
+    each = df.select(q(by).alias("__by"), F.explode(F.array(*entries)).alias("e")).select("__by", "e.*")
+    return each.where((F.col("kind") >= VOLUME) | F.col("num").isNotNull() | F.col("txt").isNotNull()).groupBy("__by", "kind", "num", "txt").agg(
+        F.count("*").alias("n"), F.sum("a").alias("a"), F.count("a").alias("n_a"), F.min("a").alias("least"), F.sum("b").alias("b"),
+        F.count("b").alias("n_b"), F.min("at").alias("first_at"))
+
+
+def _summary(counted: DataFrame, by: str, classes: bool) -> DataFrame:
+    """Findings (with ``classes``) and profile of every capture, from :func:`capture_counts`."""
+    kind = F.col("kind")
+    # equal counts: ports and protocols by number, names without a number last; addresses need no order
+    spread = F.when(kind > PROTOCOL, F.pmod(F.hash("txt"), F.lit(_SPREAD)))
+    rank = W.partitionBy("__by", "kind", spread).orderBy(F.desc("n"), "num", F.asc_nulls_last("least"), "txt")
+    ranked = counted.withColumn("r", F.row_number().over(rank))
+    top = lambda k, key: F.collect_list(F.when((kind == k) & (F.col("r") <= TOP_K), F.struct("r", key.alias("key"), "n")))
+    volume, is_class = kind == VOLUME, kind == CLASS
+    mean = lambda v, n: F.try_divide(F.sum(F.when(volume, F.col(v))), F.sum(F.when(volume, F.col(n))))
+    masked = lambda c: F.when(is_class, F.col(c))
+    g = ranked.groupBy(F.col("__by").alias(by)).agg(
+        top(PORT, F.col("num")).alias("ports"), top(PROTOCOL, F.col("txt")).alias("protocols"),
+        F.count_if(kind == PORT).alias("n_ports"), F.count_if(kind == ADDRESS).alias("n_addresses"),
+        F.max(F.when(volume, F.col("num"))).alias("has_address"), mean("a", "n_a").alias("duration"), mean("b", "n_b").alias("volume"),
+        *(_finding_aggs(masked("txt"), masked("n"), masked("a"), masked("first_at")) if classes else []))
+    listed = lambda c: F.when(F.size(c) > 0, _ranked_map(F.col(c)))
     profile = F.struct(
-        F.col("top_ports").alias("top_dst_ports"), F.col("n_ports").alias("unique_dst_ports"),
-        F.col("protos").alias("protocols"),
-        (F.col("ips") if ip else F.lit(None).cast("long")).alias("unique_src_ips"),
-        F.col("dur").cast("long").alias("avg_flow_duration_us"),
-        exact_round(F.col("fwd"), 1).alias("avg_fwd_bytes"))
-    return joined.select(F.col("__by").alias(by), profile.cast(PROFILE_TYPE)
-                         .alias("traffic_profile"))
+        listed("ports").alias("top_dst_ports"), F.when(F.col("n_ports") > 0, F.col("n_ports")).alias("unique_dst_ports"),
+        listed("protocols").alias("protocols"), F.when(F.col("has_address") == 1, F.col("n_addresses")).alias("unique_src_ips"),
+        F.col("duration").cast("long").alias("avg_flow_duration_us"), exact_round(F.col("volume"), 1).alias("avg_fwd_bytes"))
+    return g.select(by, *(_finding_columns() if classes else []), profile.cast(PROFILE_TYPE).alias("traffic_profile"))
+
+
+def traffic_profile(df: DataFrame, by: str = "source_file") -> DataFrame:
+    """One row per capture with a ``traffic_profile`` struct; absent columns give null fields."""
+    return _summary(capture_counts(df.select(q(by), profile_cells(df).alias("__cells")), by, "__cells"), by, False)
+
+
+def capture_summary(df: DataFrame, by: str = "source_file", name: str = "class_name", confidence: str = "confidence",
+                    position: str | None = None, cells: str | None = None) -> DataFrame:
+    """Findings and traffic profile of every capture from one read of classified flows.
+
+    ``cells`` names a column of :func:`profile_cells` made before the raw cells were scaled; without it they are taken from ``df``.
+    """
+    if cells is None:
+        df, cells = df.withColumn("__cells", profile_cells(df)), "__cells"
+    return _summary(capture_counts(df, by, cells, name, confidence, position), by, True)
 
 
 def per_flow_predictions(df: DataFrame, prediction: str = "prediction",
@@ -127,35 +161,43 @@ def class_distribution(df: DataFrame, by: str = "source_file",
                        name: str = "class_name", position: str | None = None) -> DataFrame:
     """Map of predicted class to count, most frequent first."""
     counted = class_counts(df, by, name, position=position)
-    return counted.groupBy(by).agg(_distribution(name).alias("class_distribution"))
+    return counted.groupBy(by).agg(
+        _distribution(F.col(name), F.col("n"), F.col("first_at")).alias("class_distribution"))
 
 
-def _distribution(name: str) -> Column:
-    entries = F.array_sort(F.collect_list(F.struct(
-        (-F.col("n")).alias("o"), "first_at", F.col(name).alias("k"), "n")))
+def _distribution(name: Column, n: Column, first_at: Column) -> Column:
+    entries = F.array_sort(F.collect_list(F.when(n.isNotNull(), F.struct(
+        (-n).alias("o"), first_at.alias("first_at"), name.alias("k"), n.alias("n")))))
     return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["k"], e["n"])))
 
 
-def findings_from_counts(counts: DataFrame, by: str = "source_file",
-                         name: str = "class_name") -> DataFrame:
-    """Capture findings from (capture, class) counts: at most one row per class and capture."""
-    attack = F.col(name) != NORMAL
+def _finding_aggs(name: Column, n: Column, confidence_sum: Column, first_at: Column) -> list[Column]:
+    """Aggregates of (capture, class) counts; rows without ``n`` don't count."""
+    attack = name != NORMAL
     # equal counts go to the class seen first; without positions to the last name in order
-    strength = F.struct(F.col("n"), (-F.col("first_at")).alias("f"), F.col(name).alias("k"))
-    g = counts.groupBy(by).agg(
-        F.sum("n").alias("flow_count"), F.sum("confidence_sum").alias("cs"),
-        F.coalesce(F.sum(F.when(attack, F.col("n"))), F.lit(0)).alias("attacks"),
-        F.max_by(name, strength).alias("dominant_class"),
-        F.max_by(F.when(attack, F.col(name)), F.when(attack, strength)).alias("top"),
-        _distribution(name).alias("class_distribution"))
+    strength = F.when(n.isNotNull(), F.struct(n.alias("n"), (-first_at).alias("f"), name.alias("k")))
+    return [F.sum(n).alias("flow_count"), F.sum(confidence_sum).alias("cs"),
+            F.coalesce(F.sum(F.when(attack, n)), F.lit(0)).alias("attacks"),
+            F.max_by(name, strength).alias("dominant_class"),
+            F.max_by(F.when(attack, name), F.when(attack, strength)).alias("top"),
+            _distribution(name, n, first_at).alias("class_distribution")]
+
+
+def _finding_columns() -> list[Column | str]:
     share = ratio(F.col("attacks"), F.col("flow_count"))
     hit = share > ATTACK_RATIO_ALARM
-    return g.select(
-        by, F.when(hit, "abnormal").otherwise("normal").alias("status"),
-        hit.alias("attack_detected"), F.when(hit, F.col("top")).alias("attack_type"),
-        exact_round(F.col("cs") / F.col("flow_count"), 4).alias("confidence"),
-        exact_round(share, 4).alias("attack_ratio"), "flow_count", "dominant_class",
-        "class_distribution")
+    return [F.when(hit, "abnormal").otherwise("normal").alias("status"),
+            hit.alias("attack_detected"), F.when(hit, F.col("top")).alias("attack_type"),
+            exact_round(F.col("cs") / F.col("flow_count"), 4).alias("confidence"),
+            exact_round(share, 4).alias("attack_ratio"), "flow_count", "dominant_class",
+            "class_distribution"]
+
+
+def findings_from_counts(counts: DataFrame, by: str = "source_file",
+                         name: str = "class_name") -> DataFrame:
+    """Capture findings from (capture, class) counts: at most one row per class and capture."""
+    aggs = _finding_aggs(F.col(name), F.col("n"), F.col("confidence_sum"), F.col("first_at"))
+    return counts.groupBy(by).agg(*aggs).select(by, *_finding_columns())
 
 
 def capture_findings(df: DataFrame, by: str = "source_file", name: str = "class_name",

@@ -47,6 +47,30 @@ def last_24h(df: DataFrame, now: Column, ts: str = "timestamp") -> DataFrame:
     return df.where(parse_iso(q(ts)) > now - F.expr("interval 24 hours"))
 
 
+def page_after(df: DataFrame, key: str, direction: str = "asc", last: dict | None = None, size: int = 20,
+               ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The page that follows the row ``last`` of a sorted table; the first page without it.
+
+    ``last`` holds key and ties of the last row seen. The rows before it are filtered out where they are read, so that a
+    page costs the same however deep it lies: each task keeps one page. Ties must make the order unique. Same order as :func:`sort_page`.
+    """
+    if direction not in ("asc", "desc"):
+        raise ValueError("direction must be 'asc' or 'desc'")
+    if last is not None:
+        # ties in order: later in the first one that differs
+        after, same = F.lit(False), F.lit(True)
+        for t in ties:
+            after = after | (same & (q(t) > F.lit(last[t])))
+            same = same & q(t).eqNullSafe(F.lit(last[t]))
+        if last[key] is None:
+            df = df.where(q(key).isNull() & after)
+        else:
+            beyond = q(key) > F.lit(last[key]) if direction == "asc" else q(key) < F.lit(last[key])
+            df = df.where(q(key).isNull() | beyond | ((q(key) == F.lit(last[key])) & after))
+    first = (F.asc_nulls_last if direction == "asc" else F.desc_nulls_last)(q(key))
+    return df.orderBy(first, *[q(t) for t in ties]).limit(size)
+
+
 def _flat_columns() -> list[Column]:
     text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("--"))
     return [F.col("id"), F.col("timestamp"), F.col("filename"),

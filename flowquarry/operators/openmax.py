@@ -221,11 +221,16 @@ def hybrid_openmax(df: DataFrame, params: OpenMaxParams, activations: str = "pen
 def msp_predict(df: DataFrame, cut: float, num_known: int, logits: str = "logits",
                 prediction: str = "prediction", probabilities: str = "probabilities",
                 confidence: str = "confidence") -> DataFrame:
-    """Top softmax probability below ``cut`` means unknown."""
-    base = df.withColumn("__p", V.softmax(F.slice(q(logits).cast("array<double>"), 1, num_known)))
+    """Top softmax probability below ``cut`` means unknown.
+
+    So do logits without a softmax (null, NaN or infinite ones, or none): their confidence is 0, all probability is the unknown's.
+    """
+    given = F.slice(q(logits).cast("array<double>"), 1, num_known)
+    sound = F.coalesce((F.size(given) == num_known) & ~F.exists(given, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+    base = df.withColumn("__p", F.when(sound, V.softmax(given)).otherwise(F.array_repeat(F.lit(0.0), num_known)))
     base = base.withColumn(confidence, F.array_max("__p"))
-    return (base.withColumn(prediction, F.when(q(confidence) < F.lit(float(cut)), num_known)
-                            .otherwise(V.argmax(F.col("__p"))).cast("int"))
+    rejected = (q(confidence) < F.lit(float(cut))) | (q(confidence) == 0)
+    return (base.withColumn(prediction, F.when(rejected, num_known).otherwise(V.argmax(F.col("__p"))).cast("int"))
             .withColumn(probabilities, V.with_unknown(F.col("__p"))).drop("__p"))
 
 

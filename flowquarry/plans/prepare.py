@@ -8,20 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions import vectors as V
-from flowquarry.functions.numeric import nan_to_num
+from flowquarry.functions.numeric import nan_to_num, null_if_not_finite, to_number
 from flowquarry.operators import clean, lookup, scale
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import join_dimension
+from flowquarry.plans.ranks import vector_percentiles, wide
 from flowquarry.plans.storage import materialize
 from flowquarry.schema import FEATURES, GRID_CELLS, GRID_SIDE, KNOWN_CLASSES, LABEL, MODEL_FEATURES
 from flowquarry.sources.flows import dedupe_header, normalize_headers
 
 
 def tidy(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Headers, names, ordered features as doubles with null for anything not finite."""
+    """Headers, names, ordered ``features`` in one array of doubles, with null for anything not finite.
+
+    Cells are packed before they are cleaned, so that the plan has one cleaning expression however many features there are.
+    """
     df = clean.canonicalize_columns(dedupe_header(normalize_headers(df)))
     df = clean.select_features(df, names, keep=keep)
-    return clean.null_non_finite(clean.coerce_numeric(df, names), names)
+    raw = F.array(*[to_number(q(n)) for n in names])
+    return df.select(*[q(k) for k in keep], F.transform(raw, null_if_not_finite).alias("features"))
 
 
 def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by: str, vec: str = "features") -> DataFrame:
@@ -34,20 +39,25 @@ def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by:
 
 def fit_cleaning(df: DataFrame, names: Sequence[str], by: str = "source_file",
                  feature_range=(0.0, 1.0)) -> tuple[DataFrame, scale.Scaler]:
-    """Per-file medians (written once) and the scaler of the imputed data."""
-    rows = tidy(df, names, [by])
-    table, _ = scale.fit_minmax_imputed(rows, names, by)
-    medians = materialize(clean.file_medians(rows, names, by))
-    return medians, scale.load_scaler(table, feature_range)
+    """Per-file medians and the scaler of the imputed data, from the same histograms.
+
+    A median lies between the ends of its file, so filling gaps can't widen a range; only a column without any value in
+    some file adds the 0 that fills it.
+    """
+    found = materialize(vector_percentiles(tidy(df, names, [by]), "features", [by], 0.5))
+    ends = found.groupBy("item").agg(F.min(F.coalesce("lo", F.lit(0.0))).alias("min"), F.max(F.coalesce("hi", F.lit(0.0))).alias("max"))
+    at = {r["item"]: r for r in ends.collect()}  # one row a feature
+    scaler = scale.Scaler(list(names), [at[i]["min"] if i in at else 0.0 for i in range(len(names))],
+                          [at[i]["max"] if i in at else 0.0 for i in range(len(names))], *map(float, feature_range))
+    return wide(found, names, [by]), scaler
 
 
 def _vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str], by: str,
              keep: Sequence[str], medians: DataFrame | None) -> DataFrame:
     rows = tidy(df, names, [by, *keep])
     if medians is None:
-        medians = clean.file_medians(rows, names, by)
-    packed = scale.to_vector(rows, names, "features", keep=[by, *keep])
-    return scale.scale_vector(impute_vector(packed, medians, names, by), scaler)
+        medians = wide(vector_percentiles(rows, "features", [by], 0.5), names, [by])
+    return scale.scale_vector(impute_vector(rows, medians, names, by), scaler)
 
 
 def preprocess(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = FEATURES,
@@ -91,8 +101,7 @@ def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] =
 def serving_vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                     keep: Sequence[str] = ("source_file",), pad: int = GRID_CELLS) -> DataFrame:
     """Model input of raw flows: missing cells are 0 (no medians), also after scaling."""
-    packed = scale.to_vector(tidy(df, names, keep), names, "features", keep=keep)
-    filled = packed.withColumn("features", F.transform(
+    filled = tidy(df, names, keep).withColumn("features", F.transform(
         "features", lambda x: F.coalesce(x, F.lit(0.0))))
     scaled = scale.scale_vector(filled, scaler)
     return scaled.withColumn("features", V.pad_to(F.transform("features", nan_to_num), pad))

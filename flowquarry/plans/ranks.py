@@ -149,21 +149,21 @@ def _chosen(hist: DataFrame, by: list[str], at: DataFrame | None, p: float) -> D
             .select(*by, "item", "lo", "hi", start.alias("below"), "first", "last", "share", F.when(whole, F.col("lo")).alias("a"), b.alias("b")))
 
 
-def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p: float) -> DataFrame:
-    """Exact interpolated ``p`` percentile of each column per group; nulls are ignored, NaN is the largest value.
+def vector_percentiles(rows: DataFrame, vec: str, by: Sequence[str], p: float) -> DataFrame:
+    """Exact interpolated ``p`` percentile of every cell of array column ``vec`` per group: by, item, v, lo, hi.
 
-    Values are counted in bins, all columns in one pass; only counts and the ends of a bin are kept, never values, and
-    tasks combine them before the shuffle. The bin that holds the wanted rank is then divided into ``_FINE`` finer ones, for
-    the rows inside it alone, until it holds a single value. The first bins are sixteenths of a doubling, so that two passes
+    Nulls are ignored, NaN is the largest value; v and the ends lo and hi are null where a group has no value. Values are counted
+    in bins, all cells in one pass; only counts and the ends of a bin are kept, never values, and tasks combine them
+    before the shuffle. The bin that holds the wanted rank is then divided into ``_FINE`` finer ones, for the rows inside it
+    alone, until it holds a single value. The first bins are sixteenths of a doubling, so that two passes
     suffice for most data and five for any doubles, whatever the size or skew of a group.
     """
-    by, cols = list(by), list(cols)
-    rows = df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("__cells"))
-    each = rows.select(*by, F.posexplode("__cells").alias("item", "v"))
+    by = list(by)
+    # outer: an inner one would test the array's size beforehand, and with it make all cells twice
+    each = rows.select(*by, F.posexplode_outer(vec).alias("item", "v"))
     ends = [F.min("v").alias("lo"), F.max("v").alias("hi")]
     bins = materialize(each.groupBy(*by, "item", F.when(F.col("v").isNotNull(), _scale_bin(F.col("v"))).alias("bin"))
                        .agg(F.count("v").alias("n"), *ends))
-    groups = bins.select(*by).distinct()
     done, at = [], materialize(_chosen(bins.where("bin IS NOT NULL"), by, None, p))
     while True:
         done.append(at.where("a IS NOT NULL"))
@@ -171,19 +171,28 @@ def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p
         if at.isEmpty():
             break
         ranges = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("lo", "hi")))).alias("__ranges"))
-        placed = join_dimension(rows, ranges, by, "inner", null_safe=True, width=2 * len(cols))
-        inside = placed.select(*by, F.posexplode(F.transform("__cells", lambda v, i: F.struct(
-            v.alias("v"), F.try_element_at("__ranges", i).alias("r")))).alias("item", "s")).select(*by, "item", "s.v", "s.r.lo", "s.r.hi")
+        placed = join_dimension(rows.select(*by, vec), ranges, by, "inner", null_safe=True, width=2 * at.select("item").distinct().count())
+        inside = placed.select(*by, "__ranges", F.posexplode_outer(vec).alias("item", "v")).select(
+            *by, "item", "v", F.try_element_at("__ranges", F.col("item")).alias("r")).select(*by, "item", "v", "r.lo", "r.hi")
         inside = inside.where("v BETWEEN lo AND hi")
         fine = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _FINE).alias("bin")
         at = materialize(_chosen(inside.groupBy(*by, "item", fine).agg(F.count("v").alias("n"), *ends), by, at, p))
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    value = _between(F.col("a"), F.col("b"), F.col("share"))
-    wide = every.withColumn("v", value).groupBy(*by).agg(
-        *[F.max(F.when(F.col("item") == i, F.col("v"))).alias(c) for i, c in enumerate(cols)])
-    return join_null_safe(groups, wide, by, "left")
+    found = every.select(*by, "item", _between(F.col("a"), F.col("b"), F.col("share")).alias("v"))
+    return join_null_safe(bins.groupBy(*by, "item").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), found, [*by, "item"], "left")
+
+
+def wide(found: DataFrame, cols: Sequence[str], by: Sequence[str], value: str = "v") -> DataFrame:
+    """One row per group, a column for every item."""
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("item") == i, F.col(value))).alias(c) for i, c in enumerate(cols)])
+
+
+def grouped_percentiles(df: DataFrame, cols: Sequence[str], by: Sequence[str], p: float) -> DataFrame:
+    """Exact interpolated ``p`` percentile of each column per group (:func:`vector_percentiles`)."""
+    rows = df.select(*by, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("__cells"))
+    return wide(vector_percentiles(rows, "__cells", by, p), cols, by)
 
 
 def _between(a: Column, b: Column, w: Column) -> Column:

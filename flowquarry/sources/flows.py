@@ -140,15 +140,6 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores; larger inputs stay as they are.
-
-    Rows are placed by a hash of ``keys``, so a lost task recomputes the same placement.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Strip blanks around every column name."""
     return df.toDF(*[c.strip() for c in df.columns])

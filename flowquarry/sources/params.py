@@ -91,10 +91,33 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of the entries of a folder, from its listing alone."""
+    """Names of the entries of a folder, from its listing alone; none if it isn't there."""
+    fs, hadoop = _located(spark, path)
+    return [entry.getPath().getName() for entry in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
+def _located(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return [entry.getPath().getName() for entry in listed]
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, made with its folders."""
+    fs, hadoop = _located(spark, path)
+    fs.create(hadoop, True).close()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, hadoop = _located(spark, path)
+    fs.delete(hadoop, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Give ``source`` the name ``target``; false if that is taken."""
+    fs, old = _located(spark, source)
+    _, new = _located(spark, target)
+    return not fs.exists(new) and fs.rename(old, new)
 
 
 def scaler_or_fit(spark: SparkSession, path: str, fit) -> DataFrame:

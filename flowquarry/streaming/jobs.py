@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowquarry.operators.history import explode_alerts
 from flowquarry.operators.packets import flow_features_windowed
 from flowquarry.operators.scale import fit_minmax, merge_scalers
+from flowquarry.plans.analyze import judge, to_history
 from flowquarry.plans.storage import scratch_path
 from flowquarry.schema import ALERT_TYPES, SEVERITIES
-from flowquarry.sources.params import child_names, path_exists
+from flowquarry.sources.params import child_names, path_exists, remove_path, touch
 
 
 def _start(writer, checkpoint: str | None, spark, label: str, once: bool) -> StreamingQuery:
@@ -37,17 +39,52 @@ def stream_verdicts(flows: DataFrame, analyze: Callable[[DataFrame], DataFrame],
                   "verdicts", once)
 
 
+def stream_analyses(flows: DataFrame, find: Callable[[DataFrame], DataFrame],
+                    context: Callable[[DataFrame], DataFrame], out: str, now: Column | None = None, by: str = "source_file",
+                    checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
+    """New flow files to verdicts, alerts and quarantined findings, all of a batch or nothing.
+
+    Flows are read once a batch: ``find`` makes the findings, which are written, and the three outputs come from that small
+    table. ``context`` gives the contexts of the captures in a table of findings. A batch counts when its mark is written, after all
+    outputs (:func:`read_batches`); a replayed batch takes its mark back first and overwrites its own folders.
+    """
+    spark = flows.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = lambda name: f"{out}/{name}/batch={batch_id}"
+        remove_path(spark, at(MARKS))
+        find(batch).write.mode("overwrite").parquet(at("findings"))
+        found = spark.read.parquet(at("findings"))
+        verdicts, quarantine = judge(found, context(found), by)
+        verdicts.write.mode("overwrite").parquet(at("verdicts"))
+        quarantine.write.mode("overwrite").parquet(at("quarantine"))
+        records = to_history(spark.read.parquet(at("verdicts")), F.current_timestamp() if now is None else now, by)
+        explode_alerts(records).write.mode("overwrite").parquet(at("alerts"))
+        touch(spark, at(MARKS))
+    return _start(flows.writeStream.foreachBatch(write), checkpoint, spark, "analyses", once)
+
+
+MARKS = "_complete"
+
+
+def read_batches(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Rows of an output (findings, verdicts, alerts, quarantine) of all complete batches of :func:`stream_analyses`."""
+    done = [f"{out}/{name}/{b}" for b in sorted(child_names(spark, f"{out}/{MARKS}"))]
+    if not done:
+        raise ValueError(f"no complete batch below {out}")
+    return spark.read.option("basePath", f"{out}/{name}").parquet(*done)
+
+
 def dashboard_windows(history: DataFrame, size: str = "24 hours", slide: str = "1 hour",
                       late: str = "2 hours", ts: str = "event_time") -> DataFrame:
     """Sliding dashboard figures over arriving history; records later than ``late`` are dropped."""
     sev = F.col("verdict.verdict")
     alerts = F.coalesce(F.col("verdict.alertsTriggered"), F.expr("cast(array() as array<string>)"))
-    named = F.transform(alerts, lambda a: a)
     return history.withWatermark(ts, late).groupBy(F.window(ts, size, slide)).agg(
         F.count("*").alias("total"), F.count_if(~sev.eqNullSafe("LOW")).alias("threats"),
         F.avg(F.coalesce("modelFindings.confidence", F.lit(0.0))).alias("avg_confidence"),
         *[F.count_if(sev == s).alias(f"n_{s.lower()}") for s in SEVERITIES],
-        *[F.count_if(F.array_contains(named, t)).alias(f"alert_{t.lower()}")
+        *[F.count_if(F.array_contains(alerts, t)).alias(f"alert_{t.lower()}")
           for t in ALERT_TYPES]).select(
         F.col("window.start").alias("start"), F.col("window.end").alias("end"), "total",
         "threats", "avg_confidence", *[f"n_{s.lower()}" for s in SEVERITIES],

@@ -9,7 +9,7 @@ from flowquarry.functions.numeric import nan_to_num, to_number
 from flowquarry.operators import clean, lookup, metrics, scale
 from flowquarry.operators.clean import q
 from flowquarry.plans import learn, prepare, ranks
-from flowquarry.schema import (KNOWN_CLASSES, LABEL_IDS, PORT_SERVICES, RENAMES,
+from flowquarry.schema import (FEATURES, KNOWN_CLASSES, LABEL_IDS, MODEL_FEATURES, PORT_SERVICES, RENAMES,
                                SERVED_CLASSES, UNKNOWN_CLASSES)
 from flowquarry.testbed import adapters as A
 from flowquarry.testbed.registry import query
@@ -203,13 +203,13 @@ def _(spark, sf):
     return scale.merge_scalers(*parts)
 
 
-def _scaled_sql(low, high, source):
+def _scaled_sql(low, high, source, names=A.FEATURE_NAMES):
     """Scaled columns s0.. from ``source`` with its own minima and maxima."""
-    ends = ", ".join(f'min("{n}") AS lo{i}, max("{n}") AS hi{i}' for i, n in enumerate(A.FEATURE_NAMES))
+    ends = ", ".join(f'min("{n}") AS lo{i}, max("{n}") AS hi{i}' for i, n in enumerate(names))
     cells = ", ".join(
         f'"{n}" * (CAST({high - low} AS DOUBLE) / (CASE WHEN hi{i} = lo{i} THEN 1 ELSE hi{i} - lo{i} END)) '
         f'+ ({low} - lo{i} * (CAST({high - low} AS DOUBLE) / (CASE WHEN hi{i} = lo{i} THEN 1 ELSE hi{i} - lo{i} END)))'
-        f" AS s{i}" for i, n in enumerate(A.FEATURE_NAMES))
+        f" AS s{i}" for i, n in enumerate(names))
     return (f", e AS (SELECT {ends} FROM {source}), "
             f"s AS (SELECT source_file, position, \"Label\", {cells} FROM {source}, e)")
 
@@ -326,6 +326,45 @@ def _(spark, sf):
           for i in range(len(A.FEATURE_NAMES))])
 
 
+def _full_sql(names) -> str:
+    """Cleaned and imputed columns of the full-width flows."""
+    cells = ", ".join(f'{A.clean_cell(n)} AS "{n}"' for n in names)
+    medians = ", ".join(f'median("{n}") AS "{n}"' for n in names)
+    filled = ", ".join(f'coalesce(c."{n}", m."{n}", 0) AS "{n}"' for n in names)
+    return (f"WITH flows AS ({A.FULL_FLOWS_SQL}), c AS (SELECT source_file, position, \"Label\", {cells} FROM flows), "
+            f"m AS (SELECT source_file, {medians} FROM c GROUP BY source_file), "
+            f"f AS (SELECT c.source_file, c.position, c.\"Label\", {filled} FROM c JOIN m USING (source_file))")
+
+
+def _wide_means(names):
+    return ", ".join(f"round(avg(s{i}), 6) AS a{i}" for i in range(len(names)))
+
+
+def _vector_means(names):
+    return [F.round(F.avg(F.col("features")[i]), 6).alias(f"a{i}") for i in range(len(names))]
+
+
+@query("f11_full_width", f"""{_full_sql(FEATURES)}{_scaled_sql(0, 1, 'f', FEATURES)} SELECT source_file, count(*) AS row_count,
+{len(FEATURES)} AS feature_count, {_wide_means(FEATURES)} FROM s GROUP BY 1""")
+def _(spark, sf):
+    flows = A.full_flows(spark, sf)
+    medians, scaler = prepare.fit_cleaning(flows, FEATURES)
+    out = prepare.preprocess(flows, scaler, FEATURES, medians=medians)
+    return out.groupBy("source_file").agg(
+        F.count("*").alias("row_count"), F.max(F.size("features")).alias("feature_count"), *_vector_means(FEATURES))
+
+
+@query("f13_full_width", f"""{_full_sql(MODEL_FEATURES)}{_scaled_sql(-1, 1, 'f', MODEL_FEATURES)},
+y AS (SELECT *, CAST({LABEL_CASE} AS INT) AS class_id FROM s)
+SELECT CAST(list_position([0, 1, 2, 3, 5, 6], class_id) - 1 AS INT) AS y, count(*) AS n, 121 AS width,
+{_wide_means(MODEL_FEATURES)} FROM y WHERE class_id IN (0, 1, 2, 3, 5, 6) GROUP BY 1""")
+def _(spark, sf):
+    flows = A.full_flows(spark, sf)
+    medians, scaler = prepare.fit_cleaning(flows, MODEL_FEATURES, feature_range=(-1, 1))
+    out = prepare.prepare_labelled(flows, scaler, medians=medians)
+    return out.groupBy("y").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), *_vector_means(MODEL_FEATURES))
+
+
 # --- lookups --------------------------------------------------------------------------------------
 
 @query("j1_map_labels", f"{LABELLED} SELECT class_id, count(*) AS n FROM l GROUP BY 1")

@@ -10,7 +10,9 @@ from flowquarry.functions.numeric import parse_iso
 from flowquarry.operators import clean, decision, findings, history
 from flowquarry.plans import analyze, learn, prepare
 from flowquarry.operators import scale
-from flowquarry.schema import ALERT_TYPES, FEATURES, PORT_SERVICES, SEVERITIES
+from flowquarry.schema import ALERT_TYPES, FEATURES, GRID_CELLS, MODEL_FEATURES, PORT_SERVICES, SEVERITIES
+from flowquarry.plans.storage import scratch_path
+from flowquarry.sources.history_store import HistoryStore
 from flowquarry.sources.params import OpenMaxParams
 from flowquarry.testbed import adapters as A
 from flowquarry.testbed.q_findings import FINDINGS_SQL, PROFILE_SQL, pairs
@@ -84,8 +86,8 @@ VERDICT_COLS = ["source_file", "verdict", "summary", "explanation", "inferredAtt
 
 def _found(spark, sf):
     """Findings of the given predictions, with profile and context."""
-    f = findings.capture_findings(A.predictions(spark, sf), position="position")
-    return A.with_context(f.join(findings.traffic_profile(A.flows(spark, sf)), "source_file", "left"))
+    flows = A.build(A.table(spark, sf, "lineitem"), A.FLOWS + A.PREDICTIONS[2:])
+    return A.with_context(findings.capture_summary(flows, position="position"))
 
 
 def _told(v):
@@ -206,14 +208,94 @@ def _(spark, sf):
 
 # --- whole workflow -------------------------------------------------------------------------------
 
-@query("e1_analyze", f"""WITH {VERDICT_SQL} SELECT v.*, flow_count AS row_count, {len(FEATURES)} AS feature_count
+# a linear stand-in for a trained model: fixed weights over the scaled features, padded like those of the served one
+class Model:
+    """Weights, OpenMax parameters and scaler over ``names``, and the same as SQL over ``flows``."""
+
+    def __init__(self, names, ends, flows: str, step: float = 1.0):
+        self.names, self.ends, self.flows = names, ends, flows
+        self.w = [[((5 * r + 2 * c) % 7 - 3) * step for c in range(len(names))] for r in range(6)]
+        self.b = [1.5, 0.0, 0.5, -0.5, 0.0, 0.25]
+        self.params = OpenMaxParams(6, {k: [float((k + c) % 3) for c in range(6)] for k in range(6)},
+                                    {k: (2.0, 2.0) for k in range(6) if k != 5}, "euclidean", 5)
+        self.scaler = scale.Scaler(names, [ends[n][0] for n in names], [ends[n][1] for n in names], -1.0, 1.0)
+
+    def score(self, df):
+        width = max(len(self.names), GRID_CELLS if len(self.names) > len(MODEL_NAMES) else 0)
+        return learn.linear_scores(df, [row + [0.0] * (width - len(row)) for row in self.w], self.b, "features", "logits")
+
+    def sql(self) -> str:
+        """Scaled vector, logits, OpenMax class and probability of every flow."""
+        span = lambda n: self.ends[n][1] - self.ends[n][0]
+        scaled = ", ".join(f"CAST(coalesce({A.clean_cell(n)}, 0) * {2 / span(n)!r} + ({-1 - self.ends[n][0] * 2 / span(n)!r}) AS DOUBLE)"
+                           for n in self.names)
+        logits = ", ".join("(" + " + ".join(f"x[{c + 1}] * {w!r}" for c, w in enumerate(self.w[r]))
+                           + f" + {self.b[r]})" for r in range(6))
+        mav = lambda k: "[" + ", ".join(f"CAST({m} AS DOUBLE)" for m in self.params.mavs[k]) + "]"
+        rank = lambda k: " + ".join(
+            f"CAST(v[{j + 1}] {'>=' if j < k else '>'} v[{k + 1}] AS INT)" for j in range(6) if j != k)
+        w = ", ".join("1" if k == 5 else
+                      f"1 - (CASE WHEN {rank(k)} < 5 THEN (5 - ({rank(k)})) / 5 ELSE 0 END) * "
+                      f"(1 - exp(-pow(list_distance(v, {mav(k)}) / 2, 2)))" for k in range(6))
+        z = ", ".join(f"v[{k}] * w[{k}]" for k in range(1, 7))
+        u = " + ".join(f"v[{k}] * (1 - w[{k}])" for k in range(1, 7))
+        return f"""mf AS ({self.flows}),
+mx AS (SELECT source_file, position, [{scaled}] AS x FROM mf),
+ml AS (SELECT source_file, position, [{logits}] AS v FROM mx),
+mw AS (SELECT *, [{w}] AS w FROM ml), mz AS (SELECT *, [{z}, {u}] AS z FROM mw),
+me AS (SELECT *, list_transform(z, lambda q: exp(q - list_max(z))) AS e FROM mz),
+mp AS (SELECT source_file, position, ['Normal', 'Botnet', 'Brute Force', 'DoS', 'PortScan', 'Web Attack', 'Unknown']
+ [list_position(e, list_max(e))] AS class_name, list_max(e) / list_sum(e) AS confidence FROM me)"""
+
+    def instead(self, sql: str) -> str:
+        """``sql`` over given predictions, with this model's."""
+        return sql.replace(f"p AS ({A.PREDICTIONS_SQL})", self.sql() + ", p AS (SELECT * FROM mp)")
+
+
+MODEL_NAMES = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Flow Packets/s"]
+RANGES = {"Flow Duration": (0, 5e6), "Total Fwd Packets": (0, 50), "Total Backward Packets": (1, 7),
+          "Flow Packets/s": (0, 0.1)}
+SMALL = Model(MODEL_NAMES, RANGES, A.FLOWS_SQL)
+WIDE = Model(MODEL_FEATURES, {n: RANGES.get(n, (0, 40.0 * (i % 7 + 1) + 10)) for i, n in enumerate(MODEL_FEATURES)}, A.FULL_FLOWS_SQL, 0.125)
+MODEL_FINDINGS = SMALL.instead(FINDINGS_SQL)
+MODEL_COLS = ["source_file", "status", "attack_detected", "attack_type", "confidence", "attack_ratio",
+              "flow_count", "dominant_class", "class_distribution"]
+PROFILE_COLS = ["unique_dst_ports", "unique_src_ips", "avg_flow_duration_us", "avg_fwd_bytes"]
+
+
+def wide_findings(flows):
+    """Findings of raw flows: 67 scaled features, padded to 121 cells, scores, OpenMax, counts and profile in one plan."""
+    return analyze.predict_flows(flows, WIDE.scaler, WIDE.score, WIDE.params, position="position")
+
+
+def _with_profile(df):
+    return df.select("*", *[F.col(f"traffic_profile.{c}") for c in PROFILE_COLS], pairs("traffic_profile.top_dst_ports").alias("top_dst_ports"),
+                     pairs("traffic_profile.protocols").alias("protocols"))
+
+
+# --- whole workflow -------------------------------------------------------------------------------
+
+E1_SQL = f"""SELECT v.*, flow_count AS row_count, {len(FEATURES)} AS feature_count, {', '.join(PROFILE_COLS)}, profile.top_dst_ports, protocols
+FROM v JOIN findings USING (source_file) JOIN profile USING (source_file)"""
+
+
+@query("e1_analyze", f"WITH {WIDE.instead(VERDICT_SQL)} {E1_SQL}")
+def _(spark, sf):
+    """Raw flows of full width to verdicts, through the model."""
+    found = wide_findings(A.full_flows(spark, sf))
+    v, _ = analyze.judge(found, A.contexts(A.table(spark, sf, "lineitem").select(F.expr(A.SOURCE_FILE).alias("source_file"))))
+    return _with_profile(v).select(*VERDICT_COLS, F.array_join("recommendedActions", "; ").alias("actions"),
+                                   F.array_join("alertsTriggered", "; ").alias("alerts"), "row_count",
+                                   F.col("feature_count").cast("int").alias("feature_count"), *PROFILE_COLS, "top_dst_ports", "protocols")
+
+
+@query("e1_given_classes", f"""WITH {VERDICT_SQL} SELECT v.*, flow_count AS row_count, {len(FEATURES)} AS feature_count
 FROM v JOIN findings USING (source_file)""")
 def _(spark, sf):
     flows = A.build(A.table(spark, sf, "lineitem"), A.FLOWS + A.PREDICTIONS[2:])
 
     def find(df):
-        found = findings.capture_findings(df, position="position")
-        return found.join(findings.traffic_profile(df), "source_file", "left")
+        return findings.capture_summary(df, position="position")
 
     v = analyze.analyze(flows, A.contexts(flows), find)
     return v.select(*VERDICT_COLS, F.array_join("recommendedActions", "; ").alias("actions"),
@@ -221,66 +303,42 @@ def _(spark, sf):
                     F.col("feature_count").cast("int").alias("feature_count"))
 
 
-# a linear stand-in for a trained model: fixed weights over the scaled features
-MODEL_NAMES = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Flow Packets/s"]
-MODEL_W = [[((5 * r + 2 * c) % 7 - 3) * 1.0 for c in range(len(MODEL_NAMES))] for r in range(6)]
-MODEL_B = [1.5, 0.0, 0.5, -0.5, 0.0, 0.25]
-MODEL_PARAMS = OpenMaxParams(6, {k: [float((k + c) % 3) for c in range(6)] for k in range(6)},
-                             {k: (2.0, 2.0) for k in range(6) if k != 5}, "euclidean", 5)
-RANGES = {"Flow Duration": (0, 5e6), "Total Fwd Packets": (0, 50), "Total Backward Packets": (1, 7),
-          "Flow Packets/s": (0, 0.1)}
-MODEL_SCALER = scale.Scaler(MODEL_NAMES, [RANGES[n][0] for n in MODEL_NAMES],
-                            [RANGES[n][1] for n in MODEL_NAMES], -1.0, 1.0)
-
-
-def _scorer(df):
-    return learn.linear_scores(df, MODEL_W, MODEL_B, "features", "logits")
-
-
-def _model_sql() -> str:
-    """Scaled vector, logits, OpenMax class and probability of every flow."""
-    scaled = ", ".join(
-        f'coalesce({A.clean_cell(n)}, 0) * {2 / (RANGES[n][1] - RANGES[n][0])!r} + '
-        f'({-1 - RANGES[n][0] * 2 / (RANGES[n][1] - RANGES[n][0])!r})' for n in MODEL_NAMES)
-    logits = ", ".join("(" + " + ".join(f"x[{c + 1}] * {w}" for c, w in enumerate(MODEL_W[r]))
-                       + f" + {MODEL_B[r]})" for r in range(6))
-    mav = lambda k: "[" + ", ".join(f"CAST({m} AS DOUBLE)" for m in MODEL_PARAMS.mavs[k]) + "]"
-    rank = lambda k: " + ".join(
-        f"CAST(v[{j + 1}] {'>=' if j < k else '>'} v[{k + 1}] AS INT)" for j in range(6) if j != k)
-    w = ", ".join("1" if k == 5 else
-                  f"1 - (CASE WHEN {rank(k)} < 5 THEN (5 - ({rank(k)})) / 5 ELSE 0 END) * "
-                  f"(1 - exp(-pow(list_distance(v, {mav(k)}) / 2, 2)))" for k in range(6))
-    z = ", ".join(f"v[{k}] * w[{k}]" for k in range(1, 7))
-    u = " + ".join(f"v[{k}] * (1 - w[{k}])" for k in range(1, 7))
-    return f"""flows AS ({A.FLOWS_SQL}),
-mx AS (SELECT source_file, position, [CAST({scaled.replace(', coalesce', ' AS DOUBLE), CAST(coalesce')} AS DOUBLE)] AS x FROM flows),
-ml AS (SELECT source_file, position, [{logits}] AS v FROM mx),
-mw AS (SELECT *, [{w}] AS w FROM ml), mz AS (SELECT *, [{z}, {u}] AS z FROM mw),
-me AS (SELECT *, list_transform(z, lambda q: exp(q - list_max(z))) AS e FROM mz),
-mp AS (SELECT source_file, position, ['Normal', 'Botnet', 'Brute Force', 'DoS', 'PortScan', 'Web Attack', 'Unknown']
- [list_position(e, list_max(e))] AS class_name, list_max(e) / list_sum(e) AS confidence FROM me)"""
+@query("p16_quarantine", f"""WITH {VERDICT_SQL}, b AS (SELECT source_file, concat_ws(',',
+ CASE WHEN source_file LIKE '%1997%' THEN 'networkZone' END, CASE WHEN source_file LIKE '%1999%' THEN 'assetCriticality' END) AS errors FROM findings)
+SELECT source_file, CASE WHEN errors = '' THEN verdict END AS verdict, errors FROM b JOIN v USING (source_file)""")
+def _(spark, sf):
+    """Contexts of some captures break the rules: a zone that is none, no criticality."""
+    flows = A.build(A.table(spark, sf, "lineitem"), A.FLOWS + A.PREDICTIONS[2:])
+    found = findings.capture_summary(flows, position="position")
+    odd = A.contexts(found).withColumns({
+        "networkZone": F.when(F.col("source_file").contains("1997"), "Lab").otherwise(F.col("networkZone")),
+        "assetCriticality": F.when(~F.col("source_file").contains("1999"), F.col("assetCriticality"))})
+    verdicts, quarantine = analyze.judge(found, odd)
+    return verdicts.select("source_file", "verdict", F.lit("").alias("errors")).unionByName(
+        quarantine.select("source_file", F.lit(None).cast("string").alias("verdict"), F.array_join("errors", ",").alias("errors")))
 
 
-MODEL_FINDINGS = FINDINGS_SQL.replace(f"p AS ({A.PREDICTIONS_SQL})", _model_sql() + ", p AS (SELECT * FROM mp)")
-MODEL_COLS = ["source_file", "status", "attack_detected", "attack_type", "confidence", "attack_ratio",
-              "flow_count", "dominant_class", "class_distribution"]
+@query("m18_full_chain", f"""WITH {WIDE.instead(FINDINGS_SQL)}, {PROFILE_SQL} SELECT * FROM findings JOIN profile USING (source_file)""")
+def _(spark, sf):
+    out = wide_findings(A.full_flows(spark, sf)).withColumn("class_distribution", pairs("class_distribution"))
+    return _with_profile(out).drop("traffic_profile")
 
 
-@query("m18_predict_flows", f"WITH {MODEL_FINDINGS} SELECT * FROM findings")
+@query("m18_predict_flows", f"WITH {MODEL_FINDINGS}, {PROFILE_SQL} SELECT * FROM findings JOIN profile USING (source_file)")
 def _(spark, sf):
-    out = analyze.predict_flows(A.flows(spark, sf), MODEL_SCALER, _scorer, MODEL_PARAMS, MODEL_NAMES,
+    out = analyze.predict_flows(A.flows(spark, sf), SMALL.scaler, SMALL.score, SMALL.params, MODEL_NAMES,
                                 position="position", pad=len(MODEL_NAMES))
-    return out.withColumn("class_distribution", pairs("class_distribution")).select(*MODEL_COLS)
+    return _with_profile(out.withColumn("class_distribution", pairs("class_distribution"))).drop("traffic_profile")
 
 
 @query("m19_predict_features", f"WITH {MODEL_FINDINGS} SELECT * FROM findings")
 def _(spark, sf):
-    vec = prepare.serving_vectors(A.flows(spark, sf), MODEL_SCALER, MODEL_NAMES,
+    vec = prepare.serving_vectors(A.flows(spark, sf), SMALL.scaler, MODEL_NAMES,
                                   ["source_file", "position"], pad=len(MODEL_NAMES))
     names = ["Idle Max", *reversed(MODEL_NAMES)]
     rows = vec.select("source_file", "position", F.concat(F.array(F.lit(9.0)), F.reverse("features"))
                       .alias("values"), F.array(*[F.lit(n) for n in names]).alias("names"))
-    out = analyze.predict_features(rows, _scorer, MODEL_PARAMS, MODEL_NAMES, position="position",
+    out = analyze.predict_features(rows, SMALL.score, SMALL.params, MODEL_NAMES, position="position",
                                    pad=len(MODEL_NAMES))
     return out.withColumn("class_distribution", pairs("class_distribution")).select(*MODEL_COLS)
 
@@ -313,6 +371,19 @@ def _(spark, sf):
     return history.last_24h(A.history(spark, sf), now()).select("id")
 
 
+def _store(spark, sf) -> HistoryStore:
+    """The history in day partitions, added in two goes that share a day."""
+    store, rows = HistoryStore(spark, scratch_path(spark, "history")), A.history(spark, sf)
+    for part in (F.col("event_time") < F.lit(A.NOW).cast("timestamp"), F.col("event_time") >= F.lit(A.NOW).cast("timestamp")):
+        store.append(rows.where(part))
+    return store
+
+
+@query("p14_last_24h_by_day", f"WITH {H} SELECT id FROM h WHERE ts > {NOW_SQL} - INTERVAL 24 HOURS")
+def _(spark, sf):
+    return _store(spark, sf).last_24h(now()).select("id")
+
+
 @query("p15_flatten_history", f"WITH {H} SELECT {FLAT_SQL}, coalesce(n_flows, 0) AS flows FROM h")
 def _(spark, sf):
     return history.flatten_history(A.history(spark, sf)).drop("timestamp")
@@ -340,6 +411,14 @@ def _(spark, sf):
     return history.dashboard_stats(A.history(spark, sf), now())
 
 
+@query("a29_dashboard_by_day", f"""WITH {H} SELECT CAST(count(*) AS BIGINT) AS total,
+count(*) FILTER (severity IS DISTINCT FROM 'LOW') AS threats,
+count(*) FILTER (severity = 'CRITICAL' AND ts > {NOW_SQL} - INTERVAL 24 HOURS) AS critical_24h,
+format('{{:.2f}}', avg(coalesce(confidence, 0))) AS avg_confidence FROM h""")
+def _(spark, sf):
+    return _store(spark, sf).dashboard(now())
+
+
 def _bars(col: str, members, rows: str) -> str:
     return f"""c AS ({rows}), d AS (SELECT CAST(unnest(range({len(members)})) AS INT) AS pos, unnest({members}) AS {col}),
 n AS (SELECT pos, d.{col}, count(c.{col}) AS n FROM d LEFT JOIN c ON c.{col} = d.{col} GROUP BY 1, 2)
@@ -363,6 +442,23 @@ def _(spark, sf):
     return history.recent_analyses(A.history(spark, sf)).drop("timestamp")
 
 
+@query("t3_recent_by_day", f"""WITH {H} SELECT {FLAT_SQL},
+CAST(CASE WHEN channels IS NULL THEN 0 ELSE len(string_split(channels, ',')) END AS INT) AS n_actions
+FROM h ORDER BY ts DESC, id LIMIT 10""")
+def _(spark, sf):
+    return _store(spark, sf).recent().drop("timestamp")
+
+
+@query("t4_page_by_cursor", f"""WITH {H} SELECT {FLAT_SQL}, coalesce(n_flows, 0) AS flows FROM h
+ORDER BY severity DESC NULLS LAST, id LIMIT 20 OFFSET 40""")
+def _(spark, sf):
+    flat = history.flatten_history(A.history(spark, sf)).drop("timestamp")
+    last = None
+    for _ in range(2):  # the two pages before, of which only the last row is kept
+        last = history.page_after(flat, "verdict", "desc", last).select("verdict", "id").tail(1)[0].asDict()
+    return history.page_after(flat, "verdict", "desc", last)
+
+
 @query("t4_sort_page", f"""WITH {H} SELECT {FLAT_SQL}, coalesce(n_flows, 0) AS flows FROM h
 ORDER BY severity DESC NULLS LAST, id LIMIT 20 OFFSET 40""")
 def _(spark, sf):

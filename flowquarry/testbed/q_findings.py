@@ -25,7 +25,7 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, k)
 pp AS (SELECT source_file, count(*) AS unique_dst_ports,
   string_agg(k || ':' || n, ',' ORDER BY r) FILTER (r <= 5) AS top_dst_ports FROM pr GROUP BY 1),
 protos AS (SELECT source_file, "Protocol" AS k, count(*) AS n FROM flows GROUP BY 1, 2),
-tr AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, k) AS r FROM protos),
+tr AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY n DESC, TRY_CAST(k AS INT) NULLS LAST, k) AS r FROM protos),
 tp AS (SELECT source_file, string_agg(CASE k WHEN '6' THEN 'TCP' WHEN '17' THEN 'UDP' WHEN '1' THEN 'ICMP'
   ELSE k END || ':' || n, ',' ORDER BY r) FILTER (r <= 5) AS protocols FROM tr GROUP BY 1),
 w AS (SELECT source_file, count(DISTINCT "Source IP") AS unique_src_ips,

@@ -4,28 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowquarry.operators import clean, findings, packets
-from flowquarry.plans import analyze
+from flowquarry.operators import clean, packets
 from flowquarry.plans.storage import scratch_path
 from flowquarry.streaming import jobs
 from flowquarry.testbed import adapters as A
 from flowquarry.testbed.q_clean import SCALER_SQL, WITH
-from flowquarry.testbed.q_decision import VERDICT_SQL
+from flowquarry.testbed.q_decision import VERDICT_SQL, WIDE, wide_findings
 from flowquarry.testbed.registry import query
 
 
-@query("g1_stream_verdicts", f"WITH {VERDICT_SQL} SELECT source_file, verdict, summary FROM v")
+@query("g1_stream_verdicts", f"WITH {WIDE.instead(VERDICT_SQL)} SELECT source_file, verdict, summary, alerts FROM v")
 def _(spark, sf):
-    flows = A.build(A.stream(spark, sf, "lineitem"), A.FLOWS + A.PREDICTIONS[2:])
-
-    def judge(batch):
-        find = lambda df: findings.capture_findings(df, position="position").join(
-            findings.traffic_profile(df), "source_file", "left")
-        return analyze.analyze(batch, A.contexts(batch), find).select(
-            "source_file", "verdict", "summary")
-    out = scratch_path(spark, "verdicts")
-    jobs.stream_verdicts(flows, judge, out).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    """Arriving flows of full width through the model; verdicts and alerts of complete batches."""
+    flows = A.build(A.stream(spark, sf, "lineitem"), A.FULL_FLOWS)
+    out = scratch_path(spark, "analyses")
+    jobs.stream_analyses(flows, wide_findings, A.contexts, out, now=F.lit(A.NOW).cast("timestamp")).awaitTermination()
+    told = jobs.read_batches(spark, out, "alerts").groupBy(F.col("filename").alias("source_file")).agg(
+        F.collect_set("type").alias("types"))
+    verdicts = jobs.read_batches(spark, out, "verdicts").join(told, "source_file", "left")
+    listed = F.array_join(F.filter("alertsTriggered", lambda a: F.array_contains("types", a)), "; ")
+    return verdicts.select("source_file", "verdict", "summary", F.coalesce(listed, F.lit("")).alias("alerts"))
 
 
 WINDOWS = f"""h AS ({A.HISTORY_SQL}), w AS (SELECT *, unnest(range(24)) AS back FROM h),
