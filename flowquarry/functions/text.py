@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowquarry.functions.numeric import exact_round
 
@@ -65,3 +66,24 @@ def has_suffix(c: Column, suffix: str = ".csv") -> Column:
 def parse_json(c: Column, ddl: str) -> Column:
     """JSON text to a struct; malformed text gives null."""
     return F.from_json(c, ddl, {"mode": "PERMISSIVE"})
+
+
+def parse_checked(c: Column, ddl: str) -> Column:
+    """``value``, the JSON text as ``ddl``, and ``malformed``: the text itself where it is no JSON or doesn't fit.
+
+    A missing field is null; a field of another type makes the text malformed. A null text has neither.
+    """
+    parsed = F.try_parse_json(c)
+    fits = F.schema_of_variant(parsed).startswith("OBJECT")
+    for field in T.StructType.fromDDL(ddl).fields:
+        path = f"$.{field.name}"
+        given = F.try_variant_get(parsed, path, "variant")
+        missing = given.isNull() | F.coalesce(F.is_variant_null(given), F.lit(False))
+        fits = fits & (missing | F.try_variant_get(parsed, path, field.dataType.simpleString()).isNotNull())
+    value = F.when(fits, F.try_variant_get(parsed, "$", T.StructType.fromDDL(ddl).simpleString()))
+    return F.struct(value.alias("value"), F.when(value.isNull(), c).alias("malformed"))
+
+
+def encode_json(c: Column) -> Column:
+    """A struct as JSON text; null fields are left out."""
+    return F.to_json(c)

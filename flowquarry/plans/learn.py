@@ -44,29 +44,50 @@ def score(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], vec: str =
     return df.withColumn(out, run(q(vec)))
 
 
+EDGE_ROWS, DIGITS = 100_000, 3
+
+
+def _edge_cells(rows: DataFrame, y: str, frac: float | None, at: DataFrame | None, edge_rows: int) -> DataFrame:
+    """For every class the range of hashes that holds its last test row: cell (their common beginning), start, n, take.
+
+    Without ``at``, ranges are those of the first digits; with it, the ranges of ``at`` that are too large are divided further.
+    """
+    if at is None:
+        wide = rows.withColumns({"__base": F.lit(0).cast("long"), "__wanted": F.lit(None).cast("long"), "__long": F.lit(DIGITS)})
+    else:
+        wide = join_dimension(rows, at.where(F.col("n") > edge_rows), [y], "inner", null_safe=True).where(F.startswith("__h", F.col("cell")))
+        wide = wide.select(y, "__h", F.col("start").alias("__base"), F.col("take").alias("__wanted"), (F.length("cell") + DIGITS).alias("__long"))
+    cells = wide.groupBy(y, "__base", "__wanted", F.substring("__h", F.lit(1), F.col("__long")).alias("cell")).agg(F.count("*").alias("n"))
+    of_class = W.partitionBy(y)
+    before = of_class.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    ends = cells.select(y, "cell", "n", (F.col("__base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("start"),
+                        F.coalesce("__wanted", F.ceil(F.sum("n").over(of_class) * F.lit(frac))).alias("take"))
+    return materialize(ends.where((F.col("start") < F.col("take")) & (F.col("take") <= F.col("start") + F.col("n"))))
+
+
 def stratified_split(df: DataFrame, frac: float, seed: int = 42, y: str = "y", id: str = "id",
-                     prefix: int = 3) -> DataFrame:
+                     edge_rows: int = EDGE_ROWS) -> DataFrame:
     """Add ``is_test``: exactly ceil(frac * n) rows of each class, chosen by hashed id.
 
-    Hashes are uniform, so their first hex digits cut every class into even ranges. Range counts
-    say which range holds the last test row; only that range is sorted.
+    Hashes are uniform, so their first digits cut every class into even ranges, and counts say which range holds the
+    last test row. That range alone is divided by further digits until it has at most ``edge_rows`` rows, whatever the size of the
+    class (rows of one id stay together); only what is left of it is sorted.
     """
     rows = df.withColumn("__h", F.md5(F.concat_ws("|", q(id).cast("string"), F.lit(str(seed)))))
-    rows = rows.withColumn("__cell", F.substring("__h", 1, prefix))
-    cells = rows.groupBy(y, "__cell").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(y).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = materialize(cells.select(
-        y, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), "__n",
-        F.ceil(F.sum("__n").over(W.partitionBy(y)) * F.lit(frac)).alias("__take")))
-    placed = join_dimension(rows, cells, [y, "__cell"], "inner", null_safe=True)
-    start, end, take = F.col("__before"), F.col("__before") + F.col("__n"), F.col("__take")
-    split = (start < take) & (end > take)
-    whole = placed.where(~split).withColumn("is_test", end <= take)
-    inside = W.partitionBy(y, "__cell").orderBy("__h", id)
-    edge = placed.where(split).withColumn("__r", F.row_number().over(inside)).withColumn(
-        "is_test", start + F.col("__r") <= take).drop("__r")
-    extra = ["__h", "__cell", "__before", "__n", "__take"]
-    return whole.drop(*extra).unionByName(edge.drop(*extra))
+    keys = rows.select(y, "__h")
+    at = _edge_cells(keys, y, frac, None, edge_rows)
+    for _ in range(32 // DIGITS - 1):
+        if at.where(F.col("n") > edge_rows).isEmpty():
+            break
+        at = at.where(F.col("n") <= edge_rows).unionByName(_edge_cells(keys, y, None, at, edge_rows))
+    cells = at.select(y, F.col("cell").alias("__cell"), (F.col("take") - F.col("start")).alias("__left"))
+    placed = join_dimension(rows, cells, [y], null_safe=True)
+    edge = F.coalesce(F.startswith("__h", F.col("__cell")), F.lit(False))
+    whole = placed.where(~edge).withColumn("is_test", F.coalesce(F.col("__h") < F.col("__cell"), F.lit(False)))
+    rank = F.row_number().over(W.partitionBy(y).orderBy("__h", id))
+    last = placed.where(edge).withColumn("__r", rank).withColumn("is_test", F.col("__r") <= F.col("__left")).drop("__r")
+    extra = ["__h", "__cell", "__left"]
+    return whole.drop(*extra).unionByName(last.drop(*extra))
 
 
 def train_classifier(df: DataFrame, k: int, vec: str = "features", y: str = "y",

@@ -154,6 +154,22 @@ def _(spark, sf):
     return e.groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
 
 
+@query("x12_malformed", """WITH t AS (SELECT CASE event_id % 5 WHEN 0 THEN substr(props, 2) WHEN 1 THEN '{"k": "x"}' WHEN 2 THEN '{}' ELSE props END AS c,
+event_id % 5 AS r, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT CASE WHEN r > 2 THEN k END AS k, CASE WHEN r < 2 THEN c END AS malformed, count(*) AS n FROM t GROUP BY 1, 2""")
+def _(spark, sf):
+    broken = F.expr("""CASE event_id % 5 WHEN 0 THEN substr(props, 2) WHEN 1 THEN '{"k": "x"}' WHEN 2 THEN '{}' ELSE props END""")
+    e = A.table(spark, sf, "events").select(text.parse_checked(broken, "k: bigint").alias("p"))
+    return e.groupBy(F.col("p.value.k").alias("k"), F.col("p.malformed").alias("malformed")).agg(F.count("*").alias("n"))
+
+
+@query("x12_encode", """SELECT event_id, '{"id":' || event_id || ',"kind":"' || event_type || '"' ||
+CASE WHEN event_id % 3 = 0 THEN '' ELSE ',"user":' || user_id END || '}' AS encoded FROM events""")
+def _(spark, sf):
+    record = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("user"))
+    return A.table(spark, sf, "events").select("event_id", text.encode_json(record).alias("encoded"))
+
+
 # --- small functions and aliases -------------------------------------------------------------------
 
 @query("x1_trim_and_suffix", f"""WITH flows AS ({A.FLOWS_SQL}) SELECT trim("Label") AS label,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowquarry.operators import findings, history, openmax
-from flowquarry.plans import analyze
+from flowquarry.plans import analyze, learn
 from flowquarry.sources import sinks
 from flowquarry.sources.history_store import HistoryStore
 from flowquarry.sources.params import path_exists, remove_path
@@ -115,3 +115,18 @@ def test_pages_by_cursor(spark, direction):
         seen += rows
         last = rows[-1].asDict() if rows else last
     assert len(seen) == 23
+
+
+@pytest.mark.parametrize("edge_rows", [1, 40, 10**6])
+def test_split_takes_the_first_hashes_of_every_class(spark, edge_rows):
+    import hashlib
+    import math
+    rows = [(c, i) for c, n in ((0, 700), (1, 3), (None, 60)) for i in range(n)] + [(2, 5)] * 30
+    df = spark.createDataFrame(rows, "y int, id long")
+    for frac in (0.0, 0.15, 1.0):
+        got = learn.stratified_split(df, frac, edge_rows=edge_rows).collect()
+        assert len(got) == len(rows)
+        for c in (0, 1, 2, None):
+            own = sorted(hashlib.md5(f"{i}|42".encode()).hexdigest() for y, i in rows if y == c)
+            taken = sorted(hashlib.md5(f"{r['id']}|42".encode()).hexdigest() for r in got if r["y"] == c and r["is_test"])
+            assert taken == own[:math.ceil(frac * len(own))]
