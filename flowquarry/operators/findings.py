@@ -148,6 +148,24 @@ def first_flows(df: DataFrame, order: Sequence[str], by: str = "source_file",
             .withColumn("flow_id", (F.col("__r") - 1).cast("long")).drop("__r"))
 
 
+FLOWS_SHOWN, ROWS_SHOWN, CELLS_SHOWN, LINES_SHOWN = 20, 3, 10, 6
+
+
+def preview_flows(df: DataFrame, order: Sequence[str], n: int = FLOWS_SHOWN) -> DataFrame:
+    """First flows of a table; every task keeps its own first ``n``."""
+    return df.orderBy(*order).limit(n)
+
+
+def preview_vectors(df: DataFrame, order: Sequence[str], vec: str = "features", n: int = ROWS_SHOWN, cells: int = CELLS_SHOWN) -> DataFrame:
+    """First rows of a prepared set, with the first cells of their vectors."""
+    return df.orderBy(*order).limit(n).withColumn(vec, F.slice(q(vec), 1, cells))
+
+
+def preview_text(text: Column, n: int = LINES_SHOWN) -> Column:
+    """First lines of a text."""
+    return F.substring_index(text, "\n", n)
+
+
 def class_counts(df: DataFrame, by: str = "source_file", name: str = "class_name",
                  confidence: str | None = None, position: str | None = None) -> DataFrame:
     """Rows per (capture, predicted class), with confidence sum and first position."""

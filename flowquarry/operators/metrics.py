@@ -309,6 +309,13 @@ def mean_average_precision(ap: DataFrame) -> DataFrame:
 
 # --- open-set -------------------------------------------------------------------------------
 
+def rows_to_test(known: DataFrame, unknown: DataFrame, k: int, y: str = "y") -> DataFrame:
+    """Known and unknown test rows as one set; the true class of every unknown row is ``k``. Columns both have are kept."""
+    shared = [c for c in known.columns if c in unknown.columns and c != y]
+    kind = known.schema[y].dataType
+    return known.select(q(y), *[q(c) for c in shared]).unionByName(unknown.select(F.lit(k).cast(kind).alias(y), *[q(c) for c in shared]))
+
+
 def open_set_metrics(df: DataFrame, k: int, y: str = "y", pred: str = "pred",
                      known: str = "is_known", by: Sequence[str] = ()) -> DataFrame:
     """Known accuracy, rejections, unknown detection and their harmonic mean in one pass."""

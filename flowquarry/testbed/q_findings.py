@@ -123,7 +123,29 @@ def _(spark, sf):
 ORDER BY o_orderkey LIMIT 20""")
 def _(spark, sf):
     o = A.table(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
-    return o.orderBy("o_orderkey").limit(20)
+    return findings.preview_flows(o, ["o_orderkey"])
+
+
+@query("t7_preview_vectors", """SELECT vec_id, round(list_sum(CAST(embedding[1:10] AS DOUBLE[])), 6) AS total, 10 AS width
+FROM embeddings ORDER BY vec_id LIMIT 3""")
+def _(spark, sf):
+    e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    shown = findings.preview_vectors(e, ["vec_id"])
+    return shown.select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("features").alias("width"))
+
+
+@query("t7_preview_text", """SELECT doc_id, array_to_string(string_split(text, chr(10))[1:6], chr(10)) AS shown FROM documents""")
+def _(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", findings.preview_text(F.col("text")).alias("shown"))
+
+
+@query("z3_prepare_data", f"""WITH act AS ({A.ACTIVATIONS_SQL}) SELECT id, round(list_max(penultimate), 6) AS peak,
+round(penultimate[64], 6) AS last FROM act""")
+def _(spark, sf):
+    """Another preparation than the grid: the vector with its peak in front."""
+    from flowquarry.plans.prepare import as_grid
+    g = as_grid(A.activations(spark, sf), "penultimate", "prepared", reshape=lambda v: F.concat(F.array(F.array_max(v)), v))
+    return g.select("id", F.round(F.col("prepared")[0], 6).alias("peak"), F.round(F.col("prepared")[64], 6).alias("last"))
 
 
 @query("x2_text_templates", """SELECT l_orderkey, l_linenumber,

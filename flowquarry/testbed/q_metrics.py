@@ -401,8 +401,7 @@ def _(spark, sf):
 FROM ({A.CLASSED_SQL}) GROUP BY 1""")
 def _(spark, sf):
     c = A.classed(spark, sf)
-    both = c.where("is_known").select("y").unionByName(
-        c.where("not is_known").select(F.lit(6).alias("y")))
+    both = metrics.rows_to_test(c.where("is_known"), c.where("not is_known"), 6)
     return both.groupBy("y").agg(F.count("*").alias("n"))
 
 
