@@ -6,14 +6,22 @@ sets with probability J, their Jaccard similarity, and as the ends of one functi
 directions the agreement varies less. Bands of ``ROWS`` entries name buckets. There are as many bands as
 bring the chance to miss a pair at the threshold below ``MISS``.
 
-Equal sets form one class, so copies are never compared. A group is first a bucket with several classes. Groups of
-at most ``CLOSED`` members are compared in full. In a larger one all members are compared with one centre, the member that
-shares groups with most others, on their full sets, and linked if similar. What the centre left open is divided: say x is
-not linked with the centre c and y has at least c's size. Similar sets would share more of x than c has, so a shingle
-outside c, and by the size bounds so many that the first ones of both remainders, in order of hash, must meet. The
-next round's groups are therefore the centre and one shingle of such a beginning; sets smaller than the centre that could
-do without get a group of their own. Groups that lie within one component are dropped. Every similar pair of a
-bucket is thus linked or connected otherwise, no large group is expanded into its pairs, and nothing is capped.
+Equal sets form one class, so copies are never compared. Every other pair of a bucket that is similar gets linked or connected
+otherwise, without expanding a large bucket into its pairs:
+
+1. A bucket with few members (``CLOSED``) is compared in full. In a larger one all members are compared with one centre, the member
+   that shares buckets with most others; buckets mostly agree on it, so this is about one comparison a member. Links are
+   confirmed on full sets and joined to components.
+2. Around a centre c only pairs of different components are open; one of the two, x, is not similar to c. For members near c (``RING``)
+   the differences from c matter: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, and as x is far from c, a similar y must share more than
+   about half of dy with dx. So the beginnings of both differences, in one order, must meet (prefix filter). What many
+   members differ in stands last in that order; edits add shingles of their own, which come first and meet nothing. Members far from c are compared by
+   the beginnings of their whole sets, with what c lacks first. Distances of sets obey the triangle
+   inequality, so that with overlapping rings no similar pair is divided.
+3. Members that meet under (centre, ring, element) are few (``LATER``) and compared in full, or many and treated as in 1.
+
+Later groups are parts of one earlier group without its centre, and groups within one component are dropped, so the turns end; one or two are usual,
+whatever the size of a group. Components are joined on roots: known ones are never walked again.
 
 A document with fewer words than a shingle is one shingle of all of them. Without words (or text) it has an
 empty set and no links. Rows with one doc_id are documents of their own with that id; the component's id is
@@ -28,14 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_paths, map_arrow, written
 from .decontaminate import with_keys
 
-ROWS, MISS, CLOSED = 4, 1e-7, 32
-_PIECE = 1 << 15
+ROWS, MISS, CLOSED, LATER, RING, SEEN = 6, 1e-7, 32, 192, 0.5, 32
+FEW_EDGES = 200_000  # links that one task may join
+_PIECE = 1 << 10
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -117,77 +126,147 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_arrow(rows, run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) to compare in a round; b is the centre where ``low`` is set, the size of the smallest set of their groups."""
-    sizes, _ = written(groups.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low")), "group-sizes")
-    met, _ = written(groups.join(sizes, "grp").groupBy("node").agg(F.sum("members").alias("met")), "group-meetings")
-    small = groups.join(sizes.where(F.col("members") <= CLOSED), "grp").select("grp", "node")
-    closed = (small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "grp").where("a > b")
-              .select("a", "b", F.lit(None).cast("long").alias("low")))
-    large = groups.join(sizes.where(F.col("members") > CLOSED), "grp").join(met, "node")
-    large, _ = written(large.select("grp", "node", "low", "met"), "large-groups")
-    centres, _ = written(large.groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", F.col("top.node").alias("b")), "group-centres")
-    stars = large.join(centres, "grp").where("node <> b").select(F.col("node").alias("a"), "b", "low")
-    return closed.unionByName(stars).groupBy("a", "b").agg(F.min("low").alias("low"))
+class _Scratch:
+    """Written tables of one run, dropped when nothing reads them any more."""
 
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with the sizes na and nb, both (size of the intersection), similar, and rest: what a has and b lacks."""
-    named, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared-nodes")
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = written(df, label)
+        self._paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        drop_paths(self._spark, self._paths)
+        self._paths = []
+
+
+def _pairs(groups: DataFrame, merge: bool, keep: _Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, star) to compare, and the members (key, a) of large groups with their centre b.
+
+    ``groups`` has grp, node, root, probe, index: pairs are those of a probe and an index member with different roots.
+    With ``merge``, groups that have one centre become one.
+    """
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    sizes = keep(groups.groupBy("grp").agg(F.count("*").alias("members"), (count("probe") * count("index") <= (CLOSED if merge else LATER)**2).alias("few")), "group-sizes")
+    small = groups.join(sizes.where("few").select("grp"), "grp")
+    left = small.where("probe").select("grp", F.col("node").alias("x"), F.col("root").alias("rx"))
+    right = small.where("index").select("grp", F.col("node").alias("y"), F.col("root").alias("ry"))
+    closed = left.join(right, "grp").where("rx <> ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("star"))
+    large = keep(groups.join(sizes.where("NOT few").select("grp", "members"), "grp").select("grp", "node", "members"), "large-groups")
+    met = large.groupBy("node").agg(F.sum("members").alias("met"))
+    centres = large.join(met, "node").groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", F.col("top.node").alias("b"))
+    key = F.xxhash64("b") if merge else F.col("grp")
+    stars = keep(large.join(centres, "grp").where("node <> b").select(key.alias("key"), F.col("node").alias("a"), "b").distinct(), "stars")
+    both = closed.unionByName(stars.select("a", "b", F.lit(True).alias("star")))
+    return keep(both.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs"), stars
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, keep: _Scratch) -> DataFrame:
+    """Similar pairs and stars of ``pairs``: the sizes na and nb, similar, and for stars both (size of the intersection), and in order the
+    shingles that only a has (more), only b (lack) and, of members far from the centre, both of them (shared)."""
+    named = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared-nodes")
     mine = sets.join(named, "node", "left_semi")
     left = mine.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
     right = mine.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.size("shingles").alias("nb"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    found = (pairs.join(right, "b").join(left, "a").where(F.col("low").isNotNull() | near)
-             .withColumn("rest", F.array_except("sa", "sb")).withColumn("both", F.col("na") - F.size("rest")))
+    found = (pairs.join(right, "b").join(left, "a").where(F.col("star") | near)
+             .withColumn("more", F.array_except("sa", "sb")).withColumn("both", F.col("na") - F.size("more")))
     similar = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    return found.select("a", "b", "low", "na", "nb", "both", similar.alias("similar"),
-                        F.when(F.col("low").isNotNull(), F.col("rest")).alias("rest")).where("similar OR low IS NOT NULL")
-
-
-def _divided(compared: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Groups (grp, node, n) in which pairs of different components may still be similar."""
-    least = F.greatest("low", F.ceil(F.col("na") * percent / F.lit(100.0)))
-    needed = F.ceil((F.col("na") + least) * percent / F.lit(100.0 + percent)) - F.col("both")
-    star = compared.where("low IS NOT NULL").withColumn("needed", F.when(F.col("similar"), 1).otherwise(needed))
-    begin = F.slice("rest", 1, F.greatest(F.size("rest") - F.greatest("needed", F.lit(1)) + 1, F.lit(0)).cast("int"))
-    by_shingle = star.select("a", "b", "na", F.lit(False).alias("free"), F.explode(begin).alias("at"))
-    without = star.where("needed < 1 OR na < nb").select("a", "b", "na", (F.col("needed") < 1).alias("free"), F.lit(None).cast("long").alias("at"))
-    parts = by_shingle.unionByName(without).select(
-        F.xxhash64("b", F.col("at").isNull(), "at").alias("grp"), F.col("a").alias("node"), F.col("na").cast("long").alias("n"),
-        (F.col("free") | F.col("at").isNotNull()).alias("open"))
-    if labels is None:
-        rooted = parts.withColumn("root", F.col("node"))
-    else:
-        rooted = parts.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted, _ = written(rooted, "group-parts")
-    still, _ = written(rooted.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("open"))
-                       .where("r0 <> r1 AND open").select("grp"), "open-groups")
-    return rooted.join(still, "grp").groupBy("grp", "node").agg(F.max("n").alias("n"))
+    star = F.col("star")
+    return (found.select("a", "b", "star", "na", "nb", "both", similar.alias("similar"), F.when(star, F.col("more")).alias("more"),
+                         F.when(star & _near(percent), F.array_except("sb", "sa")).alias("lack"),
+                         F.when(star & _far(percent), F.array_intersect("sa", "sb")).alias("shared"))
+            .where("similar OR star"))
+
+
+def _near(percent: int) -> Column:
+    return F.col("both") >= RING * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _far(percent: int) -> Column:
+    """Overlaps the near ring by the largest distance of similar sets."""
+    return F.col("both") <= (RING + 1 - percent / 100 + 1e-6) * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _open_groups(stars: DataFrame, compared: DataFrame, labels: DataFrame, percent: int, keep: _Scratch) -> DataFrame:
+    """Groups (grp, node, root, probe, index) of members around a centre that may be similar and have different roots."""
+    root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    rooted = keep(stars.join(root("a"), "a").join(root("b"), "b").select("key", "a", "b", "ra", (F.col("ra") != F.col("rb")).alias("probe")), "rooted-stars")
+    some = rooted.groupBy("key").agg(F.max("probe").alias("some")).where("some").select("key")
+    live = keep(rooted.join(some, "key").join(compared.where("star").drop("star", "similar"), ["a", "b"]), "open-stars")
+    # what many members have in common stands last, by how many of a few members have it: any order will do, a good one saves pairs
+    sizes = live.groupBy("key").agg(F.count("*").alias("members"))
+    some = live.join(sizes, "key").where(F.pmod(F.xxhash64("a"), F.col("members")) < SEEN)
+    counts = some.select("key", F.explode(F.concat("more", F.coalesce("lack", F.array().cast("array<bigint>")))).alias("t")).groupBy("key", "t").agg(F.count("*").alias("df"))
+    often = (counts.where("df > 2").groupBy("key")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda e: e["t"]).alias("often")))
+    live = live.join(keep(often, "common-elements"), "key", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+    ordered = lambda elements: F.concat(F.array_except(elements, "often"), F.array_intersect("often", elements))
+    t, slack = percent / 100, 1e-9
+    # an element more or less in a beginning costs time only, so that rounding errs to the longer one
+    beginning = lambda elements, least: F.slice(elements, 1, F.greatest(F.size(elements) - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    apart = ordered(F.concat("more", "lack"))
+    far = F.ceil(F.size(apart) - F.col("na") * ((1 - t) / t) - slack)
+    half = F.floor((F.size(apart) + (F.col("nb") - F.col("na")) * ((1 - t) / (1 + t))) / 2 - slack) + 1
+    whole = beginning(F.concat(ordered(F.col("more")), "shared"), F.ceil(F.col("na") * t - slack))
+    listed = lambda ring, elements, probe, index: F.transform(elements, lambda e: F.struct(
+        F.lit(ring).alias("ring"), e.alias("t"), probe.alias("probe"), F.lit(index).alias("index")))
+    none = F.array().cast("array<struct<ring:int,t:bigint,probe:boolean,index:boolean>>")
+    yes = F.lit(True)
+    spots = F.concat(F.when(_near(percent) & F.col("probe"), listed(0, beginning(apart, far), yes, False)).otherwise(none),
+                     F.when(_near(percent), listed(0, beginning(apart, half), F.lit(False), True)).otherwise(none),
+                     F.when(_far(percent), listed(1, whole, F.col("probe"), True)).otherwise(none))
+    placed = live.select("key", "a", "ra", F.explode(spots).alias("e"))
+    parts = keep(placed.select(F.xxhash64("key", "e.ring", "e.t").alias("grp"), F.col("a").alias("node"), F.col("ra").alias("root"), "e.probe", "e.index")
+                 .groupBy("grp", "node", "root").agg(F.max("probe").alias("probe"), F.max("index").alias("index")), "group-parts")
+    still = (parts.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("p"), F.max("index").alias("i"))
+             .where("r0 <> r1 AND p AND i").select("grp"))
+    return parts.join(still, "grp")
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while above[top] != top:
+            top = above[top]
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], names=["node", "root"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node and root of every node of ``edges`` (a, b), by alternating large-star and small-star steps.
+    """node and root of every node of ``edges`` (a, b); the root is the smallest node of its component.
 
-    The root is the smallest node of its component. Each step joins edges with one minimum per node; edges of a
-    node with very many neighbours are plain rows that adaptive execution can split.
+    At most ``FEW_EDGES`` edges (counted) are joined by one task. More are by alternating large-star and small-star steps: each
+    joins edges with one minimum per node; edges of a node with very many neighbours are plain rows that adaptive execution can split.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.count() <= FEW_EDGES:
+        return map_arrow(now.coalesce(1), _union_find, "node binary, root binary")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, least_path = written(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "edges-least")
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        large, large_path = written(large, "edges-large")
-        least2, least2_path = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
-        small = (large.join(least2, "u").select("u", "v", "m")
-                 .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                                           F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                 .select("e.u", "e.v").where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large, large_path = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
+        small = large.join(least, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         nxt, nxt_path = written(small, "edges")
         seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_paths(spark, [path, least_path, large_path, least2_path])
+        drop_paths(spark, [path, large_path])
         now, path = nxt, nxt_path
         if state == seen:
             break
@@ -197,40 +276,61 @@ def connected(edges: DataFrame) -> DataFrame:
         roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links (a, b), of which only those between different roots are walked."""
+    root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    new, path = written(links.join(root("a"), "a").join(root("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "root-links")
+    if new.isEmpty():
+        drop_paths(labels.sparkSession, [path])
+        return labels
+    moved = connected(new).select(F.col("node").alias("root"), F.col("root").alias("now"))
+    out, _ = written(labels.join(moved, "root", "left").select("node", F.coalesce("now", "root").alias("root")), "labels")
+    drop_paths(labels.sparkSession, [path])
+    return out
+
+
+def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and root for the members of ``groups`` (grp, node), by links between sets that share a group."""
+    labels, _ = written(groups.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    groups = groups.select("grp", "node", F.col("node").alias("root"), F.lit(True).alias("probe"), F.lit(True).alias("index"))
+    held = _Scratch(groups.sparkSession)
+    first = True
+    while first or not groups.isEmpty():
+        keep = _Scratch(groups.sparkSession)
+        pairs, stars = _pairs(groups, first, keep)
+        compared = keep(_compared(pairs, sets, percent, keep), "compared")
+        labels = _joined(labels, compared.where("similar").select("a", "b"))
+        if stars.isEmpty():
+            keep.drop()
+            break
+        first, nxt = False, _Scratch(groups.sparkSession)
+        groups = nxt(_open_groups(stars, compared, labels, percent, keep), "groups")
+        keep.drop()
+        held.drop()
+        held = nxt
+    held.drop()
+    return labels
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept and the keys k1, k2.
 
     ``percent`` is the Jaccard similarity, in hundredths, from which documents are linked; ``k`` the words of a shingle.
     """
-    spark = docs.sparkSession
+    keep = _Scratch(docs.sparkSession)
     signed, _ = written(signatures(docs, k, bands_for(percent / 100)), "signatures")
-    full = signed.where("n_shingles > 0")
-    classes, _ = written(full.groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"),
-        F.first("n_shingles").alias("n")), "set-classes")
-    every = classes.select("node", "n", F.explode("buckets").alias("grp"))
-    shared = every.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp")
-    shared, _ = written(shared, "shared-buckets")
-    groups, _ = written(every.join(shared, "grp"), "groups")
-    wanted, _ = written(groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2"), "compared-documents")
-    sets, _ = written(_sets(docs, wanted, k), "compared-sets")
-    labels = links = None
-    while not groups.isEmpty():
-        compared, _ = written(_compared(written(_pairs(groups), "pairs")[0], sets, percent), "compared")
-        new = compared.where("similar").select("a", "b")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels, _ = written(connected(links), "labels")
-        groups, _ = written(_divided(compared, labels, percent), "groups")
-    doc_of = classes.select("node", "doc")
-    if labels is None:
-        final = doc_of.withColumnRenamed("doc", "component_id")
-    else:
-        rooted = doc_of.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted, _ = written(rooted, "rooted")
-        least, _ = written(rooted.groupBy("root").agg(F.min("doc").alias("component_id")), "component-ids")
-        final = rooted.join(least, "root").select("node", "component_id")
-    final, _ = written(final, "components")
+    classes = keep(signed.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets")), "set-classes")
+    every = classes.select("node", F.explode("buckets").alias("grp"))
+    shared = keep(every.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp"), "shared-buckets")
+    groups = keep(every.join(shared, "grp"), "groups")
+    wanted = groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2")
+    sets = keep(_sets(docs, wanted, k), "compared-sets")
+    labels = linked(groups, sets, percent)
+    rooted = keep(classes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    final, _ = written(rooted.join(least, "root").select("node", "component_id"), "components")
+    keep.drop()
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (signed.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
             .join(final, "node", "left")

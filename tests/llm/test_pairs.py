@@ -107,6 +107,7 @@ def test_near_copies(spark):
 def test_near_copies_in_rounds(spark, monkeypatch):
     """All documents in one bucket and few of a group compared in full: no link may be lost."""
     monkeypatch.setattr(minmax_dedup, "CLOSED", 4)
+    monkeypatch.setattr(minmax_dedup, "LATER", 4)
     monkeypatch.setattr(minmax_dedup, "signatures", lambda d, k, b, f=minmax_dedup.signatures: f(d, k, b).withColumn(
         "buckets", F.array(F.lit(1).cast("long"))))
     base, texts = words(60, 5), []
@@ -140,9 +141,29 @@ def test_near_copies_stage_and_edges(spark):
     assert minmax_dedup.components(docs.limit(0)).count() == 0
 
 
+def test_variants_of_one_text_take_few_turns(spark, monkeypatch):
+    """300 variants, most of them not similar to each other: exact, and the number of turns does not follow the group's size."""
+    turns, inner = [], minmax_dedup._pairs
+    monkeypatch.setattr(minmax_dedup, "_pairs", lambda *a: (turns.append(1), inner(*a))[1])
+    r, base, texts = random.Random(4), words(150, 3), []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = by_id(minmax_dedup.components(documents(spark, texts), k=3, percent=85))
+    assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == _components(list(enumerate(texts)), 3, 85)
+    assert len(turns) <= 3
+
+
 def test_connected(spark):
     edges = [(bytes([a]), bytes([b])) for a, b in [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]]
     got = {r.node[0]: r.root[0] for r in minmax_dedup.connected(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    minmax_dedup.FEW_EDGES, held = 0, minmax_dedup.FEW_EDGES  # the way for many edges gives the same
+    try:
+        assert got == {r.node[0]: r.root[0] for r in minmax_dedup.connected(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    finally:
+        minmax_dedup.FEW_EDGES = held
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90}
 
 
