@@ -18,6 +18,7 @@ Nulls count as empty texts. Every document gets the end id, so none is without i
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -121,23 +123,33 @@ class TokenFile:
         self._frames.close()
 
 
+_BY_WORD = ([{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordEncoder:
-    """The tokenizers library, called once for each distinct word.
+    """The tokenizers library, called once for each distinct word; ids of whole columns of texts by look-up.
 
-    Its vocabulary drops white space and splits at it, so the ids of a text are those of its runs of other
-    characters (ASCII white space is enough to part them). It also parts letters from marks and lower-cases, so a run
-    of letters and one mark has the ids of both, and ASCII letters those of their lower case.
+    That is right for a vocabulary that drops white space and splits at it, so that the ids of a text are those of its runs of
+    other characters (ASCII white space is enough to part them). If it also parts letters from marks and lower-cases, a run
+    of letters and one mark has the ids of both, and ASCII letters those of their lower case. The file is looked at for these
+    properties; with any other one, and for texts that hold the string of one of its special tokens, the library gets whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self._by_word = ((told["normalizer"] or {}).get("normalizers"), steps[0].get("pattern", {}).get("Regex")) == _BY_WORD and (
+            steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        self._special = [t["content"] for t in told["added_tokens"]]
         self._runs, self._words = ({}, {}), ({}, {})
 
     @staticmethod
-    def _lacking(store: tuple[dict, dict], keys: set[bytes]) -> set[bytes]:
+    def _lacking(store: tuple[dict, dict], keys: set[str]) -> set[str]:
         """Keys of neither generation; those of the older one become current."""
         now, old = store
         lacking = keys - now.keys()
@@ -146,35 +158,57 @@ class WordEncoder:
         return lacking - old.keys()
 
     @staticmethod
-    def _parts(run: bytes) -> tuple[bytes, bytes]:
+    def _parts(run: str) -> tuple[str, str]:
         """Word and mark of a run, or the run as it is."""
-        word, mark = (run[:-1], run[-1:]) if run[-1:] in b",.!?;:" else (run, b"")
-        if word.isalpha():
+        word, mark = (run[:-1], run[-1:]) if run[-1:] in ",.!?;:" else (run, "")
+        if word.isascii() and word.isalpha():
             return word.lower(), mark
-        letters = word.decode("utf-8", "replace") if mark else ""
-        return (word, mark) if letters.isalpha() and letters.lower().isalpha() else (run, b"")
+        return (word, mark) if word.isalpha() and word.lower().isalpha() else (run, "")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers."""
+    def _of_runs(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of distinct runs."""
         if len(self._runs[0]) > _KNOWN_RUNS:
             self._runs = {}, self._runs[0]
         if len(self._words[0]) > _KNOWN_WORDS:
             self._words = {}, self._words[0]
-        runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        parts = {run: self._parts(run) for run in self._lacking(self._runs, set().union(*runs))}
-        new = list(self._lacking(self._words, set().union(*parts.values()) - {b""}))
+        parts = {run: self._parts(run) for run in self._lacking(self._runs, set(runs))}
+        new = list(self._lacking(self._words, {w for p in parts.values() for w in p if w}))
         words, known = self._words[0], self._runs[0]
-        coded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, enc in zip(new, coded):
-            ids = enc.ids
-            words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        words.update(zip(new, self._ids(new)))
         for run, (word, mark) in parts.items():
-            known[run] = words[word] + words[mark] if mark else words[word]
-        return [b"".join(map(known.__getitem__, r)) for r in runs]
+            known[run] = np.concatenate([words[w] for w in (word, mark) if w]) if run else np.empty(0, "<u4")
+        return [known[r] for r in runs]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (little-endian unsigned 32-bit), one after the other, and how many each has; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.full(len(texts), not self._by_word)
+        for content in self._special:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts))
+        flat = lists.flatten().dictionary_encode()
+        at = flat.indices.to_numpy(zero_copy_only=False)
+        of_run = self._of_runs(flat.dictionary.to_pylist())
+        size = np.fromiter(map(len, of_run), np.int64, len(of_run))
+        every = np.concatenate(of_run) if of_run else np.empty(0, "<u4")
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = every[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        sizes = np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])])
+        if whole.any():
+            odd = np.flatnonzero(whole)
+            found = self._ids(texts.take(pa.array(odd)).to_pylist())
+            where = np.repeat(np.cumsum(sizes)[odd], [len(f) for f in found])
+            ids = np.insert(ids, where, np.concatenate(found))
+            sizes[odd] = [len(f) for f in found]
+        return ids.astype("<u4", copy=False), sizes
 
 
 _encoders: dict[str, WordEncoder] = {}
-_SLICE = 1000
+_SLICE = 2000
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame:
@@ -186,7 +220,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
         if vocabulary not in _encoders:
             _encoders[vocabulary] = WordEncoder(vocabulary)
         coder = _encoders[vocabulary]
-        end = struct.pack("<I", end_id)
         out = None
         made: list[tuple] = []
 
@@ -203,20 +236,25 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
 
         here, pending, ids, null, sizes, name, held = None, [], [], [], [], "", 0
         for batch in batches:
-            blocks, docs_, texts = (batch.column(c).to_pylist() for c in ("_block", "doc_id", "text"))
-            for at in range(0, len(texts), _SLICE):
-                coded = coder.encode(texts[at:at + _SLICE])
-                for block, doc, data in zip(blocks[at:at + _SLICE], docs_[at:at + _SLICE], coded):
+            blocks, docs_ = (batch.column(c).to_pylist() for c in ("_block", "doc_id"))
+            for at in range(0, batch.num_rows, _SLICE):
+                coded, counts = coder.encode(batch.column("text").slice(at, _SLICE))
+                ends = np.cumsum(counts)
+                coded = np.insert(coded, ends, np.uint32(end_id))  # an end id after every document
+                stops = (ends + np.arange(1, len(ends) + 1)).tolist()
+                start = 0
+                for block, doc, stop in zip(blocks[at:at + _SLICE], docs_[at:at + _SLICE], stops):
                     if block != here:
                         if out is not None:
                             close()
                         here, name = block, f"{path}/ids-{block:08d}.zst"
                         out, ids, null, sizes, held = SeekableWriter(name), [], [], [], 0
-                    pending.append(data + end)
-                    held += len(data) // 4 + 1
+                    pending.append(coded[start:stop].tobytes())
+                    held += stop - start
                     ids.append(doc or 0)
                     null.append(doc is None)
-                    sizes.append(len(data) // 4 + 1)
+                    sizes.append(stop - start)
+                    start = stop
                     if held >= FRAME_IDS:
                         flush()
                         held = 0
