@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.functions import vectors as V
 from flowquarry.operators.clean import q
 
 
@@ -104,9 +103,8 @@ def scale_vector(df: DataFrame, scaler: Scaler, vec: str = "features") -> DataFr
     spans = [_span(b - a) for a, b in zip(scaler.mins, scaler.maxs)]
     factors = [(scaler.high - scaler.low) / s for s in spans]
     shifts = [scaler.low - a * f for a, f in zip(scaler.mins, factors)]
-    scaled = F.zip_with(F.zip_with(q(vec), V.vector(factors), lambda x, f: x * f),
-                        V.vector(shifts), lambda x, c: x + c)
-    return df.withColumn(vec, scaled)
+    scaled = F.array(*[F.get(q(vec), F.lit(i)) * F.lit(f) + F.lit(c) for i, (f, c) in enumerate(zip(factors, shifts))])
+    return df.withColumn(vec, F.when(q(vec).isNotNull(), scaled))
 
 
 def to_vector(df: DataFrame, names: Sequence[str], out: str = "features",

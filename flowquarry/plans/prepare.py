@@ -15,25 +15,23 @@ from flowquarry.plans.joins import join_dimension
 from flowquarry.plans.ranks import vector_percentiles, wide
 from flowquarry.plans.storage import materialize
 from flowquarry.schema import FEATURES, GRID_CELLS, GRID_SIDE, KNOWN_CLASSES, LABEL, MODEL_FEATURES
+from flowquarry.session import compile_wide_plans
 from flowquarry.sources.flows import dedupe_header, normalize_headers
 
 
 def tidy(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Headers, names, ordered ``features`` in one array of doubles, with null for anything not finite.
-
-    Cells are packed before they are cleaned, so that the plan has one cleaning expression however many features there are.
-    """
+    """Headers, names, ordered ``features`` in one array of doubles, with null for anything not finite."""
+    compile_wide_plans(df.sparkSession)
     df = clean.canonicalize_columns(dedupe_header(normalize_headers(df)))
     df = clean.select_features(df, names, keep=keep)
-    raw = F.array(*[to_number(q(n)) for n in names])
-    return df.select(*[q(k) for k in keep], F.transform(raw, null_if_not_finite).alias("features"))
+    return df.select(*[q(k) for k in keep], F.array(*[null_if_not_finite(to_number(q(n))) for n in names]).alias("features"))
 
 
 def impute_vector(rows: DataFrame, medians: DataFrame, names: Sequence[str], by: str, vec: str = "features") -> DataFrame:
     """Fill null cells of packed vectors with the file's median, then with 0."""
     med = medians.select(q(by), F.array(*[q(n).cast("double") for n in names]).alias("__med"))
     joined = join_dimension(rows, med, [by], width=len(names) + 1)
-    filled = F.zip_with(q(vec), F.col("__med"), lambda x, m: F.coalesce(x, m, F.lit(0.0)))
+    filled = F.array(*[F.coalesce(F.get(q(vec), F.lit(i)), F.get("__med", F.lit(i)), F.lit(0.0)) for i in range(len(names))])
     return joined.withColumn(vec, filled).drop("__med")
 
 
@@ -101,10 +99,10 @@ def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] =
 def serving_vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                     keep: Sequence[str] = ("source_file",), pad: int = GRID_CELLS) -> DataFrame:
     """Model input of raw flows: missing cells are 0 (no medians), also after scaling."""
-    filled = tidy(df, names, keep).withColumn("features", F.transform(
-        "features", lambda x: F.coalesce(x, F.lit(0.0))))
+    cell = lambda i: F.get("features", F.lit(i))
+    filled = tidy(df, names, keep).withColumn("features", F.array(*[F.coalesce(cell(i), F.lit(0.0)) for i in range(len(names))]))
     scaled = scale.scale_vector(filled, scaler)
-    return scaled.withColumn("features", V.pad_to(F.transform("features", nan_to_num), pad))
+    return scaled.withColumn("features", V.pad_to(F.array(*[nan_to_num(cell(i)) for i in range(len(names))]), pad))
 
 
 def named_vectors(df: DataFrame, wanted: Sequence[str] = MODEL_FEATURES, values: str = "values",

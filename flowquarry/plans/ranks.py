@@ -12,9 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowquarry.plans.joins import join_dimension, join_null_safe
@@ -113,15 +117,123 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str], out: s
             .drop(_BUCKET, "__one", "before___one", "total___one"))
 
 
-def _scale_bin(v: Column) -> Column:
-    """Number of a value's bin, sixteen to a doubling of size, rising with the value; NaN comes last."""
-    size = F.floor(F.log2(F.abs(v)) * 16) + 16 * 1075  # the smallest number has log2 -1074
-    sign = F.signum(v).cast("long")
-    return (F.when(F.isnan(v), F.lit(2 * _OUTER)).when(v == 0, F.lit(0)).when(F.abs(v) == float("inf"), sign * _OUTER)
-            .otherwise(sign * size).cast("long"))
+_FINE, BLOCK_CELLS = 1 << 16, 1 << 20
 
 
-_OUTER, _FINE = 1 << 20, 1 << 16
+def _counter(by: Sequence[str], needed: Sequence[int] | None = None):
+    """Task side of :func:`vector_percentiles`: batches of cells to counts of bins, as a closure that Spark ships with the task.
+
+    Cells are of the items ``needed``, with the ranges that are divided as triples of place, lo and hi; or of all items.
+    """
+    refine, names = needed is not None, np.array(needed or [], np.int64)
+    nan_bin, fine, block, by = 1 << 20, _FINE, BLOCK_CELLS, list(by)
+
+    def group_codes(table: pa.Table) -> np.ndarray:
+        codes = np.zeros(len(table), np.int64)
+        for name in by:
+            column = table[name].combine_chunks()
+            if pa.types.is_nested(column.type):
+                column = pa.array([repr(v) for v in column.to_pylist()], pa.string())
+            column = pc.dictionary_encode(column, null_encoding="encode")
+            codes = codes * (len(column.dictionary) + 1) + column.indices.to_numpy(zero_copy_only=False)
+            codes = np.unique(codes, return_inverse=True)[1]
+        return codes
+
+    def runs(keys: np.ndarray, values: np.ndarray, items: np.ndarray, kept: np.ndarray):
+        """Runs of equal keys inside every row of sorted values, of which the first ``kept`` count: item, bin, n, lo, hi."""
+        width, length = values.shape
+        starts = np.ones(values.shape, bool)
+        starts[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        starts &= np.arange(length) < kept[:, None]
+        at = np.flatnonzero(starts)
+        row = at // length
+        end = np.minimum(np.append(at[1:], values.size), row * length + kept[row]) if len(at) else at
+        flat = values.reshape(-1)
+        return items[row], keys.reshape(-1)[at], end - at, flat[at], flat[end - 1]
+
+    def first_bins(cells: np.ndarray, missing: np.ndarray | None, ranges):
+        """Sixteenths of a doubling are the first bits of a number, turned so that they rise with it."""
+        width, length = cells.shape
+        items = np.arange(width)
+        nulls = missing.sum(axis=1) if missing is not None else np.zeros(width, np.int64)
+        cells = np.sort(cells, axis=1)  # NaN, and with it what is missing, comes last
+        kept = length - np.isnan(cells).sum(axis=1)
+        bits = cells.view(np.int64)
+        yield runs((bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)) >> 48, cells, items, kept)
+        odd = length - kept - nulls
+        for bin_, n, which in ((nan_bin, odd, odd > 0), (None, 0 * odd, nulls > 0)):
+            if which.any():
+                end = np.full(int(which.sum()), np.nan if bin_ else 0.0)
+                yield items[which], bin_, n[which], end, end
+
+    def fine_bins(cells: np.ndarray, missing: np.ndarray | None, ranges):
+        places, lo, hi = ranges.reshape(-1, 3).T
+        places = places.astype(np.int64)
+        cells, items = cells[places], names[places]
+        lo, hi = lo[:, None], hi[:, None]
+        found = (cells >= lo) & (cells <= hi)
+        cells = np.sort(np.where(found, cells, np.nan), axis=1)
+        kept = found.sum(axis=1)
+        most = int(kept.max(initial=0))
+        if most:
+            cells = np.ascontiguousarray(cells[:, :most])
+            with np.errstate(invalid="ignore"):
+                at = np.floor((cells - lo) / (hi - lo) * fine)
+            yield runs(np.where(np.isnan(at), 0, at).astype(np.int64), cells, items, kept)
+
+    def blocks(batches):
+        held, cells = [], 0
+        for batch in batches:
+            held.append(batch)
+            cells += len(batch.column("__cells").flatten())
+            if cells >= block:
+                yield pa.Table.from_batches(held)
+                held, cells = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def out(table: pa.Table, rows, item, bin_, n, lo, hi):
+        size = len(rows)
+        null = bin_ is None
+        count = lambda v: pa.nulls(size, pa.int64()) if v is None else pa.array(np.asarray(v, np.int64))
+        end = lambda v: pa.nulls(size, pa.float64()) if null else pa.array(np.asarray(v, np.float64))
+        taken = table.select(by).take(pa.array(rows)).combine_chunks()
+        bins = count(None) if null else count(np.broadcast_to(bin_, size))
+        arrays = [taken[c].combine_chunks() for c in by]
+        return pa.RecordBatch.from_arrays([*arrays, count(item), bins, count(n), end(lo), end(hi)],
+                                          names=[*by, "item", "bin", "n", "lo", "hi"])
+
+    def count(batches):
+        for table in blocks(batches):
+            codes = group_codes(table)
+            vectors = table["__cells"].combine_chunks()
+            lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths):
+                rows = np.flatnonzero(lengths == width)
+                rows = rows[np.argsort(codes[rows], kind="stable")]
+                edges = np.flatnonzero(np.diff(codes[rows], prepend=-1))
+                if width == 0:
+                    if not refine:
+                        yield out(table, rows[edges], None, None, np.zeros(len(edges)), None, None)
+                    continue
+                flat = vectors.take(pa.array(rows)).flatten()
+                cells = flat.to_numpy(zero_copy_only=False).reshape(len(rows), width).T + 0.0  # both zeros are one
+                missing = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(rows), width).T if flat.null_count else None
+                parts, firsts = [], []
+                for start, end in zip(edges, np.append(edges[1:], len(rows))):
+                    ranges = None
+                    if refine:
+                        ranges = table["__ranges"][int(rows[start])].values.to_numpy(zero_copy_only=False)
+                    for part in (fine_bins if refine else first_bins)(
+                            cells[:, start:end], missing[:, start:end] if missing is not None else None, ranges):
+                        if part[1] is None:
+                            yield out(table, np.full(len(part[0]), rows[start]), *part)
+                        else:
+                            parts.append([part[0], np.broadcast_to(part[1], part[0].shape), *part[2:]])
+                            firsts.append(np.full(len(part[0]), rows[start]))
+                if parts:
+                    yield out(table, np.concatenate(firsts), *[np.concatenate(p) for p in zip(*parts)])
+    return count
 
 
 def _chosen(hist: DataFrame, by: list[str], at: DataFrame | None, p: float) -> DataFrame:
@@ -153,30 +265,30 @@ def vector_percentiles(rows: DataFrame, vec: str, by: Sequence[str], p: float) -
     """Exact interpolated ``p`` percentile of every cell of array column ``vec`` per group: by, item, v, lo, hi.
 
     Nulls are ignored, NaN is the largest value; v and the ends lo and hi are null where a group has no value. Values are counted
-    in bins, all cells in one pass; only counts and the ends of a bin are kept, never values, and tasks combine them
-    before the shuffle. The bin that holds the wanted rank is then divided into ``_FINE`` finer ones, for the rows inside it
+    in bins, all cells in one pass: a task sorts blocks of ``BLOCK_CELLS`` cells in Arrow batches and hands on the counts and
+    the ends of their bins, never values. The bin that holds the wanted rank is then divided into ``_FINE`` finer ones, for the rows inside it
     alone, until it holds a single value. The first bins are sixteenths of a doubling, so that two passes
     suffice for most data and five for any doubles, whatever the size or skew of a group.
     """
     by = list(by)
-    # outer: an inner one would test the array's size beforehand, and with it make all cells twice
-    each = rows.select(*by, F.posexplode_outer(vec).alias("item", "v"))
-    ends = [F.min("v").alias("lo"), F.max("v").alias("hi")]
-    bins = materialize(each.groupBy(*by, "item", F.when(F.col("v").isNotNull(), _scale_bin(F.col("v"))).alias("bin"))
-                       .agg(F.count("v").alias("n"), *ends))
+    cells = rows.select(*by, F.col(vec).cast("array<double>").alias("__cells"))
+    counted = T.StructType([*cells.select(*by).schema.fields, *[T.StructField(n, t) for n, t in (
+        ("item", T.LongType()), ("bin", T.LongType()), ("n", T.LongType()), ("lo", T.DoubleType()), ("hi", T.DoubleType()))]])
+    totals = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    bins = materialize(cells.mapInArrow(_counter(by), counted).groupBy(*by, "item", "bin").agg(*totals))
     done, at = [], materialize(_chosen(bins.where("bin IS NOT NULL"), by, None, p))
     while True:
         done.append(at.where("a IS NOT NULL"))
         at = at.where("a IS NULL")
         if at.isEmpty():
             break
-        ranges = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("lo", "hi")))).alias("__ranges"))
-        placed = join_dimension(rows.select(*by, vec), ranges, by, "inner", null_safe=True, width=2 * at.select("item").distinct().count())
-        inside = placed.select(*by, "__ranges", F.posexplode_outer(vec).alias("item", "v")).select(
-            *by, "item", "v", F.try_element_at("__ranges", F.col("item")).alias("r")).select(*by, "item", "v", "r.lo", "r.hi")
-        inside = inside.where("v BETWEEN lo AND hi")
-        fine = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _FINE).alias("bin")
-        at = materialize(_chosen(inside.groupBy(*by, "item", fine).agg(F.count("v").alias("n"), *ends), by, at, p))
+        needed = sorted(r["item"] for r in at.select("item").distinct().collect())  # at most one row a cell of a vector
+        place = F.array_position(F.array(*[F.lit(i).cast("long") for i in needed]), F.col("item")) - 1
+        ranges = at.groupBy(*by).agg(F.flatten(F.collect_list(F.array(place.cast("double"), "lo", "hi"))).alias("__ranges"))
+        some = cells.select(*by, F.array(*[F.get("__cells", F.lit(i)) for i in needed]).alias("__cells"))
+        placed = join_dimension(some, ranges, by, "inner", null_safe=True, width=3 * len(needed))
+        inside = placed.select(*by, "__cells", "__ranges").mapInArrow(_counter(by, needed), counted)
+        at = materialize(_chosen(inside.groupBy(*by, "item", "bin").agg(*totals), by, at, p))
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+HUGE_METHOD, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
+
+
+def compile_wide_plans(spark: SparkSession) -> None:
+    """Have stages of wide rows run as small generated methods.
+
+    The JVM never compiles a method above 8000 bytes, so a stage of 78 features in one method is interpreted row by row. Above
+    this limit Spark generates its operators one by one instead, cut into methods that are compiled. Smaller limits stay.
+    """
+    if int(spark.conf.get(HUGE_METHOD)) > COMPILED_BYTES:
+        spark.conf.set(HUGE_METHOD, COMPILED_BYTES)
+
+
 def get_spark(app: str = "flowquarry", master: str | None = None, **conf) -> SparkSession:
     """Adaptive execution on, UTC clock; anything else comes from the cluster's own settings."""
     builder = SparkSession.builder.appName(app)

@@ -82,3 +82,36 @@ def test_percentiles_keep_nan_last(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 2.0)], "g string, x double")
     top = ranks.grouped_percentiles(df, ["x"], ["g"], 1.0).first()["x"]
     assert top != top and ranks.grouped_percentiles(df, ["x"], ["g"], 0.5).first()["x"] == 2.0
+
+
+def test_vectors_of_any_length(spark):
+    """Ragged, empty and missing vectors, with groups of several columns; cells are compared with numpy."""
+    rng = np.random.default_rng(11)
+    rows = [(g, h, [None if rng.random() < 0.2 else float(rng.integers(-9, 9)) / 4 for _ in range(rng.integers(0, 5))])
+            for g in ("a", None, "b") for h in (1, 2) for _ in range(60)] + [("a", 1, None), ("none", 1, None), ("none", 2, [])]
+    df = spark.createDataFrame(rows, "g string, h int, v array<double>").repartition(3)
+    got = {(r["g"], r["h"], r["item"]): (r["v"], r["lo"], r["hi"]) for r in ranks.vector_percentiles(df, "v", ["g", "h"], 0.5).collect()}
+    want = {("none", 1, None): (None,) * 3, ("none", 2, None): (None,) * 3}
+    for g, h, v in rows:
+        if not v:
+            want[g, h, None] = (None,) * 3
+        for i in range(len(v or [])):
+            cells = [w[i] for a, b, w in rows if (a, b) == (g, h) and w and len(w) > i and w[i] is not None]
+            want[g, h, i] = (float(np.median(cells)), min(cells), max(cells)) if cells else (None,) * 3
+    assert got == want
+
+
+def test_cells_are_counted_in_blocks(spark, capfd):
+    """A pass over wide rows has no row a cell and no lambda: its tasks sort blocks of cells and hand on counts."""
+    from flowquarry.plans import prepare
+    flows = spark.range(10).select(F.lit("f").alias("source_file"), *[(F.col("id") * i).cast("string").alias(f"c{i}") for i in range(70)])
+    rows = prepare.tidy(flows, [f"c{i}" for i in range(70)], ["source_file"])
+    rows.explain("extended")
+    assert "lambda" not in capfd.readouterr().out
+    keep, ranks.materialize = ranks.materialize, lambda df: (df.explain(), keep(df))[1]
+    try:
+        ranks.vector_percentiles(rows, "features", ["source_file"], 0.5).count()
+    finally:
+        ranks.materialize = keep
+    plans = capfd.readouterr().out
+    assert "MapInArrow" in plans and "Generate" not in plans
