@@ -110,7 +110,7 @@ def dense(vec: str, weights: Sequence[Sequence[float]], bias: Sequence[float]) -
 
 def softmax(v: Column) -> Column:
     """Stable softmax."""
-    exps = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    exps = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
     return let(exps, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 

@@ -33,6 +33,11 @@ class Scaler:
         factor = (self.high - self.low) / _span(span)
         return c * F.lit(factor) + F.lit(self.low - self.mins[i] * factor)
 
+    def linear(self) -> tuple[list[float], list[float]]:
+        """Factor and shift of every feature."""
+        factors = [(self.high - self.low) / _span(b - a) for a, b in zip(self.mins, self.maxs)]
+        return factors, [self.low - a * f for a, f in zip(self.mins, factors)]
+
 
 def fit_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, pos, min, max): one pass, combined map-side; null and NaN cells are ignored."""
@@ -100,10 +105,7 @@ def apply_minmax(df: DataFrame, scaler: Scaler, single: bool = False) -> DataFra
 
 def scale_vector(df: DataFrame, scaler: Scaler, vec: str = "features") -> DataFrame:
     """Scale a packed vector whose cells follow the scaler's feature order."""
-    spans = [_span(b - a) for a, b in zip(scaler.mins, scaler.maxs)]
-    factors = [(scaler.high - scaler.low) / s for s in spans]
-    shifts = [scaler.low - a * f for a, f in zip(scaler.mins, factors)]
-    scaled = F.array(*[F.get(q(vec), F.lit(i)) * F.lit(f) + F.lit(c) for i, (f, c) in enumerate(zip(factors, shifts))])
+    scaled = F.array(*[F.get(q(vec), F.lit(i)) * F.lit(f) + F.lit(c) for i, (f, c) in enumerate(zip(*scaler.linear()))])
     return df.withColumn(vec, F.when(q(vec).isNotNull(), scaled))
 
 

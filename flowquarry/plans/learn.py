@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -23,8 +25,29 @@ from flowquarry.plans.storage import materialize
 
 def linear_scores(df: DataFrame, weights: Sequence[Sequence[float]], bias: Sequence[float],
                   vec: str = "features", out: str = "logits") -> DataFrame:
-    """Linear model inside the JVM."""
-    return df.withColumn(out, V.dense(vec, weights, bias))
+    """Linear model: of short vectors inside the JVM, of long ones in Arrow batches; both add the terms in the order of the cells."""
+    width = len(weights[0])
+    if width <= V.UNROLL:
+        return df.withColumn(out, V.dense(vec, weights, bias))
+    table, start = np.asarray(weights, dtype=float), np.asarray(bias, dtype=float)
+
+    @F.arrow_udf("array<double>")
+    def run(vectors: pa.Array) -> pa.Array:
+        rows, size = len(vectors), len(table)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False)
+        flat = vectors.filter(pa.array(fits)).flatten()
+        missing = np.ones(rows, bool)
+        missing[fits] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        cells = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(-1, width).T)
+        sums = np.zeros((size, cells.shape[1]))
+        for c in range(width):  # one after the other, so that every sum is rounded as in a plain loop over a row
+            for k in range(size):
+                sums[k] += cells[c] * table[k, c]
+        found = np.zeros((rows, size))
+        found[fits] = (sums + start[:, None]).T
+        values = pa.array(found.reshape(-1), mask=np.repeat(missing, size))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * size + 1, size), pa.int32()), values)
+    return df.withColumn(out, run(q(vec)))
 
 
 def score(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], vec: str = "features",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions import vectors as V
-from flowquarry.functions.numeric import nan_to_num, null_if_not_finite, to_number
+from flowquarry.functions.numeric import null_if_not_finite, to_number
 from flowquarry.operators import clean, lookup, scale
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import join_dimension
@@ -98,11 +100,17 @@ def prepare_labelled(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] =
 
 def serving_vectors(df: DataFrame, scaler: scale.Scaler, names: Sequence[str] = MODEL_FEATURES,
                     keep: Sequence[str] = ("source_file",), pad: int = GRID_CELLS) -> DataFrame:
-    """Model input of raw flows: missing cells are 0 (no medians), also after scaling."""
-    cell = lambda i: F.get("features", F.lit(i))
-    filled = tidy(df, names, keep).withColumn("features", F.array(*[F.coalesce(cell(i), F.lit(0.0)) for i in range(len(names))]))
-    scaled = scale.scale_vector(filled, scaler)
-    return scaled.withColumn("features", V.pad_to(F.array(*[nan_to_num(cell(i)) for i in range(len(names))]), pad))
+    """Model input of raw flows: missing cells are 0 (no medians), also after scaling; made in Arrow batches."""
+    width, (factors, shifts) = len(names), map(np.array, scaler.linear())
+
+    @F.arrow_udf("array<double>")
+    def served(vectors: pa.Array) -> pa.Array:
+        cells = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        scaled = np.where(np.isfinite(cells), cells, 0.0) * factors + shifts
+        out = np.zeros((len(scaled), pad))
+        out[:, :width] = np.where(np.isfinite(scaled), scaled, 0.0)[:, :pad]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, pad), pa.int32()), pa.array(out.reshape(-1)))
+    return tidy(df, names, keep).withColumn("features", served("features"))
 
 
 def named_vectors(df: DataFrame, wanted: Sequence[str] = MODEL_FEATURES, values: str = "values",
