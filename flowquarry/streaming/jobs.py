@@ -18,6 +18,7 @@ from flowquarry.operators.scale import fit_minmax, merge_scalers
 from flowquarry.plans.analyze import judge, to_history
 from flowquarry.plans.storage import scratch_path
 from flowquarry.schema import ALERT_TYPES, SEVERITIES
+from flowquarry.session import compile_wide_plans
 from flowquarry.sources.params import child_names, path_exists, remove_path, touch
 
 
@@ -49,6 +50,7 @@ def stream_analyses(flows: DataFrame, find: Callable[[DataFrame], DataFrame],
     outputs (:func:`read_batches`); a replayed batch takes its mark back first and overwrites its own folders.
     """
     spark = flows.sparkSession
+    compile_wide_plans(spark)  # a batch is made by the stream's own settings, before ``find`` sees it
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = lambda name: f"{out}/{name}/batch={batch_id}"
