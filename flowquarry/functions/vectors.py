@@ -92,8 +92,17 @@ def distance(kind: str, a: Column, b: Column) -> Column:
     raise ValueError(f"distance must be 'cosine' or 'euclidean', not {kind!r}")
 
 
-def mse(a: Column, b: Column) -> Column:
-    """Mean squared difference of two vectors; nested vectors are flattened by the caller."""
+def mse(a: Column, b: Column, size: int | None = None) -> Column:
+    """Mean squared difference of two vectors; nested vectors are flattened by the caller.
+
+    With a short ``size`` that both have, the sum is written out; a vector of another size gives null.
+    """
+    if size is not None and size <= UNROLL:
+        squares = F.lit(0.0)
+        for i in range(size):
+            gap = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
+            squares = squares + gap * gap
+        return F.when((F.size(a) == size) & (F.size(b) == size), squares / size)
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a)
 
 

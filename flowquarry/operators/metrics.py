@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from flowquarry.functions.numeric import harmonic, ratio
 from flowquarry.operators.clean import q
 from flowquarry.plans.joins import fixed_rows, join_null_safe
-from flowquarry.plans.ranks import grouped_percentiles, running_totals, score_table, totals_along
+from flowquarry.plans.ranks import (
+    grouped_percentiles, running_totals, score_table, totals_along, with_totals, with_totals_of_all)
 
 
 # --- distributions and thresholds ---------------------------------------------------------
@@ -140,12 +141,11 @@ def evaluate_per_file(scored: DataFrame, cut: float, file: str = "source_file",
     counts = per_file.crossJoin(F.broadcast(base)).select(
         "Attack", "TP", (F.col("TN0") + F.col("TN1")).alias("TN"),
         (F.col("FP0") + F.col("FP1")).alias("FP"), "FN")
-    # benign rows below each distinct score, shared by all files
-    shared = totals_along(table, "s", ["base"])
-    own = totals_along(table.where("not benign"), "s", ["pos", "neg"], ["Attack"])
-    at = own.join(shared.select("s", "base", "cum_base", "total_base"), "s")
-    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("cum_base") - F.col("base")
-                           + (F.col("neg") + F.col("base")) / 2.0)
+    # the file's own negatives, then benign rows below each score, shared by all files
+    own = with_totals(table, "s", ["pos", "neg"], ["Attack"])
+    at = with_totals_of_all(own, table, "s", "base").where("not benign")
+    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("below_base")
+                           + (F.col("neg") + F.col("at_base")) / 2.0)
     auc = at.groupBy("Attack").agg(F.try_divide(F.sum(wins), (
         F.max("total_pos") * (F.max("total_neg") + F.max("total_base"))).cast("double"))
         .alias("AUC"))

@@ -148,7 +148,7 @@ def reconstruction_error(df: DataFrame, model, vec: str = "features",
     code = V.dense(vec, basis.tolist(), (-(basis @ mean)).tolist())
     rows = df.withColumn("__code", code)
     rows = rows.withColumn("__back", V.dense("__code", basis.T.tolist(), mean.tolist()))
-    return rows.withColumn(out, V.mse(q(vec), F.col("__back"))).drop("__code", "__back")
+    return rows.withColumn(out, V.mse(q(vec), F.col("__back"), basis.shape[1])).drop("__code", "__back")
 
 
 def cluster_discovery(df: DataFrame, k: int, vec: str = "features", seed: int = 42,

@@ -88,17 +88,40 @@ def totals_along(table: DataFrame, value: str, sums: Sequence[str], by: Sequence
     """
     by, names = list(by), list(sums)
     rows = table.groupBy(*by, value, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
+    return with_totals(rows, value, names, by, descending).drop(_BUCKET)
+
+
+def with_totals(rows: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """``rows``, one a group and value, with ``cum_s`` and ``total_s``; other columns stay."""
+    by, names, others = list(by), list(sums), rows.columns
     rows = _add_offsets(rows, by, names, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (W.partitionBy(*by, _BUCKET).orderBy(order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.select(
-        *by, value, *names,
+        *others,
         *[(F.col(f"before_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in names],
         *[F.col(f"total_{n}") for n in names],
     )
 
 
+def with_totals_of_all(rows: DataFrame, table: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows``, those of a :func:`score_table` with more columns, with the sum of ``name`` over all rows below their value, at it, and of the whole table.
+
+    Columns ``below_``, ``at_`` and ``total_``; every row is sorted once, in its range, and joined with nothing but range totals.
+    """
+    inside = W.partitionBy(_BUCKET).orderBy(value)
+    rows = rows.select("*", F.sum(name).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)).alias("__up_to"),
+                        F.sum(name).over(inside.rangeBetween(W.currentRow, W.currentRow)).alias(f"at_{name}"))
+    cells = table.groupBy(_BUCKET).agg(F.sum(name).alias("__n"))
+    every = W.partitionBy()
+    earlier = W.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    offsets = cells.select(_BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
+                           F.sum("__n").over(every).alias(f"total_{name}"))  # as many rows as there are ranges
+    joined = join_null_safe(rows, F.broadcast(offsets), [_BUCKET])
+    return joined.withColumn(f"below_{name}", F.col("__before") + F.col("__up_to") - F.col(f"at_{name}")).drop("__before", "__up_to")
+
+
 def running_totals(df: DataFrame, value: str, sums: dict[str, Column], by: Sequence[str] = (),
                    descending: bool = False, parts: int | None = None) -> DataFrame:
     """One row per (group, distinct value) with ``s``, ``cum_s`` (inclusive) and ``total_s``, from one read of ``df``."""

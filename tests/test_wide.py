@@ -49,3 +49,16 @@ def test_serving_vectors(spark, capfd):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "features array<double>")
     assert learn.linear_scores(df, [[1.0] * 40], [0.0]).count() == 0
+
+
+def test_short_reconstruction_has_no_lambda(spark, capfd):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, features array<double>")
+    mean, basis = rng.normal(size=5), rng.normal(size=(2, 5))
+    out = learn.reconstruction_error(df, (mean, basis))
+    assert "lambda" not in _plan(out, capfd)
+    got = {r["id"]: r["error"] for r in out.collect()}
+    for i, x in rows:
+        back = (np.array(x) - mean) @ basis.T @ basis + mean
+        assert abs(got[i] - np.mean((np.array(x) - back) ** 2)) < 1e-9
