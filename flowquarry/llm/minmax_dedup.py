@@ -142,18 +142,21 @@ class _Scratch:
         self._paths = []
 
 
-def _pairs(groups: DataFrame, merge: bool, keep: _Scratch) -> tuple[DataFrame, DataFrame]:
+def _pairs(groups: DataFrame, percent: int, merge: bool, keep: _Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, star) to compare, and the members (key, a) of large groups with their centre b.
 
-    ``groups`` has grp, node, root, probe, index: pairs are those of a probe and an index member with different roots.
+    ``groups`` has grp, node, root, probe, index, n, rest, need: pairs are those of a probe and an index member with different roots, of sizes
+    n that can be similar, where the elements of either from the one they meet under on (``rest``) are as many as the two need in common.
     With ``merge``, groups that have one centre become one.
     """
     count = lambda c: F.sum(F.col(c).cast("long"))
     sizes = keep(groups.groupBy("grp").agg(F.count("*").alias("members"), (count("probe") * count("index") <= (CLOSED if merge else LATER)**2).alias("few")), "group-sizes")
     small = groups.join(sizes.where("few").select("grp"), "grp")
-    left = small.where("probe").select("grp", F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = small.where("index").select("grp", F.col("node").alias("y"), F.col("root").alias("ry"))
-    closed = left.join(right, "grp").where("rx <> ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("star"))
+    left = small.where("probe").selectExpr("grp", "node AS x", "root AS rx", "n AS nx", "rest AS rest_x", "need AS need_x", "index AS index_x")
+    right = small.where("index").selectExpr("grp", "node AS y", "root AS ry", "n AS ny", "rest AS rest_y", "need AS need_y", "probe AS probe_y")
+    closed = (left.join(right, "grp").where("rx <> ry AND (x > y OR NOT (index_x AND probe_y)) AND least(rest_x, rest_y) >= need_x + need_y - 1e-6")
+              .where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("star")))
     large = keep(groups.join(sizes.where("NOT few").select("grp", "members"), "grp").select("grp", "node", "members"), "large-groups")
     met = large.groupBy("node").agg(F.sum("members").alias("met"))
     centres = large.join(met, "node").groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", F.col("top.node").alias("b"))
@@ -191,7 +194,11 @@ def _far(percent: int) -> Column:
 
 
 def _open_groups(stars: DataFrame, compared: DataFrame, labels: DataFrame, percent: int, keep: _Scratch) -> DataFrame:
-    """Groups (grp, node, root, probe, index) of members around a centre that may be similar and have different roots."""
+    """Groups (grp, node, root, probe, index, n, rest, need) of members around a centre that may be similar and have different roots.
+
+    ``rest`` counts the elements of a member's order from the shared one on. As the first element two members share has all others they
+    share after it, it leads only to those whose rests reach what they need in common, the sum of their ``need``.
+    """
     root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     rooted = keep(stars.join(root("a"), "a").join(root("b"), "b").select("key", "a", "b", "ra", (F.col("ra") != F.col("rb")).alias("probe")), "rooted-stars")
     some = rooted.groupBy("key").agg(F.max("probe").alias("some")).where("some").select("key")
@@ -207,20 +214,24 @@ def _open_groups(stars: DataFrame, compared: DataFrame, labels: DataFrame, perce
     t, slack = percent / 100, 1e-9
     # an element more or less in a beginning costs time only, so that rounding errs to the longer one
     beginning = lambda elements, least: F.slice(elements, 1, F.greatest(F.size(elements) - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int"))
-    apart = ordered(F.concat("more", "lack"))
+    # columns of their own, as an expression would be worked out anew for every element
+    live = live.withColumn("apart", ordered(F.concat("more", "lack"))).withColumn("whole", F.concat(ordered(F.col("more")), "shared"))
+    apart, whole = F.col("apart"), F.col("whole")
     far = F.ceil(F.size(apart) - F.col("na") * ((1 - t) / t) - slack)
     half = F.floor((F.size(apart) + (F.col("nb") - F.col("na")) * ((1 - t) / (1 + t))) / 2 - slack) + 1
-    whole = beginning(F.concat(ordered(F.col("more")), "shared"), F.ceil(F.col("na") * t - slack))
-    listed = lambda ring, elements, probe, index: F.transform(elements, lambda e: F.struct(
-        F.lit(ring).alias("ring"), e.alias("t"), probe.alias("probe"), F.lit(index).alias("index")))
-    none = F.array().cast("array<struct<ring:int,t:bigint,probe:boolean,index:boolean>>")
+    apart_need = (F.size(apart) - F.col("na") * ((1 - t) / (1 + t))) / 2
+    whole_need = F.col("na") * (t / (1 + t))
+    listed = lambda ring, elements, least, need, probe, index: F.transform(beginning(elements, least), lambda e, i: F.struct(
+        F.lit(ring).alias("ring"), e.alias("t"), probe.alias("probe"), F.lit(index).alias("index"), (F.size(elements) - i).alias("rest"), need.alias("need")))
+    none = F.array().cast("array<struct<ring:int,t:bigint,probe:boolean,index:boolean,rest:int,need:double>>")
     yes = F.lit(True)
-    spots = F.concat(F.when(_near(percent) & F.col("probe"), listed(0, beginning(apart, far), yes, False)).otherwise(none),
-                     F.when(_near(percent), listed(0, beginning(apart, half), F.lit(False), True)).otherwise(none),
-                     F.when(_far(percent), listed(1, whole, F.col("probe"), True)).otherwise(none))
-    placed = live.select("key", "a", "ra", F.explode(spots).alias("e"))
-    parts = keep(placed.select(F.xxhash64("key", "e.ring", "e.t").alias("grp"), F.col("a").alias("node"), F.col("ra").alias("root"), "e.probe", "e.index")
-                 .groupBy("grp", "node", "root").agg(F.max("probe").alias("probe"), F.max("index").alias("index")), "group-parts")
+    spots = F.concat(F.when(_near(percent) & F.col("probe"), listed(0, apart, far, apart_need, yes, False)).otherwise(none),
+                     F.when(_near(percent), listed(0, apart, half, apart_need, F.lit(False), True)).otherwise(none),
+                     F.when(_far(percent), listed(1, whole, F.ceil(F.col("na") * t - slack), whole_need, F.col("probe"), True)).otherwise(none))
+    placed = live.select("key", "a", "ra", "na", F.explode(spots).alias("e"))
+    parts = keep(placed.select(F.xxhash64("key", "e.ring", "e.t").alias("grp"), F.col("a").alias("node"), F.col("ra").alias("root"), F.col("na").alias("n"),
+                               "e.probe", "e.index", "e.rest", "e.need")
+                 .groupBy("grp", "node", "root", "n").agg(*[F.max(c).alias(c) for c in ("probe", "index", "rest")], F.min("need").alias("need")), "group-parts")
     still = (parts.groupBy("grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("p"), F.max("index").alias("i"))
              .where("r0 <> r1 AND p AND i").select("grp"))
     return parts.join(still, "grp")
@@ -290,14 +301,15 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node and root for the members of ``groups`` (grp, node), by links between sets that share a group."""
+    """node and root for the members of ``groups`` (grp, node and the size n of its set), by links between sets that share a group."""
     labels, _ = written(groups.select("node").distinct().withColumn("root", F.col("node")), "labels")
-    groups = groups.select("grp", "node", F.col("node").alias("root"), F.lit(True).alias("probe"), F.lit(True).alias("index"))
+    groups = groups.select("grp", "node", "n", F.col("node").alias("root"), F.lit(True).alias("probe"), F.lit(True).alias("index"),
+                           F.col("n").cast("int").alias("rest"), F.lit(0.0).alias("need"))
     held = _Scratch(groups.sparkSession)
     first = True
     while first or not groups.isEmpty():
         keep = _Scratch(groups.sparkSession)
-        pairs, stars = _pairs(groups, first, keep)
+        pairs, stars = _pairs(groups, percent, first, keep)
         compared = keep(_compared(pairs, sets, percent, keep), "compared")
         labels = _joined(labels, compared.where("similar").select("a", "b"))
         if stars.isEmpty():
@@ -320,8 +332,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keep = _Scratch(docs.sparkSession)
     signed, _ = written(signatures(docs, k, bands_for(percent / 100)), "signatures")
     classes = keep(signed.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets")), "set-classes")
-    every = classes.select("node", F.explode("buckets").alias("grp"))
+        F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n")), "set-classes")
+    every = classes.select("node", "n", F.explode("buckets").alias("grp"))
     shared = keep(every.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp"), "shared-buckets")
     groups = keep(every.join(shared, "grp"), "groups")
     wanted = groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2")

@@ -156,6 +156,28 @@ def test_variants_of_one_text_take_few_turns(spark, monkeypatch):
     assert len(turns) <= 3
 
 
+def test_variants_far_from_each_other_are_not_compared(spark, monkeypatch):
+    """Variants that lack the same few shingles of one text but can't be similar: a few pairs a variant, and no link lost."""
+    compared, inner = [], minmax_dedup._pairs
+
+    def counted(*a):
+        pairs, stars = inner(*a)
+        compared.append(pairs.where("NOT star").count())
+        return pairs, stars
+    monkeypatch.setattr(minmax_dedup, "_pairs", counted)
+    r, base, texts = random.Random(8), words(150, 3), []
+    for i in range(240):
+        w = list(base)
+        for at in r.sample(range(150), 2 if i % 6 == 0 else r.randrange(5, 9)):
+            w[at] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(minmax_dedup, "signatures", lambda d, k, b, f=minmax_dedup.signatures: f(d, k, b).withColumn(
+        "buckets", F.array(F.lit(1).cast("long"))))  # one bucket for all
+    got = by_id(minmax_dedup.components(documents(spark, texts), k=3, percent=85))
+    assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == _components(list(enumerate(texts)), 3, 85)
+    assert len(compared) > 1 and sum(compared) < 10 * len(texts)
+
+
 def test_connected(spark):
     edges = [(bytes([a]), bytes([b])) for a, b in [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]]
     got = {r.node[0]: r.root[0] for r in minmax_dedup.connected(spark.createDataFrame(edges, "a binary, b binary")).collect()}
