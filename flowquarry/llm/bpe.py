@@ -5,7 +5,7 @@ reach across; only pieces not met before are split by the pattern. Their distinc
 words lie in one sequence of symbols, and an inverted index lists for every rank the positions whose pair has
 it. Ranks are taken in ascending order from a heap; each applies its merge at all its positions, left to
 right, and enters only the pairs with the touched neighbours anew. A word's ids do not depend on its batch, so
-words and pieces stay known between the batches of a worker (two generations of ``KNOWN`` entries each).
+words and pieces stay known between the batches of a worker, as Arrow and numpy columns (about ``KNOWN`` entries each).
 
 Nulls count as empty texts and have no ids. Every byte must have a rank, as in any byte-level vocabulary.
 """
@@ -16,17 +16,18 @@ import base64
 import hashlib
 import heapq
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import KnownIds, map_arrow, slices, spans
 
-KNOWN = 500_000
+KNOWN, REPLAYED = 250_000, 1 << 17  # strings kept; bytes of words merged at a time
 _WIDTH = 1 << 24  # a pair of ids as one number
 _NONE = 1 << 62
 _INNER_SPACE = re.compile(r" (?=\S)(?<=\S )")
@@ -38,26 +39,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class _Known:
-    """Store of two generations: what is asked for again outlives the older one."""
-
-    def __init__(self, limit: int):
-        self.now: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._limit = limit
-
-    def turn(self) -> None:
-        if len(self.now) > self._limit:
-            self.now, self._old = {}, self.now
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Keys of neither generation; those of the older one become current."""
-        lacking = keys - self.now.keys()
-        for k in lacking & self._old.keys():
-            self.now[k] = self._old[k]
-        return lacking - self._old.keys()
-
-
 class MergeReplay:
     """Encoder and decoder of one vocabulary."""
 
@@ -66,7 +47,8 @@ class MergeReplay:
         self._tokens = {rank: token for token, rank in ranks.items()}
         self._split = regex.compile(pattern).findall
         self._pairs: dict[int, int] = {}
-        self._words, self._pieces = _Known(KNOWN), _Known(KNOWN)
+        self._words, self._pieces = KnownIds(KNOWN), KnownIds(KNOWN)
+        self._table = pa.array([self._tokens.get(i) for i in range(max(self._tokens) + 1)], pa.large_binary())
         self._byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self._first = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
 
@@ -76,21 +58,27 @@ class MergeReplay:
         found = self._pairs[pair] = self._ranks.get(self._tokens[left] + self._tokens[right], _NONE)
         return found
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of distinct words, as little-endian unsigned 32-bit integers."""
-        done: dict[str, bytes] = {}
-        rest: list[str] = []
-        parts: list[bytes] = []
-        for word in words:
-            data = word.encode("utf-8", "surrogatepass")
-            whole = self._ranks.get(data)
-            if whole is not None:
-                done[word] = struct.pack("<I", whole)
-            else:
-                rest.append(word)
-                parts.append(data)
-        if not rest:
-            return done
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        if len(self._pairs) > KNOWN:
+            self._pairs.clear()
+        data = [w.encode("utf-8", "surrogatepass") for w in words.to_pylist()]
+        whole = np.fromiter((self._ranks.get(d, -1) for d in data), np.int64, len(data))
+        rest = np.flatnonzero(whole < 0)
+        found, starts, sizes = [whole[whole >= 0]], np.cumsum(whole >= 0) - 1, np.ones(len(data), np.int64)
+        at, held, first = [], 0, len(found[0])
+        for i in rest.tolist():
+            at.append(i)
+            held += len(data[i])
+            if held > REPLAYED or i == rest[-1]:
+                ids, counts = self._merged([data[j] for j in at])
+                starts[at], sizes[at] = first + np.cumsum(counts) - counts, counts
+                found.append(ids)
+                at, held, first = [], 0, first + len(ids)
+        return np.concatenate(found).astype("<u4")[spans(starts, sizes)], sizes
+
+    def _merged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are no token themselves, and how many each has."""
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes + 1) - 1  # a word's bytes, then a place that ends it
         data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
@@ -100,14 +88,7 @@ class MergeReplay:
         firsts[(symbols[:-1] < 0) | (symbols[1:] < 0)] = -1
         merged = np.array(self._replay(symbols.tolist(), firsts), np.int64)
         keep = merged >= 0
-        counts = np.add.reduceat(keep, np.append(0, ends[:-1] + 1))
-        ids = merged[keep].astype("<u4").tobytes()
-        stops = (np.cumsum(counts) * 4).tolist()
-        start = 0
-        for word, stop in zip(rest, stops):
-            done[word] = ids[start:stop]
-            start = stop
-        return done
+        return merged[keep], np.add.reduceat(keep, np.append(0, ends[:-1] + 1))
 
     def _replay(self, symbols: list[int], firsts: np.ndarray) -> list[int]:
         """Apply all merges: a merged pair stands at its first place, -2 at the others, -1 ends a word."""
@@ -180,31 +161,65 @@ class MergeReplay:
             return [piece[:-1], piece[-1]]
         return self._split(piece)
 
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after the other, and how many each has."""
+        split = [self._split_piece(p[1:] if p[:1] == " " else " " + p) for p in pieces.to_pylist()]
+        words = pa.array([word for parts in split for word in parts], pa.large_string()).dictionary_encode()
+        starts, sizes = self._words.look_up(words.dictionary, self.encode_words)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = np.append(0, np.cumsum(sizes[at]))
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return self._words.ids[spans(starts[at], sizes[at])], np.diff(n[np.append(0, ends)])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        kind = pa.large_list(pa.large_string())
+        cut = pc.split_pattern(texts, " ").cast(kind)
+        flat = cut.flatten().dictionary_encode()
+        odd = pc.or_(pc.equal(pc.binary_length(flat.dictionary), 0),
+                     pc.not_equal(pc.utf8_trim_whitespace(flat.dictionary), flat.dictionary)).to_numpy(zero_copy_only=False)
+        row = np.arange(len(texts))
+        if odd.any():  # texts with such pieces come last, cut by the exact rule
+            count = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+            there = np.zeros(len(texts), bool)
+            there[np.repeat(row, count)[odd[flat.indices.to_numpy(zero_copy_only=False)]]] = True
+            row = np.concatenate([np.flatnonzero(~there), np.flatnonzero(there)])
+            exact = pa.array([_INNER_SPACE.split(t) for t in texts.filter(pa.array(there)).to_pylist()], kind)
+            cut = pa.concat_arrays([cut.filter(pa.array(~there)), exact])
+            flat = cut.flatten().dictionary_encode()
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        # pieces are kept without the space before them; heads, which have none, under a mark no text splits into
+        first = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+        heads, which = np.unique(at[first], return_inverse=True)
+        at[first] = len(flat.dictionary) + which
+        marked = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), flat.dictionary.take(pa.array(heads)), pa.scalar("", pa.large_string()))
+        starts, sizes = self._pieces.look_up(pa.concat_arrays([flat.dictionary, marked]), self._encode_pieces)
+        ids = self._pieces.ids[spans(starts[at], sizes[at])]
+        n = np.diff(np.append(0, np.cumsum(sizes[at]))[np.append(0, ends).astype(np.int64)])
+        if not odd.any():
+            return ids, n
+        back = np.argsort(row)
+        return ids[spans((np.cumsum(n) - n)[back], n[back])], n[back]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit integers."""
-        self._pieces.turn()
-        self._words.turn()
-        cut = [(text or "").split(" ") for text in texts]
-        odd = {p for p in set().union(*cut) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            cut = [parts if odd.isdisjoint(parts) else _INNER_SPACE.split(text or "") for parts, text in zip(cut, texts)]
-        heads = [parts.pop(0) for parts in cut]
-        # pieces are kept without the space before them; heads, which have none, under a mark no text splits into
-        heads = [" " + head for head in heads]
-        new = self._pieces.missing(set(heads).union(*cut))
-        split = {p: self._split_piece(p[1:] if p[:1] == " " else " " + p) for p in new}
-        self._words.now.update(self.encode_words(self._words.missing(set().union(*split.values()))))
-        ids, known = self._words.now, self._pieces.now
-        for piece, words in split.items():
-            known[piece] = b"".join([ids[word] for word in words])
-        return [known[head] + b"".join(map(known.__getitem__, parts)) for head, parts in zip(heads, cut)]
+        ids, sizes = self.encode_column(pa.array(texts, pa.large_string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def decode_column(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Bytes of all ids, one after the other, and where those of each id start (and the last ones end)."""
+        found = self._table.take(pa.array(ids))
+        _, places, data = found.buffers()
+        return memoryview(data or b""), np.frombuffer(places, np.int64, len(found) + 1)
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of little-endian unsigned 32-bit ids."""
         return b"".join(map(self._tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-_SLICE_CHARS = 4_000_000
+_SLICE_BYTES = 2 << 20
 _loaded: dict[tuple[str, str], MergeReplay] = {}
 
 
@@ -214,18 +229,6 @@ def _encoder(path: str, pattern: str) -> MergeReplay:
     return _loaded[path, pattern]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of bounded total length (at least one row)."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size > _SLICE_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -235,16 +238,18 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(vocabulary, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in _slices(texts):
-                coded = coder.encode(texts[start:end])
-                cols = [batch.column("doc_id").slice(start, end - start),
-                        pa.array([len(c) // 4 for c in coded], pa.int64()),
-                        pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
-                        pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded], pa.string())]
+            texts = batch.column("text")
+            for start, end in slices(texts, _SLICE_BYTES):
+                ids, sizes = coder.encode_column(texts.slice(start, end - start))
+                ends = np.append(0, np.cumsum(sizes))
+                data, places = coder.decode_column(ids)
+                coded, decoded = memoryview(ids).cast("B"), places[ends].tolist()
+                cols = [batch.column("doc_id").slice(start, end - start), pa.array(sizes, pa.int64()),
+                        pa.array([hashlib.sha256(coded[a:b]).hexdigest() for a, b in pairwise((ends * 4).tolist())], pa.string()),
+                        pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in pairwise(decoded)], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols.append(pa.array([list(memoryview(c).cast("I")) for c in coded], pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,3 +113,72 @@ class CommittedFile:
     def abort(self) -> None:
         self._out.close()
         self._fs.delete_file(self._aside)
+
+
+class KnownIds:
+    """Token ids of strings met before: the strings as one Arrow array, their ids one after the other.
+
+    A string takes its own bytes, its ids and three numbers, no Python objects. Past ``limit`` strings, or ``limit`` times
+    ``_MEAN_BYTES`` bytes of them, those not asked for the longest are forgotten.
+    """
+
+    _MEAN_BYTES = 32
+
+    def __init__(self, limit: int):
+        self._limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self._keys = pa.array([], pa.large_string())
+        self._sizes, self._used, self._call = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.ids = np.empty(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self._keys)
+
+    def _keep(self, rows: np.ndarray) -> None:
+        starts = np.cumsum(self._sizes) - self._sizes
+        self.ids = self.ids[spans(starts[rows], self._sizes[rows])]
+        self._keys, self._sizes, self._used = self._keys.take(pa.array(rows)), self._sizes[rows], self._used[rows]
+
+    def look_up(self, keys: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` those of each of the distinct ``keys`` (large strings) start, and how many they are.
+
+        ``make`` gives ids and their numbers for keys that aren't known.
+        """
+        self._call += 1
+        if len(self) > self._limit or self._keys.nbytes > self._limit * self._MEAN_BYTES:
+            latest = np.flatnonzero(self._used > np.median(self._used))
+            small = self._keys.take(pa.array(latest)).nbytes <= self._limit * self._MEAN_BYTES // 2
+            if len(latest) and small:
+                self._keep(latest)
+            else:
+                self._forget()
+        at = pc.index_in(keys, value_set=self._keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            lacking = keys.take(pa.array(new))
+            ids, sizes = make(lacking)
+            at[new] = len(self) + np.arange(len(new))
+            self._keys = pa.concat_arrays([self._keys, lacking])
+            self._sizes = np.concatenate([self._sizes, np.asarray(sizes, np.int64)])
+            self._used = np.concatenate([self._used, np.zeros(len(new), np.int64)])
+            self.ids = np.concatenate([self.ids, ids])
+        self._used[at] = self._call
+        return (np.cumsum(self._sizes) - self._sizes)[at], self._sizes[at]
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes of text, at least one row each."""
+    total = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(total, size + (total[start - 1] if start else 0), "right")))
+        yield start, end
+        start = end

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -83,6 +84,21 @@ def test_bpe_earlier_merge_after_later_one():
         assert list(memoryview(mine.encode([text])[0]).cast("I")) == library.encode_ordinary(text)
 
 
+def test_bpe_keeps_what_it_knows_in_columns(coder):
+    """Words met before take about their own bytes and ids, not objects of their own."""
+    mine = bpe.MergeReplay(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    texts = [" ".join(f"{''.join(chr(97 + (i * 7919 + j * j * 31 + i // 26 ** j) % 26) for j in range(8))}" for i in range(k, k + 500)) for k in range(0, 60_000, 500)]
+    tracemalloc.start()
+    try:
+        for at in range(0, len(texts), 10):
+            for text, ids in zip(texts[at:at + 10], mine.encode(texts[at:at + 10])):
+                assert at % 50 or list(memoryview(ids).cast("I")) == coder[1].encode_ordinary(text)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 12_000_000
+
+
 def test_bpe_table(spark, coder):
     texts = [" ".join(words(50, i)) for i in range(20)] + ODD
     got = {r.doc_id: r for r in bpe.encode(documents(spark, texts), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
