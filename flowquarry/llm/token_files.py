@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import scratch_path
-from .common import CommittedFile, id_blocks, in_blocks, locate, map_arrow, parallelism, written
+from .common import CommittedFile, KnownIds, id_blocks, in_blocks, locate, map_arrow, parallelism, slices, spans, written
 
 FRAME_IDS, LEVEL = 1 << 16, 3
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the zstandard seekable format
-_KNOWN_RUNS, _KNOWN_WORDS = 500_000, 1_000_000
+_KNOWN_WORDS = 1_000_000
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class SeekableWriter:
@@ -132,7 +133,7 @@ class WordEncoder:
 
     That is right for a vocabulary that drops white space and splits at it, so that the ids of a text are those of its runs of
     other characters (ASCII white space is enough to part them). If it also parts letters from marks and lower-cases, a run
-    of letters and one mark has the ids of both, and ASCII letters those of their lower case. The file is looked at for these
+    of letters and ASCII marks after them has the ids of both, and ASCII letters those of their lower case. The file is looked at for these
     properties; with any other one, and for texts that hold the string of one of its special tokens, the library gets whole texts.
     """
 
@@ -146,41 +147,30 @@ class WordEncoder:
         self._by_word = ((told["normalizer"] or {}).get("normalizers"), steps[0].get("pattern", {}).get("Regex")) == _BY_WORD and (
             steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
         self._special = [t["content"] for t in told["added_tokens"]]
-        self._runs, self._words = ({}, {}), ({}, {})
-
-    @staticmethod
-    def _lacking(store: tuple[dict, dict], keys: set[str]) -> set[str]:
-        """Keys of neither generation; those of the older one become current."""
-        now, old = store
-        lacking = keys - now.keys()
-        for key in lacking & old.keys():
-            now[key] = old[key]
-        return lacking - old.keys()
-
-    @staticmethod
-    def _parts(run: str) -> tuple[str, str]:
-        """Word and mark of a run, or the run as it is."""
-        word, mark = (run[:-1], run[-1:]) if run[-1:] in ",.!?;:" else (run, "")
-        if word.isascii() and word.isalpha():
-            return word.lower(), mark
-        return (word, mark) if word.isalpha() and word.lower().isalpha() else (run, "")
+        self._known = KnownIds(_KNOWN_WORDS)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_runs(self, runs: list[str]) -> list[np.ndarray]:
-        """Ids of distinct runs."""
-        if len(self._runs[0]) > _KNOWN_RUNS:
-            self._runs = {}, self._runs[0]
-        if len(self._words[0]) > _KNOWN_WORDS:
-            self._words = {}, self._words[0]
-        parts = {run: self._parts(run) for run in self._lacking(self._runs, set(runs))}
-        new = list(self._lacking(self._words, {w for p in parts.values() for w in p if w}))
-        words, known = self._words[0], self._runs[0]
-        words.update(zip(new, self._ids(new)))
-        for run, (word, mark) in parts.items():
-            known[run] = np.concatenate([words[w] for w in (word, mark) if w]) if run else np.empty(0, "<u4")
-        return [known[r] for r in runs]
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words by the library, and how many each has."""
+        found = self._ids(words.to_pylist())
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct runs, one after the other, and how many each has."""
+        body = pc.ascii_rtrim(runs, _MARKS)
+        # what letters become must be letters too, else marks after them would be one word with the last of it
+        plain = pc.utf8_is_alpha(pc.utf8_lower(pc.utf8_normalize(body, form="NFC")))
+        word = pc.if_else(plain, pc.if_else(pc.string_is_ascii(body), pc.ascii_lower(body), body), runs)
+        cut = np.flatnonzero((pc.binary_length(word).to_numpy() < pc.binary_length(runs).to_numpy()))
+        mark = np.full(len(runs), "", object)
+        mark[cut] = [r[len(w):] for r, w in zip(runs.take(pa.array(cut)).to_pylist(), word.take(pa.array(cut)).to_pylist())]
+        mark = pa.array(mark, pa.large_string())
+        parts = pa.concat_arrays([word, mark]).dictionary_encode()
+        starts, sizes = self._known.look_up(parts.dictionary, self._of_words)
+        at = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()  # word and mark of each run in turn
+        return self._known.ids[spans(starts[at], sizes[at])], sizes[at].reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (little-endian unsigned 32-bit), one after the other, and how many each has; null is empty."""
@@ -191,12 +181,10 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts))
         flat = lists.flatten().dictionary_encode()
         at = flat.indices.to_numpy(zero_copy_only=False)
-        of_run = self._of_runs(flat.dictionary.to_pylist())
-        size = np.fromiter(map(len, of_run), np.int64, len(of_run))
-        every = np.concatenate(of_run) if of_run else np.empty(0, "<u4")
-        first, n = (np.cumsum(size) - size)[at], size[at]
+        every, size = self._of_runs(flat.dictionary)
+        n = size[at]
+        ids = every[spans((np.cumsum(size) - size)[at], n)]
         before = np.concatenate([[0], np.cumsum(n)])
-        ids = every[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
         sizes = np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])])
         if whole.any():
             odd = np.flatnonzero(whole)
@@ -208,7 +196,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
-_SLICE = 2000
+_SLICE, _SLICE_BYTES = 2000, 8 << 20
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame:
@@ -237,13 +225,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> DataFrame
         here, pending, ids, null, sizes, name, held = None, [], [], [], [], "", 0
         for batch in batches:
             blocks, docs_ = (batch.column(c).to_pylist() for c in ("_block", "doc_id"))
-            for at in range(0, batch.num_rows, _SLICE):
-                coded, counts = coder.encode(batch.column("text").slice(at, _SLICE))
+            for at, to in slices(batch.column("text"), _SLICE_BYTES):
+                coded, counts = coder.encode(batch.column("text").slice(at, to - at))
                 ends = np.cumsum(counts)
                 coded = np.insert(coded, ends, np.uint32(end_id))  # an end id after every document
                 stops = (ends + np.arange(1, len(ends) + 1)).tolist()
                 start = 0
-                for block, doc, stop in zip(blocks[at:at + _SLICE], docs_[at:at + _SLICE], stops):
+                for block, doc, stop in zip(blocks[at:to], docs_[at:to], stops):
                     if block != here:
                         if out is not None:
                             close()

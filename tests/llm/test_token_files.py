@@ -45,6 +45,17 @@ def test_other_vocabularies_get_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == _library(ODD)
 
 
+def test_marks_after_a_word_take_no_call_of_their_own(monkeypatch):
+    """The library sees each word and each string of marks once, whatever stands together."""
+    coder, seen = token_files.WordEncoder(PATH), []
+    monkeypatch.setattr(coder, "_ids", lambda texts, f=coder._ids: (seen.extend(texts), f(texts))[1])
+    marks = ["", ",", "%%%", "...", ")", "!?", "'", ".***", "-", '"']
+    texts = [" ".join(f"{w}{m}" for m in marks) for w in dict.fromkeys("".join(x) for x in zip(*[iter("abcdefghijklmnopqrstuvwxyz" * 40)] * 5))]
+    ids, sizes = coder.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == _library(texts)
+    assert len(seen) <= len(texts) + len(marks)
+
+
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_IDS", 500)
     texts = _texts(random.Random(2))
