@@ -18,6 +18,7 @@ from ..plans.storage import scratch_path
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NO_ID = -(2**63)
+MOST_BITS = 1 << 24
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -48,6 +49,22 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def some_hit(df: DataFrame, keys: DataFrame, key: str, hit: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``key``, a hash, may be one of ``keys``; with ``hit`` false those whose key is none of them.
+
+    A bitmap of the hashes, about 16 bits a key and at most ``MOST_BITS``, is broadcast whatever the number of keys, so that rows that an
+    exact join would drop are not shuffled. With more keys more other rows get through.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.col(key), F.lit(bits).cast("long"))
+    ones = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, {bits}L) & 63 as int))").alias("ones"))
+    none = df.sparkSession.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("ones"))
+    words = ones.unionByName(none).groupBy("word").agg(F.bit_or("ones").alias("ones"))
+    bitmap = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "ones"))), lambda w: w["ones"]).alias("_bitmap"))
+    is_set = F.expr(f"bit_get(_bitmap[cast(shiftright(pmod(`{key}`, {bits}L), 6) as int)], cast(pmod(`{key}`, {bits}L) & 63 as int)) = 1")
+    return df.join(F.broadcast(bitmap), is_set, "left_semi" if hit else "left_anti")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     workers_find_package(df.sparkSession)

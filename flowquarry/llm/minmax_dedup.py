@@ -10,8 +10,9 @@ Equal sets form one class, so copies are never compared. Every other pair of a b
 otherwise, without expanding a large bucket into its pairs:
 
 1. A bucket with few members (``CLOSED``) is compared in full. In a larger one all members are compared with one centre, the member
-   that shares buckets with most others; buckets mostly agree on it, so this is about one comparison a member. Links are
-   confirmed on full sets and joined to components.
+   that shares buckets with most others; a centre that is a member of a bucket with a greater one gives way to it, so this is about
+   one comparison a member. Links are confirmed on full sets and joined to components. Pairs whose sets can't be similar by
+   the first 16 bits of their elements, which bound what they share from above, are left out before full sets are fetched.
 2. Around a centre c only pairs of different components are open; one of the two, x, is not similar to c. For members near c (``RING``)
    the differences from c matter: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, and as x is far from c, a similar y must share more than
    about half of dy with dx. So the beginnings of both differences, in one order, must meet (prefix filter). What many
@@ -39,10 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_paths, map_arrow, written
+from .common import drop_paths, map_arrow, some_hit, written
 from .decontaminate import with_keys
 
-ROWS, MISS, CLOSED, LATER, RING, SEEN = 6, 1e-7, 32, 192, 0.5, 32
+ROWS, MISS, CLOSED, LATER, RING, SEEN, CLIMBS = 6, 1e-7, 32, 1024, 0.5, 256, 2
 FEW_EDGES = 200_000  # links that one task may join
 _PIECE = 1 << 10
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -116,14 +117,18 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and shingles (array of long) for ``wanted`` (node, k1, k2)."""
+    """node, n, shingles (array of long) and ``print``, the distinct first 16 bits of those, for ``wanted`` (node, k1, k2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([shingle_set(t, k).view(np.int64) for t in batch.column("text").to_pylist()],
-                                                pa.list_(pa.int64()))], names=["node", "shingles"])
-    rows = with_keys(docs.select("doc_id", "text")).join(wanted, ["k1", "k2"]).select("node", "text")
-    return map_arrow(rows, run, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+                [batch.column("node"), pa.array(map(len, sets), pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([np.unique((s >> np.uint64(48)).astype(np.uint16)).view(np.int16) for s in sets], pa.list_(pa.int16()))],
+                names=["node", "n", "shingles", "print"])
+    found = some_hit(with_keys(docs.select("doc_id", "text")), wanted, "k1")
+    # one row of those that repeat id and text; the join has dealt them by these keys
+    rows = found.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    return map_arrow(rows.select("node", "text"), run, "node binary, n int, shingles array<long>, print array<short>")
 
 
 class _Scratch:
@@ -142,6 +147,17 @@ class _Scratch:
         self._paths = []
 
 
+def _fewer_centres(large: DataFrame, centres: DataFrame, keep: _Scratch) -> DataFrame:
+    """grp and b: of the ``centres`` (grp, met, b) those that are members of a group with a greater one give way to it."""
+    above = (large.select("grp", "node").join(centres.select("grp", "met", F.col("b").alias("top")), "grp")
+             .join(centres.select(F.col("b").alias("node")).distinct(), "node")
+             .groupBy("node").agg(F.max(F.struct("met", "top")).alias("most")).select(F.col("node").alias("b"), F.col("most.top").alias("top")))
+    for _ in range(CLIMBS):
+        above = keep(above, "centres-above")
+        above = above.join(above.select(F.col("b").alias("top"), F.col("top").alias("beyond")), "top").select("b", F.col("beyond").alias("top"))
+    return centres.join(above, "b").select("grp", F.col("top").alias("b"))
+
+
 def _pairs(groups: DataFrame, percent: int, merge: bool, keep: _Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, star) to compare, and the members (key, a) of large groups with their centre b.
 
@@ -159,16 +175,29 @@ def _pairs(groups: DataFrame, percent: int, merge: bool, keep: _Scratch) -> tupl
               .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("star")))
     large = keep(groups.join(sizes.where("NOT few").select("grp", "members"), "grp").select("grp", "node", "members"), "large-groups")
     met = large.groupBy("node").agg(F.sum("members").alias("met"))
-    centres = large.join(met, "node").groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", F.col("top.node").alias("b"))
+    centres = large.join(met, "node").groupBy("grp").agg(F.max(F.struct("met", "node")).alias("top")).select("grp", "top.met", F.col("top.node").alias("b"))
+    if merge:
+        centres = _fewer_centres(large, keep(centres, "centres"), keep)
     key = F.xxhash64("b") if merge else F.col("grp")
     stars = keep(large.join(centres, "grp").where("node <> b").select(key.alias("key"), F.col("node").alias("a"), "b").distinct(), "stars")
     both = closed.unionByName(stars.select("a", "b", F.lit(True).alias("star")))
     return keep(both.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs"), stars
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` but those whose prints show that they aren't similar: what is missing in the other's print is missing in its set."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("print").alias("pa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("print").alias("pb"))
+    most = F.least(F.col("na") - F.size(F.array_except("pa", "pb")), F.col("nb") - F.size(F.array_except("pb", "pa")))
+    return (pairs.where("NOT star").join(right, "b").join(left, "a").withColumn("most", most)
+            .where(F.col("most") * 100 >= (F.col("na") + F.col("nb") - F.col("most")) * percent)
+            .select("a", "b", "star").unionByName(pairs.where("star").select("a", "b", "star")))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, keep: _Scratch) -> DataFrame:
     """Similar pairs and stars of ``pairs``: the sizes na and nb, similar, and for stars both (size of the intersection), and in order the
     shingles that only a has (more), only b (lack) and, of members far from the centre, both of them (shared)."""
+    pairs = keep(_likely(pairs, sets, percent), "likely-pairs")
     named = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared-nodes")
     mine = sets.join(named, "node", "left_semi")
     left = mine.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
@@ -335,8 +364,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.min("doc_id").alias("doc"), F.min(F.struct("k1", "k2")).alias("key"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n")), "set-classes")
     every = classes.select("node", "n", F.explode("buckets").alias("grp"))
     shared = keep(every.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1").select("grp"), "shared-buckets")
-    groups = keep(every.join(shared, "grp"), "groups")
-    wanted = groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2")
+    groups = keep(some_hit(every, shared, "grp").join(shared, "grp"), "groups")
+    wanted = keep(groups.select("node").distinct().join(classes, "node").select("node", "key.k1", "key.k2"), "wanted-documents")
     sets = keep(_sets(docs, wanted, k), "compared-sets")
     labels = linked(groups, sets, percent)
     rooted = keep(classes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
@@ -354,8 +383,14 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     If that id is repeated in the group, one of its texts stays; rows that repeat id and text are one document.
     """
-    found = components(docs, k, percent).where("kept")
+    every = components(docs, k, percent)
+    found = every.where("kept")
     of_group = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.*")
     chosen, _ = written(of_group.unionByName(found.where("n_shingles = 0").select("k1", "k2").distinct()), "kept-documents")
-    rows = with_keys(docs).join(chosen, ["k1", "k2"], "left_semi")
+    dropped, _ = written(every.select("k1", "k2").distinct().join(chosen, ["k1", "k2"], "left_anti"), "dropped-documents")
+    rows, keys = with_keys(docs), ["k1", "k2"]
+    if chosen.count() < dropped.count():
+        rows = some_hit(rows, chosen, "k1").join(chosen, keys, "left_semi")
+    else:  # texts that no dropped key can hit stay where they are
+        rows = some_hit(rows, dropped, "k1", False).unionByName(some_hit(rows, dropped, "k1").join(dropped, keys, "left_anti"))
     return rows.select(*docs.columns)

@@ -7,7 +7,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from flowquarry.llm import decontaminate, line_dedup, minmax_dedup, oracles
+from flowquarry.llm import common, decontaminate, line_dedup, minmax_dedup, oracles
 from helpers import by_id, documents, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -239,3 +239,44 @@ def test_line_dedup_edges(spark):
     assert sorted(((r.doc_id or -1), r.text) for r in rows if r.text is not None) == [(-1, ""), (4, twice), (4, twice), (6, "a\n\nb")]
     assert len(rows) == 6 and line_dedup.deduplicate(docs).columns == docs.columns + ["n_removed"]
     assert line_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_variants_that_share_many_buckets_meet_one_centre(spark, monkeypatch):
+    """A member of many large buckets is compared with about one centre, and only pairs that may be similar are fetched with their sets."""
+    seen, inner, likely = [], minmax_dedup._pairs, minmax_dedup._likely
+
+    def counted(*a):
+        pairs, stars = inner(*a)
+        seen.append((pairs.where("NOT star").count(), stars.count()))
+        return pairs, stars
+    fetched = []
+    monkeypatch.setattr(minmax_dedup, "_pairs", counted)
+    monkeypatch.setattr(minmax_dedup, "_likely", lambda *a: (lambda out: (fetched.append(out.where("NOT star").count()), out)[1])(likely(*a)))
+    monkeypatch.setattr(minmax_dedup, "CLOSED", 8)
+    r, base, texts = random.Random(6), words(150, 3), []
+    for _ in range(200):
+        w = list(base)
+        for at in r.sample(range(150), r.randrange(4, 16)):
+            w[at] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = by_id(minmax_dedup.components(documents(spark, texts), k=3, percent=80))
+    want = _components(list(enumerate(texts)), 3, 80)
+    assert {i: (g.n_shingles, g.component_id) for i, g in got.items()} == want
+    assert 0 < seen[0][1] <= 1.5 * len(texts)
+    assert fetched[0] < seen[0][0]
+
+
+def test_rows_that_hit_no_key_are_not_shuffled(spark, monkeypatch):
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("k1"))
+    keys = rows.where("id % 50 = 0").select("k1")
+    hit = {r.id for r in common.some_hit(rows, keys, "k1").collect()}
+    assert {i for i in range(5000) if i % 50 == 0} <= hit and len(hit) < 1000
+    assert {r.id for r in common.some_hit(rows, keys, "k1", False).collect()} == set(range(5000)) - hit
+    assert common.some_hit(rows, keys.limit(0), "k1").count() == 0 and common.some_hit(rows.limit(0), keys, "k1").count() == 0
+    monkeypatch.setattr(common, "MOST_BITS", 64)  # fewer bits than keys: more rows get through, none is lost
+    more = {r.id for r in common.some_hit(rows, keys, "k1").collect()}
+    assert {i for i in range(5000) if i % 50 == 0} <= more and len(more) > len(hit)
+    texts = [" ".join(words(90, i % 30)) if i < 60 else " ".join(words(90, i)) for i in range(90)]
+    assert sorted(r.doc_id for r in minmax_dedup.deduplicate(documents(spark, texts)).collect()) == [*range(30), *range(60, 90)]
+    texts = [" ".join(words(90, i % 4)) for i in range(40)]  # more are dropped than kept
+    assert sorted(r.doc_id for r in minmax_dedup.deduplicate(documents(spark, texts)).collect()) == [0, 1, 2, 3]
