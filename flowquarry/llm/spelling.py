@@ -12,6 +12,9 @@ Members of a signature with more than ``CLOSED`` words are not paired with each
 without its i-th letter (and as it is, for a longer word), and only words that meet there are paired. Such a meeting
 place holds at most one word a letter of the alphabet and position, whatever the input, so no pair is lost and none multiplies.
 
+All joins ask for a merge: their tables grow with the vocabulary, and files and columns say little of their size in memory, least of all
+after an explode, so that Spark would broadcast some of them.
+
 Words are runs of ``LETTERS`` with A-Z lower-cased, at least ``LEAST_LENGTH`` code points long and found ``LEAST_COUNT``
 times in all texts. Null and empty texts have none; a null doc_id counts as an empty id text; repeated rows count as often as
 they occur. An empty table gives no words.
@@ -142,7 +145,7 @@ def near_pairs(words: DataFrame, parts: int = PARTS, closed: int | None = None)
     """Pairs (a, b) of words that differ by exactly one inserted, deleted or replaced code point, each once."""
     signed = signatures(words, parts)
     sizes, sizes_path = written(signed.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1"), "signature-sizes")
-    groups, groups_path = written(signed.join(sizes, "sig").select("sig", "role", "word", "members"), "signature-groups")
+    groups, groups_path = written(signed.join(sizes.hint("merge"), "sig").select("sig", "role", "word", "members"), "signature-groups")
     bound = CLOSED if closed is None else closed
     small = groups.where(F.col("members") <= bound).select("sig", "role", "word")
     met = small.unionByName(_meetings(groups.where(F.col("members") > bound)))
@@ -151,7 +154,7 @@ def near_pairs(words: DataFrame, parts: int = PARTS, closed: int | None = None)
     longer = F.length("b") - F.length("a")
     fits = (((F.col("ra") == SAME) & (F.col("rb") == SAME) & (F.col("a") < F.col("b")) & (longer == 0))
             | ((F.col("ra") == SHORTER) & (F.col("rb") == LONGER) & (longer == 1)))
-    found = left.join(right, "sig").where(fits).where(F.levenshtein("a", "b", 1) == 1)
+    found = left.join(right.hint("merge"), "sig").where(fits).where(F.levenshtein("a", "b", 1) == 1)
     pairs, _ = written(found.select("a", "b").distinct(), "near-words")
     drop_paths(words.sparkSession, [sizes_path, groups_path])
     return pairs
@@ -168,18 +171,18 @@ def variants(docs: DataFrame, one_in: int | None = None, times: int = TIMES, lea
     pairs = near_pairs(words)
     near = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    counted = near.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = near.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = (counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("top"))
-            .join(words, "word").withColumn("form_n", -F.col("top.less")))
+            .join(words.hint("merge"), "word").withColumn("form_n", -F.col("top.less")))
     chosen = F.col("form_n") >= times * F.col("n")
     best, _ = written(best.select("word", "n_near", F.when(chosen, F.col("top.near")).alias("form"), F.when(chosen, F.col("form_n")).alias("form_n")), "word-forms")
     roots, path = written(best.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "word-roots")
     while True:
         step = roots.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        if roots.join(step.select("root"), "root", "left_semi").isEmpty():
+        if roots.join(step.select("root").hint("merge"), "root", "left_semi").isEmpty():
             break
-        further, further_path = written(roots.join(step, "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), "word-roots")
+        further, further_path = written(roots.join(step.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root")), "word-roots")
         drop_paths(docs.sparkSession, [path])
         roots, path = further, further_path
-    return (words.join(best, "word", "left").join(roots, "word", "left")
+    return (words.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n"))

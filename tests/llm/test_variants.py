@@ -75,6 +75,16 @@ def test_spelling_variants(spark, monkeypatch):
     assert spelling.variants(docs.limit(0), one_in=7).count() == 0
 
 
+def test_no_table_of_spelling_variants_is_broadcast(spark, monkeypatch):
+    """Their sizes follow the vocabulary, and Spark takes some of them for smaller than they are."""
+    plans, inner = [], spelling.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "written", lambda df, label: (plans.append(plan(df)), inner(df, label))[1])
+    monkeypatch.setattr(spelling, "CLOSED", 2)  # members of large groups come out of an explode
+    plans.append(plan(spelling.variants(documents(spark, _texts(random.Random(5))), one_in=7)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_signatures_meet():
     """Words one letter apart share a signature of fitting roles, for any number of parts."""
     r, sign = random.Random(8), spelling.PartEnum(4)
